@@ -88,10 +88,11 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 6, dense: int = 64) -
     manhattan = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     near = a.join(b, "cell").where("a > b").where(manhattan <= distance).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
-    masks = [sum((1 << i for i in c), 0) for r in range(distance // 2 + 1) for c in combinations(range(64), r)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = F.array(F.lit(0).cast("long"))  # all points within half the distance of zero
+    for _ in range(distance // 2):
+        masks = F.array_distinct(F.flatten(F.transform(masks, lambda m: F.concat(F.array(m), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))))
     hot = placed.where(F.col("n") > dense).select("fp").distinct()
-    balls = hot.select("fp", F.explode(F.transform(F.lit(masks), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
+    balls = hot.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
     least = balls.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     star = balls.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return near.select("a", "b").unionByName(star).distinct()
