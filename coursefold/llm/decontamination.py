@@ -9,7 +9,6 @@ by walking to sampled suffix positions, and their spans are merged for each docu
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,7 +173,7 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-HITS = "doc_id long, n_words long, spans array<struct<first:int,past:int>>, items array<string>"
+HITS = "n_words long, spans array<struct<first:int,past:int>>, items array<string>"
 
 
 def _one_block(docs: DataFrame, items: list[tuple[str, bytes | None]], width: int, key: list[str]) -> DataFrame:
@@ -212,35 +211,35 @@ def _one_block(docs: DataFrame, items: list[tuple[str, bytes | None]], width: in
             keys = [batch.column(i) for i in range(len(key))]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], names=[*key, "n_words", "spans", "items"])
 
-    schema = ", ".join([*(f"{k} long" for k in key), HITS.split(", ", 1)[1]])
-    return docs.select(*key, F.col("text").cast("binary")).mapInArrow(find, schema)
+    narrow = docs.select(*key, F.col("text").cast("binary").alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1]), HITS])
+    return narrow.mapInArrow(find, schema)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: doc_id, n_words, merged word spans of benchmark windows, the items' ids.
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 16 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: ``keep``, n_words, merged word spans of benchmark windows, the items' ids.
 
     A window is ``width`` consecutive words of an item, or the whole of a shorter one; an item with no
     word, such as a null text, has none. The benchmark is sent to the tasks in blocks of at most
     ``block_bytes`` of text, however large it is, and blocks' spans are merged. A null document has no
     words. Repeated rows give a row each; an empty benchmark hits nothing; further columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     if blocks == 1:
-        return _one_block(docs, [tuple(r) for r in items.collect()], width, ["doc_id"])
-    numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
+        return _one_block(docs, [tuple(r) for r in items.collect()], width, list(keep))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*keep, "text"])))
     cut = materialize(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))))
-    parts = [_one_block(numbered, [(r.item, r.text) for r in cut.where(F.col("block") == b).toLocalIterator()], width, ["row", "doc_id"]) for b in range(blocks)]
+    parts = [_one_block(numbered, [(r.item, r.text) for r in cut.where(F.col("block") == b).toLocalIterator()], width, ["_row"]) for b in range(blocks)]
     every = reduce(DataFrame.unionByName, parts)
 
     @F.udf("array<struct<first:int,past:int>>")
     def join_spans(spans):
         return merged((s.first, s.past) for s in spans)
 
-    both = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return both.select("doc_id", "n_words", join_spans("spans").alias("spans"), "items")
+    both = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return numbered.select("_row", *keep).join(both, "_row").select(*keep, "n_words", join_spans("spans").alias("spans"), "items")
 
 
 def judged(hits: DataFrame) -> DataFrame:
@@ -254,7 +253,3 @@ def judged(hits: DataFrame) -> DataFrame:
 def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = judged(find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -192,9 +192,8 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
-w AS (
-  SELECT r, i, ws[i] AS c, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CASE WHEN i > 2 THEN ws[i - 2] END AS a
-  FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+u AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS c FROM d),
+w AS MATERIALIZED (SELECT r, i, c, lag(c) OVER o AS b, lag(c, 2) OVER o AS a FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
 c1 AS (SELECT c, count(*) AS n FROM w GROUP BY c),
 c2 AS (SELECT b, c, count(*) AS n FROM w WHERE b IS NOT NULL GROUP BY b, c),
 c3 AS (SELECT a, b, c, count(*) AS n FROM w WHERE a IS NOT NULL GROUP BY a, b, c),
