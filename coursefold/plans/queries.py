@@ -1,2 +1,370 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The engine's operators applied to the given tables, each with the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys, text, tokens
+from ..operators import fold, listing, records, timeline
+from ..sources.files import prefix_scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as chapters of their nation; their orders from June 2001 as attempts, lineitems as checks."""
+    c = listing.number_rows(_t(spark, sf, "customer"), "c_nationkey", "c_custkey").select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("chapter_id"), F.col("c_name").alias("title"), "number")
+    o = _t(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
+    last = listing.latest(o.withColumnRenamed("o_custkey", "chapter_id"), "chapter_id", F.struct("o_orderdate", "o_orderkey"), "o_orderkey", "o_orderstatus")
+    checked = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("has", F.lit(True))
+    p = last.join(checked, "o_orderkey", "left")
+    s = F.col("o_orderstatus")
+    state = text.chapter_state(F.when(F.col("has") & (s == "F"), 1).otherwise(0), F.when(s == "O", 1).otherwise(0), F.lit(1))
+    return listing.with_progress(c, p.select("chapter_id", "attempt_count", state.alias("state")), "chapter_id")
+
+
+_LISTING = """
+WITH c AS (SELECT c_nationkey AS subject_id, c_custkey AS chapter_id, c_name AS title, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS number FROM customer),
+o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'),
+l AS (SELECT c.*, coalesce(o.k, 0) AS attempt_count, CASE WHEN o.o_orderkey IS NULL THEN 'not-started'
+  WHEN o.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey) THEN 'checked'
+  WHEN o.o_orderstatus = 'O' THEN 'taught' ELSE 'planned' END AS state
+  FROM c LEFT JOIN o ON o.o_custkey = c.chapter_id AND o.n = 1)
+"""
+
+
+@query(_LISTING + "SELECT * FROM l")
+def chapters_listing(spark, sf):
+    return _chapters(spark, sf)
+
+
+@query(_LISTING + """SELECT subject_id, count(*) AS chapters, count(*) FILTER (WHERE state = 'not-started') AS not_started, count(*) FILTER (WHERE state = 'planned') AS planned,
+  count(*) FILTER (WHERE state = 'taught') AS taught, count(*) FILTER (WHERE state = 'checked') AS checked FROM l GROUP BY subject_id""")
+def subject_progress(spark, sf):
+    return listing.count_states(_chapters(spark, sf), "subject_id")
+
+
+@query(_LISTING + "SELECT subject_id, string_agg(state, ',' ORDER BY number) AS states FROM l GROUP BY subject_id")
+def subject_states(spark, sf):
+    return listing.states_in_order(_chapters(spark, sf), "subject_id")
+
+
+@query(_LISTING + """SELECT chapter_id, state || CASE WHEN attempt_count > 1 THEN ' · attempt ' || attempt_count ELSE '' END
+  || CASE WHEN state = 'planned' THEN ' · 0 of 1' ELSE '' END AS line,
+  CASE state WHEN 'not-started' THEN 0 WHEN 'planned' THEN 1 WHEN 'taught' THEN 2 ELSE 3 END AS steps FROM l""")
+def state_line(spark, sf):
+    rows = _chapters(spark, sf)
+    return rows.select("chapter_id", text.state_line(F.col("state"), F.col("attempt_count"), F.lit(0), F.lit(1)).alias("line"), text.state_rank(F.col("state")).alias("steps"))
+
+
+_PARTS = "SELECT p_partkey, p_type, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS number FROM part"
+
+
+def _found(spark, sf):
+    parts = listing.number_rows(_t(spark, sf, "part").select("p_partkey", "p_type", "p_name"), "p_type", "p_partkey")
+    return listing.search(parts, "p_name", " WID ")
+
+
+@query(f"SELECT * FROM ({_PARTS}) WHERE contains(lower(p_name), 'wid')")
+def chapters_search(spark, sf):
+    return _found(spark, sf)
+
+
+@query(f"SELECT * FROM ({_PARTS}) WHERE contains(lower(p_name), 'wid') ORDER BY p_type, number LIMIT 50 OFFSET 50")
+def chapters_search_page(spark, sf):
+    # the second page of 50; operators.paging.page checks a cursor against the count first
+    return _found(spark, sf).orderBy("p_type", "number").offset(50).limit(50)
+
+
+@query("SELECT n_regionkey AS subject_id, n_nationkey AS chapter_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place, n_name AS title FROM nation")
+def chapter_place(spark, sf):
+    nested = _t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("subject_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("chapters"))
+    return listing.place_of(nested, "subject_id", "chapters").select("subject_id", F.col("item.n_nationkey").alias("chapter_id"), "place", F.col("item.n_name").alias("title"))
+
+
+@query("""WITH x AS (SELECT n_regionkey, n_nationkey FROM nation WHERE n_nationkey % 7 = 0)
+SELECT n_regionkey, coalesce(min(n_nationkey) FILTER (WHERE (n_regionkey, n_nationkey) IN (SELECT * FROM x)), min(n_nationkey)) AS n_nationkey FROM nation GROUP BY n_regionkey""")
+def active_choice(spark, sf):
+    n = _t(spark, sf, "nation").select("n_regionkey", "n_nationkey")
+    wanted = n.where("n_nationkey % 7 = 0").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+    return listing.chosen_or_first(n, wanted, "n_regionkey", "n_nationkey", "n_nationkey")
+
+
+def _checks(spark, sf):
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    o = listing.number_rows(o, "o_custkey", "o_orderdate", "o_orderkey", name="attempt")
+    items = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return o, listing.number_rows(items, "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", name="check_number")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS attempt FROM orders),
+l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS check_number FROM lineitem)
+SELECT o_custkey, attempt, o_orderkey, check_number, l_partkey FROM o LEFT JOIN l ON l_orderkey = o_orderkey""")
+def history_flat(spark, sf):
+    o, items = _checks(spark, sf)
+    return o.join(items, "o_orderkey", "left").select("o_custkey", "attempt", "o_orderkey", "check_number", "l_partkey")
+
+
+@query()
+def history_nested(spark, sf):
+    o, items = _checks(spark, sf)
+    checks = items.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("check_number", "l_partkey", "l_returnflag")), asc=False).alias("checks"))
+    wrong = F.transform(F.filter("checks", lambda c: c["l_returnflag"] == "R"), lambda c: F.struct(c["check_number"].alias("number"), c["l_partkey"].alias("part")))
+    return o.join(checks, "o_orderkey", "left").select("o_custkey", "attempt", "o_orderkey", "checks", wrong.alias("wrong")).orderBy("o_custkey", F.desc("attempt"))
+
+
+@query("SELECT o_orderkey, count(l_orderkey) FILTER (WHERE l_returnflag <> 'R') AS right_count, count(l_orderkey) AS of_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def check_scores(spark, sf):
+    joined = _t(spark, sf, "orders").select("o_orderkey").join(_t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag"), "o_orderkey", "left")
+    return joined.groupBy("o_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("right_count"), F.count("l_returnflag").alias("of_count"))
+
+
+def progress_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as learning progress: a user is a chapter, k of the properties gives ids and counts."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.when(F.col("event_type") == "signup", "plan").when(F.col("event_type").isin("view", "click"), "concept").when(F.col("event_type") == "purchase", "check")
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("chapter_id"), F.col("event_id").alias("seq"), F.col("ts").alias("occurred_at"), kind.alias("kind"), k.alias("k")).where("kind is not null")
+    plan, concept, check = (F.col("kind") == x for x in ("plan", "concept", "check"))
+    return e.select("chapter_id", "seq", "occurred_at", "kind", F.when(plan, F.concat(F.lit("p"), F.col("k") % 3)).alias("plan_id"), F.when(plan, F.col("k") % 5).alias("concept_count"), F.when(concept, F.concat(F.lit("c"), F.col("k") % 6)).alias("concept_id"), F.when(check, F.concat(F.lit("q"), F.col("k"))).alias("check_id"), F.when(check, F.col("k") % 2).alias("right_count"), F.when(check, F.lit(1)).alias("of_count"))
+
+
+_FOLD = """
+WITH e AS (SELECT user_id AS chapter_id, event_id AS seq, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k,
+  CASE event_type WHEN 'signup' THEN 'plan' WHEN 'view' THEN 'concept' WHEN 'click' THEN 'concept' WHEN 'purchase' THEN 'check' END AS kind FROM events),
+p AS (SELECT chapter_id, seq, k, lag(k % 3) OVER (PARTITION BY chapter_id ORDER BY seq) AS b FROM e WHERE kind = 'plan'),
+s AS (SELECT chapter_id, seq FROM p WHERE b IS NULL OR b <> k % 3),
+n AS (SELECT e.*, s.seq IS NOT NULL AS starts, count(s.seq) OVER (PARTITION BY e.chapter_id ORDER BY e.seq) AS attempt FROM e LEFT JOIN s USING (chapter_id, seq) WHERE kind IS NOT NULL),
+m AS (SELECT *, max(k % 5) FILTER (WHERE starts) OVER (PARTITION BY chapter_id, attempt) AS planned FROM n WHERE attempt > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, attempt, kind, CASE kind WHEN 'concept' THEN k % 6 WHEN 'check' THEN k END ORDER BY seq) AS r FROM m WHERE starts OR kind <> 'plan'),
+g AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, attempt, kind ORDER BY seq) AS num FROM f WHERE starts OR r = 1),
+a AS (SELECT * FROM g WHERE kind <> 'concept' OR num <= planned),
+t AS (SELECT chapter_id, attempt, max(planned) AS cc, count(*) FILTER (WHERE kind = 'concept') AS cd, count(*) FILTER (WHERE kind = 'check') AS ck FROM a GROUP BY ALL)
+"""
+
+
+@query(_FOLD + """, u AS (SELECT chapter_id, max(attempt) AS attempt_count, max_by(cc, attempt) AS concept_count, max_by(cd, attempt) AS concepts_done, max_by(ck, attempt) AS latest_checks, CAST(sum(ck) AS BIGINT) AS check_count FROM t GROUP BY chapter_id),
+c AS (SELECT chapter_id, max_by(ts, seq) AS last_activity, max_by(k % 2, seq) FILTER (WHERE kind = 'check') AS latest_right, CASE WHEN count(*) FILTER (WHERE kind = 'check') > 0 THEN 1 END AS latest_of FROM a GROUP BY chapter_id)
+SELECT chapter_id, attempt_count, CAST(concept_count AS BIGINT) AS concept_count, concepts_done, latest_checks, check_count, CAST(latest_right AS BIGINT) AS latest_right, CAST(latest_of AS BIGINT) AS latest_of, last_activity,
+  CASE WHEN latest_checks > 0 THEN 'checked' WHEN concept_count > 0 AND concepts_done >= concept_count THEN 'taught' ELSE 'planned' END AS state FROM u JOIN c USING (chapter_id)""")
+def progress_fold(spark, sf):
+    return fold.summaries(progress_events(spark, sf))
+
+
+@query(_FOLD + "SELECT chapter_id, attempt, CAST(cc AS BIGINT) AS concept_count, cd AS concepts_done, ck AS checks FROM t")
+def progress_attempts(spark, sf):
+    rows = fold.history(progress_events(spark, sf))
+    return rows.select("chapter_id", F.col("attempt").cast("long"), F.col("concept_count").cast("long"), F.size("done").cast("long").alias("concepts_done"), F.size("checks").cast("long").alias("checks"))
+
+
+def ledger_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as an action ledger: an action is a user's day, its first event records it."""
+    e = _t(spark, sf, "events").select("user_id", F.date_trunc("day", "ts").cast("date").alias("day"), F.col("event_id").alias("seq"), F.col("ts").alias("occurred_at"), "event_type")
+    first = e.groupBy("user_id", "day").agg(F.min_by(F.struct("seq", "occurred_at"), "seq").alias("r")).select("user_id", "day", "r.*", F.lit("recorded").alias("event"), F.lit(None).cast("string").alias("subscriber"))
+    kind = F.when(F.col("event_type") == "purchase", "confirmed").when(F.col("event_type") == "error", "done").when(F.col("event_type") == "click", "sent")
+    rest = e.select("user_id", "day", "seq", "occurred_at", kind.alias("event"), F.when(kind == "done", F.concat(F.lit("s"), F.col("seq") % 3)).alias("subscriber")).where("event is not null")
+    return first.unionByName(rest)
+
+
+_LEDGER = """
+WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS recorded_at, coalesce(max_by(ts, event_id) FILTER (WHERE event_type = 'click'), min(ts)) AS last_sent_at, max_by(ts, event_id) FILTER (WHERE event_type = 'purchase') AS confirmed_at,
+  coalesce(string_agg(DISTINCT 's' || event_id % 3, ',' ORDER BY 's' || event_id % 3) FILTER (WHERE event_type = 'error'), '') AS done FROM events GROUP BY ALL)
+"""
+_NOW = "2024-01-31 00:00:00"
+
+
+def _now(shift: str):
+    return F.lit(_NOW).cast("timestamp_ntz") - F.expr(f"INTERVAL {shift}")
+
+
+@query(_LEDGER + f"SELECT user_id, CAST(day AS VARCHAR) AS day, recorded_at, last_sent_at, confirmed_at FROM g WHERE done = '' AND last_sent_at <= TIMESTAMP '{_NOW}' - CASE WHEN confirmed_at IS NULL THEN INTERVAL 5 MINUTE ELSE INTERVAL 10 DAY END")
+def ledger_resendable(spark, sf):
+    rows = records.fold_ledger(ledger_events(spark, sf), ["user_id", "day"])
+    return records.resendable(rows, _now("'5' MINUTE"), _now("'10' DAY")).select("user_id", F.col("day").cast("string"), "recorded_at", "last_sent_at", "confirmed_at")
+
+
+@query(_LEDGER + f"SELECT user_id, CAST(day AS VARCHAR) AS day, recorded_at, done FROM g WHERE recorded_at <= TIMESTAMP '{_NOW}' - INTERVAL 7 DAY AND done <> ''")
+def ledger_expired(spark, sf):
+    rows = records.fold_ledger(ledger_events(spark, sf), ["user_id", "day"])
+    return records.expired(rows, _now("'7' DAY")).select("user_id", F.col("day").cast("string"), "recorded_at", F.array_join("done_by", ",").alias("done"))
+
+
+@query(_LEDGER + "SELECT e.event_id, e.user_id, 's' || event_id % 3 AS subscriber FROM events e JOIN g ON g.user_id = e.user_id AND g.day = CAST(e.ts AS DATE) WHERE e.event_type = 'view' AND NOT contains(g.done, 's' || event_id % 3)")
+def ledger_pending(spark, sf):
+    rows = records.fold_ledger(ledger_events(spark, sf), ["user_id", "day"])
+    sent = _t(spark, sf, "events").where("event_type = 'view'").select("event_id", "user_id", F.date_trunc("day", "ts").cast("date").alias("day"), F.concat(F.lit("s"), F.col("event_id") % 3).alias("subscriber"))
+    return records.pending(sent, rows, ["user_id", "day"]).select("event_id", "user_id", "subscriber")
+
+
+@query("SELECT min(doc_id) AS doc_id, text AS body, min_by(lang, doc_id) AS lang FROM documents GROUP BY text")
+def first_wins(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body"), "lang")
+    return records.first_wins(rows, ["body"], "doc_id").select("doc_id", "body", "lang")
+
+
+@query("SELECT c_custkey, c_name, coalesce(s_nationkey, c_nationkey) AS c_nationkey, coalesce(s_acctbal, c_acctbal) AS c_acctbal, c_mktsegment FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def edit_merge(spark, sf):
+    edits = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return records.merge_edit(_t(spark, sf, "customer"), edits, "c_custkey", ["c_nationkey", "c_acctbal"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def unbuilt_semi(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "lang").join(_t(spark, sf, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unbuilt_anti(spark, sf):
+    return records.insert_new(_t(spark, sf, "labels"), _t(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def leftovers(spark, sf):
+    return records.without(_t(spark, sf, "orders").select("o_orderkey"), _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("SELECT doc_id, n_chars AS before, CASE WHEN quality IS NULL THEN n_chars WHEN quality = 1 THEN n_chars + 1 END AS after FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def snapshot_diff(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", "n_chars")
+    marked = docs.join(_t(spark, sf, "labels"), "doc_id", "left")
+    later = marked.where("quality is null or quality = 1").select("doc_id", (F.col("n_chars") + F.coalesce("quality", F.lit(0))).alias("n_chars"))
+    return records.snapshot_diff(docs, later, "doc_id", "n_chars")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#0000001')")
+def prefix_names(spark, sf):
+    return prefix_scan(_t(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", "Customer#0000001")
+
+
+@query(r"SELECT regexp_extract(url, '^[a-z]+://([^/]+)/([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://([^/]+)/([^/?#]*)', 2) AS folder, count(*) AS files FROM pages GROUP BY 1, 2")
+def path_counts(spark, sf):
+    part = lambda i: F.regexp_extract("url", "^[a-z]+://([^/]+)/([^/?#]*)", i)
+    return _t(spark, sf, "pages").groupBy(part(1).alias("host"), part(2).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def tenant_chain(spark, sf):
+    r, n = _t(spark, sf, "region"), _t(spark, sf, "nation")
+    return _t(spark, sf, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("c_custkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def tenant_scope(spark, sf):
+    mine = _t(spark, sf, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))
+    return _t(spark, sf, "customer").join(mine, "c_nationkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING') GROUP BY l_orderkey")
+def erase_cascade(spark, sf):
+    gone = _t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    orders = _t(spark, sf, "orders").join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+    return records.without(_t(spark, sf, "lineitem"), orders, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT d.doc_id AS conv_id, coalesce(max(c.turn), -1) + 1 AS next_position FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY d.doc_id")
+def next_position(spark, sf):
+    return records.next_position(_t(spark, sf, "conversations"), _t(spark, sf, "documents").select(F.col("doc_id").alias("conv_id")).distinct(), "conv_id", "turn")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) <= 3 AS admitted FROM events")
+def limit_fixed_window(spark, sf):
+    return records.fixed_window(_t(spark, sf, "events"), "user_id", "ts", "event_id", "day", 3).select("event_id", "user_id", "admitted")
+
+
+@query()
+def limit_chained(spark, sf):
+    return records.chained_limits(_t(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", [(3600, 2), (86400, 4)])
+
+
+@query("""WITH b(event_type, queue) AS (VALUES ('view', 'q-read'), ('click', 'q-read'), ('click', 'q-count'), ('purchase', 'q-count'), ('signup', 'q-new'))
+SELECT event_id, event_type, coalesce(queue, 'parking') AS queue FROM events LEFT JOIN b USING (event_type)""")
+def route_and_park(spark, sf):
+    bound = spark.createDataFrame([("view", "q-read"), ("click", "q-read"), ("click", "q-count"), ("purchase", "q-count"), ("signup", "q-new")], "event_type string, queue string")
+    return records.route(_t(spark, sf, "events").select("event_id", "event_type"), bound, "event_type")
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 9 > 6 THEN 'park' WHEN event_type = 'error' THEN 'fail' ELSE 'run' END AS fate FROM events")
+def delivery_fate(spark, sf):
+    deaths = F.array(F.struct((F.col("event_id") % 9).alias("count")), F.struct(F.lit(0).cast("long").alias("count")))
+    return _t(spark, sf, "events").select("event_id", "user_id", records.delivery_fate(records.retry_cycles(deaths), 6, F.col("event_type") != "error").alias("fate"))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type")
+def change_detect(spark, sf):
+    return timeline.changes(_t(spark, sf, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id, user_id, CAST(round((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id)) - epoch_us(ts)) / 1e6) AS BIGINT) AS seconds FROM events")
+def visit_seconds(spark, sf):
+    return timeline.visits(_t(spark, sf, "events"), "user_id", "event_id", "ts").select("event_id", "user_id", "seconds")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events) WHERE a IS NULL OR a - ts >= INTERVAL 5 MINUTE")
+def debounce(spark, sf):
+    return timeline.debounced(_t(spark, sf, "events"), "user_id", "event_id", "ts", F.expr("INTERVAL '5' MINUTE")).select("event_id", "user_id")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events)
+SELECT user_id, min(event_id) AS first, count(*) AS failures, least(5.0 * pow(2.0, least(count(*) - 1, 16)), 300.0) AS wait_seconds FROM r WHERE event_type = 'error' GROUP BY user_id, run""")
+def failure_runs(spark, sf):
+    return timeline.failure_runs(_t(spark, sf, "events"), "user_id", "event_id", F.col("event_type") == "error")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def newest_result(spark, sf):
+    return timeline.newest_result(_t(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'checked' WHEN 'O' THEN 'taught' ELSE 'planned' END AS state, 'class:cbse-' || o_orderkey % 10 AS document,
+  'a_' || o_custkey || '_' || lpad(CAST(o_orderkey % 10 AS VARCHAR), 2, '0') || '_ch_' || lpad(CAST(o_orderkey % 900 AS VARCHAR), 3, '0') AS row_key FROM orders""")
+def composed_keys(spark, sf):
+    s, level = F.col("o_orderstatus"), F.col("o_orderkey") % 10
+    state = text.chapter_state(F.when(s == "F", 1).otherwise(0), F.when(s == "O", 1).otherwise(0), F.lit(1))
+    return _t(spark, sf, "orders").select("o_orderkey", state.alias("state"), keys.document_id(F.lit("CBSE"), level).alias("document"), keys.attempt_key(F.col("o_custkey").cast("string"), level, F.lit("ch"), F.col("o_orderkey") % 900).alias("row_key"))
+
+
+@query("SELECT p_type, CASE WHEN p_type = 'x' THEN '' ELSE lower(replace(p_type, ' ', '-')) END AS wire, count(*) AS n FROM part GROUP BY p_type")
+def wire_names(spark, sf):
+    # a class name is its words joined; kebab-casing it gives the wire name back
+    camel = F.concat(F.array_join(F.transform(F.split("p_type", " "), F.initcap), ""), F.lit("Function"))
+    return _t(spark, sf, "part").groupBy("p_type", keys.kebab(camel).alias("wire")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'consent' WHEN NOT regexp_full_match(c_mktsegment, '[A-Z]+') THEN 'board'
+  WHEN NOT (c_custkey % 12 BETWEEN 1 AND 10 AND (c_nationkey % 2 = 0 OR c_custkey % 12 <= 5)) THEN 'class' END AS reason FROM customer""")
+def validation_reasons(spark, sf):
+    board = F.when(F.col("c_nationkey") % 2 == 0, "cbse").otherwise("ssc")
+    reason = F.when(F.col("c_acctbal") < 0, "consent").when(~F.col("c_mktsegment").rlike(r"\A[A-Z]+\z"), "board").when(~text.class_available(board, F.col("c_custkey") % 12), "class")
+    return _t(spark, sf, "customer").select("c_custkey", reason.alias("reason"))
+
+
+@query("""WITH g AS (SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS x FROM nation GROUP BY n_regionkey)
+SELECT n_regionkey, array_to_string(x[1:len(x) - 1], ', ') || ' and ' || x[len(x)] AS names FROM g""")
+def name_list(spark, sf):
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
+    return _t(spark, sf, "nation").groupBy("n_regionkey").agg(ordered.alias("x")).select("n_regionkey", text.name_list(F.col("x")).alias("names"))
+
+
+@query()
+def keyed_hash(spark, sf):
+    secret, who = b"not a secret, only for this query", F.col("c_name")
+    sealed = tokens.seal(F.to_json(F.struct("c_custkey")), who, secret, "proof")
+    rows = _t(spark, sf, "customer").select("c_custkey", tokens.keyed_hash(who, secret).alias("uid_hash"), sealed.alias("sealed"), "c_name")
+    return rows.select("c_custkey", "uid_hash", "sealed", tokens.open_sealed(F.col("sealed"), who, secret, "proof").alias("opened"))
