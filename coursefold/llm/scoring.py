@@ -49,7 +49,7 @@ class Words:
         known = self.known
         if len(known) > self.limit:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
         return np.array(list(map(known.__getitem__, words)), np.uint64)
 
