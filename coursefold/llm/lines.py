@@ -128,7 +128,7 @@ def within_one_word(a: bytes | None, b: bytes | None) -> bool:
 
 def near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places (d, t, i) of those ``distinct`` lines that have an earlier near line."""
-    keys = distinct.select(*POSITION, F.explode(F.array("k1", "k2", "k3", "k4")).alias("k")).distinct()
+    keys = distinct.select(*POSITION, F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))  # the four differ by their seeds
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places = keys.join(shared, "k", "left_semi").select(*POSITION).distinct()
     lines = materialize(_line_texts(docs, places))
