@@ -12,6 +12,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +79,17 @@ class ChunkTokenizer:
             for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
                 self.chunks[c] = np.array(e.ids, "<u4").tobytes()
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(split)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+    def ids(self, texts: list[bytes], at_once: int = 1 << 22) -> Iterator[bytes]:
+        """Each text's ids. About ``at_once`` bytes of text are split at a time: chunks take ten times their text's room."""
+        ends = [0, *accumulate(map(len, texts))]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, bisect_left(ends, ends[at] + at_once))
+            split = [t.split() for t in texts[at:to]]
+            self.learn(split)
+            get = self.chunks.__getitem__
+            yield from (b"".join(map(get, chunks)) for chunks in split)
+            at = to
 
 
 class OpenWindows:
