@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,14 +39,23 @@ class Letters:
             cls._table = t
         return cls._table
 
+    @classmethod
+    def pieces(cls, text: str, most: int = 1 << 18) -> Iterator:
+        """Letters of a text, with one space for each run of other characters and at the end, up to ``most`` at a time."""
+        import numpy as np
+
+        x = np.array([32])
+        for at in range(0, len(text), most):
+            x = np.concatenate((x[-1:], cls.table()[np.frombuffer(text[at : at + most].encode("utf-32-le", "surrogatepass"), "<u4")]))
+            yield x[1:][(x[1:] != 32) | (x[:-1] != 32)]
+        yield np.full(int(x[-1] != 32), 32)
+
     @classmethod
     def of(cls, text: str):
-        """Letters of a text, with one space for each run of other characters, and around it."""
+        """All letters of a text in one piece."""
         import numpy as np
 
-        x = cls.table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-        x = np.concatenate(([32], x, [32]))
-        return x[1:][(x[1:] != 32) | (x[:-1] != 32)]
+        return np.concatenate([*cls.pieces(text)])
 
 
 def _grams(flat):
@@ -140,23 +150,32 @@ class KneserNey:
         """(texts x languages) mean of -log p, and each text's number of characters."""
         import numpy as np
 
-        seqs = [Letters.of(t) for t in texts]
-        pad = np.full(ORDER - 1, 32, np.int64)
-        flat = np.concatenate([x for s in seqs for x in (pad, s)]) if seqs else np.zeros(0, np.int64)
-        sizes = np.array([len(s) for s in seqs])
-        begin = np.cumsum(sizes + ORDER - 1) - sizes
-        total = np.zeros((len(seqs), len(self.langs)))
-        # a bounded number of places at a time, whatever the length of a text
-        step = 1 << 18
-        doc_of = np.repeat(np.arange(len(seqs)), sizes)
-        places = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        hashes = _grams(flat)
-        for at in range(0, len(places), step):
-            p = places[at : at + step]
+        total, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        owners, held = [], []
+
+        def add():
+            n = np.array([len(x) for x in held]) - (ORDER - 1)
+            first = np.cumsum(n + ORDER - 1) - n
+            p = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            hashes, d = _grams(np.concatenate(held)), np.repeat(owners, n)
             logs = self.lookup([h[p] for h in hashes], [h[p - 1] for h in hashes[: ORDER - 1]])
-            d = doc_of[at : at + step]
             for l in range(len(self.langs)):
-                total[:, l] -= np.bincount(d, logs[:, l], len(seqs))
+                total[:, l] -= np.bincount(d, logs[:, l], len(texts))
+            owners.clear()
+            held.clear()
+
+        # a bounded number of places at a time, whatever the length of a text
+        for i, text in enumerate(texts):
+            before = np.full(ORDER - 1, 32, np.int64)
+            for piece in Letters.pieces(text):
+                before = np.concatenate((before[1 - ORDER :], piece))
+                owners.append(i)
+                held.append(before)
+                sizes[i] += len(piece)
+                if sum(map(len, held)) >= 1 << 18:
+                    add()
+        if held:
+            add()
         return total / np.maximum(sizes, 1)[:, None], sizes
 
 
