@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +33,22 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` of a mapInArrow, after which freed memory goes back to the system.
+
+    Python workers live on between tasks, several to an executor, and would otherwise hold on to the most
+    that any of their tasks has had.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches) -> Iterator:
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return wrapped

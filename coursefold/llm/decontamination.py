@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 #: Lower-cases A-Z and puts a space for each byte that is not in a word.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -213,7 +213,7 @@ def _one_block(docs: DataFrame, items: list[tuple[str, bytes | None]], width: in
 
     narrow = docs.select(*key, F.col("text").cast("binary").alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1]), HITS])
-    return narrow.mapInArrow(find, schema)
+    return narrow.mapInArrow(tidy(find), schema)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 16 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

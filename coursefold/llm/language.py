@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 ORDER = 4
 PREDICTION = "lang_pred string, score double, cross_entropy double, chars long"
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, sample_rows: int = 500) -> KneserNey | None:
     Documents whose crc32(doc_id) mod 4 is 2 are never learned from, and those where it is 3 are left
     for calibration. None if no language is left.
     """
-    rows = _sample(docs, (0, 1), sample_rows).select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long")
+    rows = _sample(docs, (0, 1), sample_rows).select("lang", "text").mapInArrow(tidy(_counted), "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = {}
     for r in rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r.lang, {})[r.gram] = r.n
@@ -252,7 +252,7 @@ def predict(docs: DataFrame, model: KneserNey | None, *keep: str) -> DataFrame:
 
     narrow = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
-    return narrow.mapInArrow(run, f"{schema}, {PREDICTION}")
+    return narrow.mapInArrow(tidy(run), f"{schema}, {PREDICTION}")
 
 
 def calibrate(docs: DataFrame, model: KneserNey | None, sample_rows: int = 500, quantile: float = 0.995, margin: float = 0.5) -> dict[str, float]:

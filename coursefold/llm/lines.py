@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 _LAST = (1 << 63) - 1
 POSITION = ["d", "t", "i"]
@@ -62,7 +62,7 @@ def long_lines(docs: DataFrame, least: int) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[5:])], names=["d", "t", "i", "l1", "l2", "k1", "k2", "k3", "k4"])
 
-    return _keyed(docs).mapInArrow(run, LINES)
+    return _keyed(docs).mapInArrow(tidy(run), LINES)
 
 
 def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["d", "t", "i", "line"])
 
     wanted = places.groupBy("d", "t").agg(F.collect_list("i").alias("which"))
-    found = _keyed(docs).join(wanted, ["d", "t"]).select("d", "t", "body", "which").mapInArrow(run, "d long, t long, i int, line binary")
+    found = _keyed(docs).join(wanted, ["d", "t"]).select("d", "t", "body", "which").mapInArrow(tidy(run), "d long, t long, i int, line binary")
     return found.groupBy("d", "t", "i").agg(F.first("line").alias("line"))  # repeated rows give a line twice
 
 
@@ -112,7 +112,7 @@ def _variants(lines: DataFrame) -> DataFrame:
             place = [np.repeat(np.asarray(b.column(k)), n) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*(pa.array(p) for p in place), pa.array(np.concatenate(vs).view(np.int64)), pa.array(np.concatenate(js).astype(np.int32))], names=["d", "t", "i", "v", "j"])
 
-    return lines.select("d", "t", "i", "line").mapInArrow(run, "d long, t long, i int, v long, j int")
+    return lines.select("d", "t", "i", "line").mapInArrow(tidy(run), "d long, t long, i int, v long, j int")
 
 
 def within_one_word(a: bytes | None, b: bytes | None) -> bool:

@@ -17,7 +17,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPEN = PIECES + ", batch int, ids binary"
@@ -30,10 +30,11 @@ class ChunkTokenizer:
     """Token ids of a text as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks between ASCII white space. Ids of chunks are remembered, up to ``limit`` of them.
+    chunks between ASCII white space. Ids of ``limit`` chunks and of twice as many parts of chunks are
+    remembered, and those of one more block of text.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,7 +62,7 @@ class ChunkTokenizer:
 
         if len(self.chunks) > self.limit:
             self.chunks.clear()
-        if len(self.parts) > self.limit:
+        if len(self.parts) > 2 * self.limit:
             self.parts = {"": b""}
         new: set[bytes] = set()
         for chunks in texts:
@@ -221,13 +222,14 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), tok.ids([t or b"" for t in batch.column(1).to_pylist()])):
-                body += end
-                for closed in windows.place((doc_id, body), 0, len(body) // 4):
-                    rows.extend(_rows(sequence, closed))
-                    sequence += 1
-            yield out()
-            rows.clear()
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                for doc_id, body in zip(part.column(0).to_pylist(), tok.ids([t or b"" for t in part.column(1).to_pylist()])):
+                    body += end
+                    for closed in windows.place((doc_id, body), 0, len(body) // 4):
+                        rows.extend(_rows(sequence, closed))
+                        sequence += 1
+                yield out()
+                rows.clear()
         for held in windows.held.values():
             rows.extend(_rows(sequence, held, pid // fan_in))
             sequence += 1
@@ -249,7 +251,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         return out.astype({"doc_id": "Int64"})
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    placed = materialize(narrow.mapInArrow(tasks, OPEN))  # tokenized once for both uses
+    placed = materialize(narrow.mapInArrow(tidy(tasks), OPEN))  # tokenized once for both uses
     closed = placed.where("batch is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     return closed.unionByName(placed.where("batch is not null").groupBy("batch").applyInPandas(merge, PIECES))
 

@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 from .components import components
 
 
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, *extra) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.col("text").cast("binary").alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema[:-1])
-    return narrow.mapInArrow(run, f"{schema}, fp long")
+    return narrow.mapInArrow(tidy(run), f"{schema}, fp long")
 
 
 def segments(blocks: int) -> list[tuple[int, int]]:
