@@ -102,6 +102,38 @@ def test_line_dedup(spark, docs, none):
     assert left == {0: "a b c d e f", 1: "keep\nkeep", 2: "", 3: "", 4: "b c d e f a"}
 
 
+def test_similar_lines_of_any_length(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    base = [[word() for _ in range(n)] for n in (5, 9, 10, 14, 20, 33, 100) for _ in range(6)]
+    made = [list(b) for b in base]
+    for b in base:
+        for edits in (1, 2, len(b) // 5, len(b) // 5 + 1):
+            x = list(b)
+            for _ in range(edits):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice([[], [word()], [x[at], word()]])
+            made.append(x)
+    made += [rng.sample(base[40], 100) for _ in range(6)]  # the same words elsewhere
+    hot = [base[30][:20] + [word() for _ in range(13)] for _ in range(300)]  # a shared passage, not near
+    texts = [" ".join(x) for x in made + hot + [[w.upper() for w in base[33]]]]
+    rng.shuffle(texts)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, q in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+        return row[-1]
+
+    words = [t.lower().split() for t in texts]
+    close = lambda x, y: abs(len(x) - len(y)) <= max(len(x), len(y)) // 5 and len(set(x) & set(y)) >= len(set(x)) - max(len(x), len(y)) // 5 and 5 * distance(x, y) <= max(len(x), len(y))
+    want = {i for i, x in enumerate(words) if len(x) >= 5 and any(len(y) >= 5 and close(x, y) for y in words[:i])}
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_dropped > 0").collect()
+    assert {r.doc_id for r in got} == want and len(want) > 90
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16))
