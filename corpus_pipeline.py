@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier, equal or near; those left without any text go."""
-    left = dedup_lines(docs).where("n_dropped = 0 or trim(text) <> ''")
+    left = dedup_lines(docs, short=True).where("n_dropped = 0 or trim(text) <> ''")
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

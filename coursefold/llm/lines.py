@@ -365,11 +365,11 @@ def near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.where(near("a", "b")).select(*POSITION).distinct()
 
 
-def kept_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> DataFrame:
-    """d, t and the numbers of the long lines that stay, for each document that keeps any."""
+def kept_lines(docs: DataFrame, least: int = 5, one_word: bool = False, short: bool = False) -> DataFrame:
+    """d, t and the numbers of the long lines (with ``short``, of all lines with words) that stay, for each document that keeps any."""
     first = F.min(F.struct(*POSITION)).alias("first")
     if not one_word:
-        lines = similar_lines(docs, least, least)
+        lines = similar_lines(docs, least, 1 if short else least)
         distinct = lines.groupBy("l1", "l2").agg(first, *(F.first(c).alias(c) for c in ("n", "s", "ks")))  # equal for equal lines
         distinct = materialize(distinct.select("first.*", "n", "s", "ks"))
         kept = distinct.select(*POSITION).join(similar_earlier(docs, distinct), POSITION, "left_anti")
@@ -381,17 +381,19 @@ def kept_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> DataF
     return kept.groupBy("d", "t").agg(F.collect_list("i").alias("stay"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 5, one_word: bool = False, short: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with the kept lines as ``text``, and n_lines and n_dropped.
 
     A line of at least ``least`` words goes if an equal or near line stands earlier, in the order of doc_id
     (null last) and line; whether that one goes itself does not matter. Near is a word edit distance of at most
-    a fifth of the longer line's words, or of 1 with ``one_word``. Shorter lines stay. A null text
+    a fifth of the longer line's words, or of 1 with ``one_word``. Shorter lines stay; with
+    ``short`` (not with ``one_word``), those go that have an equal line earlier, and only lines without words stay. A null text
     stays null and has no lines. Repeated rows with one id are one document to the order, so they keep
     the same lines. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    stay = materialize(kept_lines(docs, least, one_word))
+    stay = materialize(kept_lines(docs, least, one_word, short))
+    judged = 1 if short else least
     schema = docs.schema
 
     @F.pandas_udf("struct<text:string,n_lines:long,n_dropped:long>")
@@ -405,7 +407,7 @@ def dedup_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> Data
                 continue
             lines = text.split("\n")
             keep = set() if keep is None else set(keep)
-            left = [x for i, x in enumerate(lines) if i in keep or len(_words(x.encode())) < least]
+            left = [x for i, x in enumerate(lines) if i in keep or len(_words(x.encode())) < judged]
             out.append(("\n".join(left), len(lines), len(lines) - len(left)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
@@ -423,9 +425,9 @@ def op3_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_similar_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows with the bound that grows with the line, as in the pipeline."""
+    """As in the pipeline: the bound grows with the line, and short lines go if an equal one stands earlier."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs, short=True).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP3_SQL = r"""

@@ -134,6 +134,16 @@ def test_similar_lines_of_any_length(spark):
     assert {r.doc_id for r in got} == want and len(want) > 90
 
 
+def test_short_lines_go_when_repeated(spark):
+    rows = [(0, "Home page\n\nx y z w\nhome  page"), (1, "HOME page\n\nx y z\na b c d e"), (2, "a b c d\nx y z w\na b c d e f"), (3, "home page")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs, short=True).collect()} == {0: "Home page\n\nx y z w", 1: "\nx y z\na b c d e", 2: "a b c d", 3: ""}
+    assert lines.dedup_lines(docs.limit(0), short=True).count() == 0
+    import corpus_pipeline as cp
+
+    assert {r.doc_id for r in cp.lines(spark, docs.withColumn("n_chars", F.length("text").cast("long")), SF).collect()} == {0, 1, 2}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16))
