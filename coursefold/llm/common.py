@@ -1,38 +1,101 @@
-"""What the pipeline operators share: reading tables and cutting lineage through the shared folder."""
+"""What the pipeline operators share: tables, whole rows beside own columns, long texts in pieces, and cut lineage."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_SPACE = re.compile(rb"[\t-\r ]")
+#: Frees an execution's shuffle files once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The caller's columns as one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*(F.col(quoted(c)) for c in (docs.columns if columns is None else columns)))
+
+
+def unboxed(docs: DataFrame, row: str = "row", **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of their struct, some of them ``changed``."""
+    return [(changed[c] if c in changed else F.col(row).getField(c)).alias(c) for c in docs.columns]
+
+
+def own_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with ``_`` before it as long as ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """``text`` in pieces of about ``most`` bytes, cut before white space: no word is cut, however long."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + most) if len(text) > at + most else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where a session names no such folder, as in tests, is a local one set for it.
+    Only in local mode, where there is one machine, a folder of its own is set for a session without it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write a table as Parquet; the shuffle files that it took are freed, as only the table is read later."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession)
+    write(df, path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove what ``materialize`` has written so far, and ``paths``: for callers whose result is written itself."""
+    hadoop = spark._jvm.org.apache.hadoop.fs  # the only way to any store that Spark writes to
+    for path in (*_WRITTEN, *paths):
+        where = hadoop.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
 
 
 def tidy(run: Callable) -> Callable:

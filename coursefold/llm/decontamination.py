@@ -1,6 +1,6 @@
 """Operator 5: benchmark decontamination with an FM-index for each training shard.
 
-A shard is the documents of one Arrow batch. Its text is a sequence of word numbers in which only
+A shard is a bounded stretch of a task's documents. Its text is a sequence of word numbers in which only
 runs of benchmark words long enough for a phrase are kept: no phrase can occur elsewhere. The shard's
 suffixes are sorted, the Burrows-Wheeler transform goes into a wavelet matrix, and all phrases are
 searched backwards together, one array operation for each word and level. Occurrences are located
@@ -9,31 +9,46 @@ by walking to sampled suffix positions, and their spans are merged for each docu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import materialize, table, tidy
+from .common import boxed, materialize, pieces, table, tidy
 
 #: Lower-cases A-Z and puts a space for each byte that is not in a word.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Words of a text: digits, letters and all that is not ASCII. Null has none."""
-    return (text or b"").translate(_WORD_BYTES).split()
+def words(text: bytes | None) -> Iterator[bytes]:
+    """Words of a text: digits, letters and all that is not ASCII. Null has none. Taken a MB of text at a time."""
+    for piece in pieces((text or b"").translate(_WORD_BYTES)):
+        yield from piece.split()
 
 
-def phrases_of(items: list[tuple[str, bytes | None]], width: int) -> tuple[dict[bytes, int], dict[tuple[int, ...], list[str]]]:
-    """Numbers (from 1) of the benchmark's words, and for each window its items."""
-    vocabulary: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], list[str]] = {}
-    for item, text in items:
-        ids = tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text))
-        for i in range(max(1, len(ids) - width + 1) if ids else 0):
-            windows.setdefault(ids[i : i + width], []).append(item)
-    return vocabulary, windows
+class Phrases:
+    """A block of the benchmark: numbers (from 1) of its words, its windows as rows of numbers, and their items.
+
+    Rows are padded with 0 at the left. Window i's items are ``owners[starts[i]:starts[i + 1]]``, which number ``names``.
+    """
+
+    def __init__(self, items: list[tuple[str | None, bytes | None]], width: int):
+        import numpy as np
+
+        self.vocabulary: dict[bytes, int] = {}
+        windows: dict[bytes, list[int]] = {}
+        self.names = [name for name, _ in items]
+        for n, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], "<i4")
+            for i in range(max(1, len(ids) - width + 1) if len(ids) else 0):
+                windows.setdefault(ids[i : i + width].tobytes().rjust(4 * width, b"\0"), []).append(n)
+        self.patterns = np.frombuffer(b"".join(windows), "<i4").reshape(-1, width)
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        self.starts = np.cumsum([0, *map(len, windows.values())])
+        self.owners = np.array([n for own in windows.values() for n in own], np.int32)
 
 
 class WaveletMatrix:
@@ -132,7 +147,7 @@ class FMIndex:
         return out
 
 
-def _shard_hits(ids: list, patterns, lengths, least: int):
+def _shard_hits(ids: list, phrases: Phrases):
     """(document, first word, words, pattern) of each occurrence in one shard of documents' word numbers."""
     import numpy as np
 
@@ -144,7 +159,7 @@ def _shard_hits(ids: list, patterns, lengths, least: int):
     known = np.concatenate(([0], (flat > 0).view(np.int8), [0]))
     edge = np.diff(known)
     first, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    keep = past - first >= least
+    keep = past - first >= phrases.lengths.min()
     first, past = first[keep], past[keep]
     if not len(first):
         return [np.zeros(0, np.int64)] * 4
@@ -154,13 +169,13 @@ def _shard_hits(ids: list, patterns, lengths, least: int):
     runs = flat[np.minimum(origin, len(flat) - 1)]
     runs[start + width - 1] = 0
     index = FMIndex(runs)
-    lo, hi = index.search(patterns)
+    lo, hi = index.search(phrases.patterns)
     count = hi - lo
-    which = np.repeat(np.arange(len(patterns)), count)
+    which = np.repeat(np.arange(len(lo)), count)
     rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     at = origin[index.locate(rows)]
     doc = np.searchsorted(base, at, side="right") - 1
-    return [doc, at - base[doc], lengths[which], which]
+    return [doc, at - base[doc], phrases.lengths[which], which]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -176,70 +191,81 @@ def merged(spans) -> list[tuple[int, int]]:
 HITS = "n_words long, spans array<struct<first:int,past:int>>, items array<string>"
 
 
-def _one_block(docs: DataFrame, items: list[tuple[str, bytes | None]], width: int, key: list[str]) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary, windows = phrases_of(items, width)
-    shared = spark.sparkContext.broadcast((vocabulary, list(windows.items())))
-    least = min(map(len, windows), default=width)
+def _one_block(docs: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, shard_bytes: int, text: int | None = None) -> DataFrame:
+    """Hits of one block. ``docs`` has row and text, or only a row whose field number ``text`` is the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, width))
+
+    def shard(texts, phrases):
+        import numpy as np
+
+        number = phrases.vocabulary.get
+        ids = [np.fromiter(map(number, words(t.as_py()), repeat(0)), np.int32) for t in texts]
+        found: list[tuple[list, set]] = [([], set()) for _ in ids]
+        if len(phrases.patterns):
+            for d, first, n, which in zip(*(x.tolist() for x in _shard_hits(ids, phrases))):
+                found[d][0].append((first, first + n))
+                found[d][1].update(phrases.owners[phrases.starts[which] : phrases.starts[which + 1]].tolist())
+        for own, (spans, owners) in zip(ids, found):
+            yield len(own), [{"first": a, "past": b} for a, b in merged(spans)], sorted({phrases.names[n] for n in owners} - {None})
 
     def find(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        vocabulary, windows = shared.value
-        patterns = np.zeros((len(windows), width), np.int64)
-        for i, (w, _) in enumerate(windows):
-            patterns[i, width - len(w) :] = w
-        lengths = np.array([len(w) for w, _ in windows], np.int64)
-        number = vocabulary.get
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            counts, ids = [], []
-            for t in texts:
-                w = words(t)
-                counts.append(len(w))
-                ids.append(np.array([number(x, 0) for x in w], np.int32))
-            found: dict[int, tuple[list, set]] = {}
-            if windows:
-                for d, first, n, which in zip(*(x.tolist() for x in _shard_hits(ids, patterns, lengths, least))):
-                    spans, names = found.setdefault(d, ([], set()))
-                    spans.append((first, first + n))
-                    names.update(windows[which][1])
-            spans = [[{"first": a, "past": b} for a, b in merged(found[i][0])] if i in found else [] for i in range(len(texts))]
-            names = [sorted(found[i][1]) if i in found else [] for i in range(len(texts))]
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
-            keys = [batch.column(i) for i in range(len(key))]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], names=[*key, "n_words", "spans", "items"])
-
-    narrow = docs.select(*key, F.col("text").cast("binary").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1]), HITS])
-    return narrow.mapInArrow(tidy(find), schema)
-
-
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 16 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: ``keep``, n_words, merged word spans of benchmark windows, the items' ids.
+            texts = batch.column(1) if text is None else batch.column(0).field(text)
+            texts = texts.cast(pa.binary())
+            # a stretch of documents, or one that is longer by itself
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + shard_bytes, "right")))
+                counts, spans, names = zip(*shard(texts[at:to], shared.value))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
+                at = to
+
+    schema = docs.select("row").schema
+    for field in StructType.fromDDL(HITS):
+        schema = schema.add(field)
+    out = docs.mapInArrow(tidy(find), schema)
+    out.phrases = shared  # for those who are done with it before others
+    return out
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: row (a struct of ``keep``), n_words, merged word spans of benchmark windows, the items' ids.
 
     A window is ``width`` consecutive words of an item, or the whole of a shorter one; an item with no
-    word, such as a null text, has none. The benchmark is sent to the tasks in blocks of at most
-    ``block_bytes`` of text, however large it is, and blocks' spans are merged. A null document has no
-    words. Repeated rows give a row each; an empty benchmark hits nothing; further columns are ignored.
+    word, such as a null text, has none. An item without an id hits like others and is only not named. The benchmark
+    is sent to the tasks in blocks of at most ``block_bytes`` of text or one item, one after the other however large it is,
+    and blocks' spans are merged. A null document has no words. Long texts are split a MB at a time; an index covers
+    at most ``shard_bytes`` of text or one longer document. Repeated rows give a row each; an empty benchmark hits
+    nothing; an empty table gives no rows; further columns are ignored, and the kept ones can have any name.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     if blocks == 1:
-        return _one_block(docs, [tuple(r) for r in items.collect()], width, list(keep))
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*keep, "text"])))
-    cut = materialize(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))))
-    parts = [_one_block(numbered, [(r.item, r.text) for r in cut.where(F.col("block") == b).toLocalIterator()], width, ["_row"]) for b in range(blocks)]
+        narrow = docs.select(boxed(docs, list(keep)).alias("row"), *([] if "text" in keep else [F.col("text").cast("binary").alias("text")]))
+        return _one_block(narrow, [tuple(r) for r in items.collect()], width, shard_bytes, keep.index("text") if "text" in keep else None)
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"), boxed(docs, list(keep)).alias("kept")))
+    cut = materialize(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))))
+    parts = []
+    for b in range(blocks):
+        part = _one_block(numbered.select("row", "text"), [(r.item, r.text) for r in cut.where(F.col("block") == b).toLocalIterator()], width, shard_bytes)
+        parts.append(materialize(part))
+        part.phrases.destroy()  # one block at a time takes memory
     every = reduce(DataFrame.unionByName, parts)
-
-    @F.udf("array<struct<first:int,past:int>>")
-    def join_spans(spans):
-        return merged((s.first, s.past) for s in spans)
-
-    both = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return numbered.select("_row", *keep).join(both, "_row").select(*keep, "n_words", join_spans("spans").alias("spans"), "items")
+    before = Window.partitionBy("row").orderBy("first", "past")
+    spans = every.select("row", F.inline("spans")).withColumn("reach", F.max("past").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("island", F.count(F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach")), 1)).over(before))
+    spans = spans.groupBy("row", "island").agg(F.min("first").alias("first"), F.max("past").alias("past")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("spans"))
+    names = every.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = numbered.select("row", "kept").join(parts[0].select("row", "n_words"), "row").join(spans, "row", "left").join(names, "row", "left")
+    nothing = lambda c: F.coalesce(c, F.array().cast(every.schema[c].dataType)).alias(c)
+    return out.select(F.col("kept").alias("row"), "n_words", nothing("spans"), nothing("items"))
 
 
 def judged(hits: DataFrame) -> DataFrame:
@@ -252,4 +278,4 @@ def judged(hits: DataFrame) -> DataFrame:
 
 def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = judged(find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    return hits.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")

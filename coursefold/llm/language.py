@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import boxed, table, tidy
 
 ORDER = 4
 PREDICTION = "lang_pred string, score double, cross_entropy double, chars long"
@@ -190,6 +190,7 @@ def _counted(batches):
     for batch in batches:
         found: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text.decode("utf-8", "replace")
             t = " " * (ORDER - 1) + "".join(map(chr, Letters.of(text).tolist()))
             found.update((lang, t[i : i + ORDER]) for i in range(len(t) - ORDER + 1))
         keys = list(found)
@@ -202,9 +203,9 @@ def _fold() -> F.Column:
 
 def _sample(docs: DataFrame, folds: tuple[int, ...], rows: int) -> DataFrame:
     """At most ``rows`` labelled documents of each language, by the hash of their id."""
-    some = docs.where(_fold().isin(*folds)).where("lang is not null and text is not null")
+    some = docs.where(_fold().isin(*folds)).where("lang is not null and text is not null").select("lang", "doc_id", "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = some.select("lang", "doc_id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows).select("lang", "doc_id")
+    ids = some.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("lang", "doc_id")
     return some.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
 
 
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, sample_rows: int = 500) -> KneserNey | None:
     Documents whose crc32(doc_id) mod 4 is 2 are never learned from, and those where it is 3 are left
     for calibration. None if no language is left.
     """
-    rows = _sample(docs, (0, 1), sample_rows).select("lang", "text").mapInArrow(tidy(_counted), "lang string, gram string, n long")
+    rows = _sample(docs, (0, 1), sample_rows).select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_counted), "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = {}
     for r in rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r.lang, {})[r.gram] = r.n
@@ -222,10 +223,11 @@ def fit(docs: DataFrame, sample_rows: int = 500) -> KneserNey | None:
 
 
 def predict(docs: DataFrame, model: KneserNey | None, *keep: str) -> DataFrame:
-    """``keep`` columns, lang_pred, score, cross_entropy and chars of each document, from its text alone.
+    """row (the ``keep`` columns), lang_pred, score, cross_entropy and chars of each document, from its text alone.
 
     A text that is null or has no letter is ``und`` with score 0. The score is the chosen language's
-    share if all were equally likely before, the text counting as 50 characters at most.
+    share if all were equally likely before, the text counting as 50 characters at most. Of languages with equal
+    cross-entropy the first by name is taken. Bytes that are not UTF-8 count as no letters.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -235,7 +237,9 @@ def predict(docs: DataFrame, model: KneserNey | None, *keep: str) -> DataFrame:
 
         model = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            row = batch.column(0)
+            texts = row.field(keep.index("text")) if "text" in keep else batch.column(1)
+            texts = [None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
             names, scores, best = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
             sizes = np.zeros(len(texts), np.int64)
             real = [i for i, t in enumerate(texts) if model and has_letter(t)]
@@ -248,11 +252,13 @@ def predict(docs: DataFrame, model: KneserNey | None, *keep: str) -> DataFrame:
                 for k, i in enumerate(some):
                     names[i] = model.langs[first[k]]
                 scores[some], best[some], sizes[some] = share, low, n
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores), pa.array(best, from_pandas=True), pa.array(sizes)], names=[*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "chars"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(names, pa.string()), pa.array(scores), pa.array(best, from_pandas=True), pa.array(sizes)], names=["row", "lang_pred", "score", "cross_entropy", "chars"])
 
-    narrow = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
-    return narrow.mapInArrow(tidy(run), f"{schema}, {PREDICTION}")
+    narrow = docs.select(boxed(docs, list(keep)).alias("row"), *([] if "text" in keep else [F.col("text").cast("binary").alias("text")]))
+    schema = narrow.select("row").schema
+    for name, kind in (c.split() for c in PREDICTION.split(", ")):
+        schema = schema.add(name, kind)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def calibrate(docs: DataFrame, model: KneserNey | None, sample_rows: int = 500, quantile: float = 0.995, margin: float = 0.5) -> dict[str, float]:
@@ -263,14 +269,14 @@ def calibrate(docs: DataFrame, model: KneserNey | None, sample_rows: int = 500,
     """
     if model is None:
         return {}
-    own = predict(_sample(docs, (3,), sample_rows), model, "lang").where("lang = lang_pred")
-    return {r.lang: r.q + margin for r in own.groupBy("lang").agg(F.percentile("cross_entropy", F.lit(quantile)).alias("q")).collect()}
+    own = predict(_sample(docs, (3,), sample_rows), model, "lang").where("row.lang = lang_pred")
+    return {r.lang: r.q + margin for r in own.groupBy("row.lang").agg(F.percentile("cross_entropy", F.lit(quantile)).alias("q")).collect()}
 
 
 def identify(docs: DataFrame, *keep: str) -> DataFrame:
     """``predict`` with models learned from ``docs``, and ``rejected``: und, or too unlike its language.
 
-    A null doc_id is not learned from. Repeated rows are predicted once each. Without any labelled
+    The ``keep`` columns come as one struct, ``row``, whatever their names. A null doc_id is not learned from. Repeated rows are predicted once each. Without any labelled
     document all are ``und``; an empty table gives no rows. As a short text's cross-entropy varies
     more, 4 / sqrt(characters) nats are added to the limit.
     """
@@ -285,5 +291,5 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
 
 def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, "doc_id")
+    found = identify(docs, "doc_id").withColumn("doc_id", F.col("row.doc_id"))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(_fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

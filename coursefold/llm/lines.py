@@ -1,7 +1,8 @@
 """Operator 3: near-duplicate lines by a deletion-neighbourhood join, or by rare words.
 
-A line is its words, in lower case for A-Z. By op3_deletion_line_dedup's SQL two lines are near if one
-word changed, added or removed makes them equal. A near pair shares the
+A line is its words, in lower case for A-Z. Of equal lines, of any length, the earliest stays. By
+op3_deletion_line_dedup's SQL two lines of five words or more are near, too, if one word changed, added or
+removed makes them equal. A near pair shares the
 words left or right of that place, so only lines that share half their words with another line go on.
 Those emit each variant with one word deleted, as a hashed key. Lines with equal variants at one
 place, and a line equal to another's variant, are near; the earliest of them stands for its group, so
@@ -12,18 +13,24 @@ One word is all of the pairs at a similarity of 0.8 only for lines of five to ni
 one. Each edit takes at most one word from a line's set, so of two near lines the least word that both have,
 in any order of all words, is among the first n // 5 + 1 of each. Lines that share such a key, rarest words
 first, are compared by bit signatures of their words, and the edit distance of what is left is verified.
+
+Distinct lines are numbered in the order of their places, so that one long stands for a line and its place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tidy
+from .common import boxed, materialize, own_name, table, tidy, unboxed
 
 _LAST = (1 << 63) - 1
 POSITION = ["d", "t", "i"]
 LINES = "d long, t long, i int, l1 long, l2 long, k1 long, k2 long, k3 long, k4 long"
+#: Bytes of lines handled at once in a task.
+_AT_ONCE = 1 << 20
 
 
 def _words(line: bytes) -> list[bytes]:
@@ -48,50 +55,60 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(body).alias("t"), body.cast("binary").alias("body"))
 
 
+def _read(batches) -> Iterator[list[tuple]]:
+    """(d, t, i, words) of the lines with words, some ``_AT_ONCE`` bytes of text in a list."""
+    rows, size = [], 0
+    for b in batches:
+        for d, t, body in zip(*b.columns):
+            d, t = d.as_py(), t.as_py()
+            for i, line in enumerate(body.as_py().split(b"\n")):
+                if words := _words(line):
+                    rows.append((d, t, i, words))
+                    size += len(line)
+                    if size >= _AT_ONCE:
+                        yield rows
+                        rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def long_lines(docs: DataFrame, least: int) -> DataFrame:
-    """Lines of at least ``least`` words: place, 128-bit name and half keys."""
+    """Lines with words: place, 128-bit name, and from ``least`` words on half keys."""
 
     def run(batches):
         import struct
 
-        import numpy as np
         import pyarrow as pa
         import xxhash
 
-        for b in batches:
+        for some in _read(batches):
             rows = []
-            for d, t, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for i, line in enumerate(body.split(b"\n")):
-                    words = _words(line)
-                    if len(words) >= least:
-                        rows.append((d, t, i, *struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words))), *_halves(words)))
-            cols = list(zip(*rows)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[5:])], names=["d", "t", "i", "l1", "l2", "k1", "k2", "k3", "k4"])
+            for d, t, i, words in some:
+                keys = [k - (k >> 63 << 64) for k in _halves(words)] if len(words) >= least else [None] * 4
+                rows.append((d, t, i, *struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words))), *keys))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(zip(*rows))], names=["d", "t", "i", "l1", "l2", "k1", "k2", "k3", "k4"])
 
     return _keyed(docs).mapInArrow(tidy(run), LINES)
 
 
 def _line_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """d, t, i, line (its words, joined by spaces) of the given places."""
+    """id, line (its words, joined by spaces) of the lines at ``places`` (id, d, t, i)."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = []
-            for d, t, body, which in zip(*(c.to_pylist() for c in b.columns)):
-                lines = body.split(b"\n")
-                rows += [(d, t, i, b" ".join(_words(lines[i]))) for i in which]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["d", "t", "i", "line"])
+            for body, which in zip(b.column(0), b.column(1)):
+                lines, which = body.as_py().split(b"\n"), which.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([w["id"] for w in which], pa.int64()), pa.array([b" ".join(_words(lines[w["i"]])) for w in which], pa.binary())], names=["id", "line"])
 
-    wanted = places.groupBy("d", "t").agg(F.collect_list("i").alias("which"))
-    found = _keyed(docs).join(wanted, ["d", "t"]).select("d", "t", "body", "which").mapInArrow(tidy(run), "d long, t long, i int, line binary")
-    return found.groupBy("d", "t", "i").agg(F.first("line").alias("line"))  # repeated rows give a line twice
+    wanted = places.groupBy("d", "t").agg(F.collect_list(F.struct("id", "i")).alias("which"))
+    found = _keyed(docs).join(wanted, ["d", "t"]).select("body", "which").mapInArrow(tidy(run), "id long, line binary")
+    return found.groupBy("id").agg(F.first("line").alias("line"))  # repeated rows give a line twice
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """place, v (hash), j: each line without its word j, and with j = -1 the whole line to compare with those."""
+    """id, v (hash), j: each line without its word j, and with j = -1 the whole line to compare with those."""
 
     def run(batches):
         import numpy as np
@@ -100,25 +117,30 @@ def _variants(lines: DataFrame) -> DataFrame:
 
         base = np.uint64(0x9E3779B97F4A7C15)
         up = np.ones(1, np.uint64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(vs).view(np.int64)), pa.array(np.concatenate(js).astype(np.int32))], names=["id", "v", "j"])
+
+        ids, vs, js, n = [], [], [], []
         for b in batches:
-            vs, js, n = [], [], []
-            for line in b.column(3).to_pylist():
-                h = np.array(list(map(xxhash.xxh64_intdigest, line.split(b" "))), np.uint64)
+            for id_, line in zip(*b.columns):
+                h = np.array(list(map(xxhash.xxh64_intdigest, line.as_py().split(b" "))), np.uint64)
                 if len(h) > len(up):
                     up = np.full(2 * len(h), base)
                     up[0] = 1
                     up = np.multiply.accumulate(up)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+                ids.append(id_.as_py())
                 vs.append(np.append(total[:-1] * base + (total[-1] - total[1:]), total[-1:] * base))
                 js.append(np.append(np.arange(len(h)), -1))
                 n.append(len(h) + 1)
-            if not n:
-                continue
-            # one array for each column; a line's place repeats for its variants
-            place = [np.repeat(np.asarray(b.column(k)), n) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(p) for p in place), pa.array(np.concatenate(vs).view(np.int64)), pa.array(np.concatenate(js).astype(np.int32))], names=["d", "t", "i", "v", "j"])
+                if n[-1] > 1 << 16 or len(n) >= 1 << 12:
+                    yield out()
+                    ids, vs, js, n = [], [], [], []
+        if n:
+            yield out()
 
-    return lines.select("d", "t", "i", "line").mapInArrow(tidy(run), "d long, t long, i int, v long, j int")
+    return lines.select("id", "line").mapInArrow(tidy(run), "id long, v long, j int")
 
 
 def within_one_word(a: bytes | None, b: bytes | None) -> bool:
@@ -168,8 +190,8 @@ def _word_counts(docs: DataFrame, share: float = 0.02, most: int = 65536) -> tup
         import pyarrow as pa
         import xxhash
 
-        for b in batches:
-            hashes = [xxhash.xxh64_intdigest(w) for body in b.column(2).to_pylist() for w in body.lower().split()]
+        for some in _read(batches):
+            hashes = [xxhash.xxh64_intdigest(w) for *_, words in some for w in words]
             h, n = np.unique(np.array(hashes, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -180,8 +202,8 @@ def _word_counts(docs: DataFrame, share: float = 0.02, most: int = 65536) -> tup
     return h[order], np.array([r.n for r in rows], np.int64)[order]
 
 
-def similar_lines(docs: DataFrame, least: int, names_from: int) -> DataFrame:
-    """Lines of at least ``names_from`` words: place, 128-bit name, and from ``least`` words on n, signature and keys."""
+def similar_lines(docs: DataFrame, least: int) -> DataFrame:
+    """Lines with words: place, 128-bit name, n, and from ``least`` words on signature and keys."""
     common, counts = _word_counts(docs)
 
     def run(batches):
@@ -191,39 +213,33 @@ def similar_lines(docs: DataFrame, least: int, names_from: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for whole in batches:
-            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                rows, hashes = [], []
-                for d, t, body in zip(*(c.to_pylist() for c in b.columns)):
-                    for i, line in enumerate(body.split(b"\n")):
-                        words = _words(line)
-                        if len(words) >= names_from:
-                            rows.append((d, t, i, *struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words))), len(words)))
-                            hashes.extend(map(xxhash.xxh64_intdigest, words))
-                if not rows:
-                    continue
-                cols = list(zip(*rows))
-                h, n = np.array(hashes, np.uint64), np.array(cols[5])
-                line, count = np.repeat(np.arange(len(n)), n), np.zeros(len(h), np.int64)
-                # two bits a word or more, so that long lines differ, too; half as long by or-ing the halves
-                wide = 2 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
-                to = np.append(0, np.cumsum(wide))
-                bits = np.zeros(64 * to[-1], np.uint8)
-                bits[64 * to[line] + (h & (64 * wide[line] - 1).astype(np.uint64)).astype(np.int64)] = 1
-                sign = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(np.packbits(bits, bitorder="little").view(np.int64)))
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    count = np.where(common[at] == h, counts[at], 0)
-                order = np.lexsort((h, count, line))
-                line, h = line[order], h[order]
-                once = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))
-                line, h = line[once], h[once]
-                rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(n)))[line]
-                taken = (rank <= n[line] // 5) & (n[line] >= least)
-                ends = np.append(0, np.cumsum(np.bincount(line[taken], minlength=len(n)))).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[taken].view(np.int64)))
-                longs = [pa.array(c, pa.int64()) for c in (cols[0], cols[1], cols[3], cols[4])]
-                yield pa.RecordBatch.from_arrays([longs[0], longs[1], pa.array(cols[2], pa.int32()), longs[2], longs[3], pa.array(n.astype(np.int32)), sign, keys], names=["d", "t", "i", "l1", "l2", "n", "s", "ks"])
+        for some in _read(batches):
+            rows, hashes = [], []
+            for d, t, i, words in some:
+                rows.append((d, t, i, *struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words))), len(words)))
+                hashes.extend(map(xxhash.xxh64_intdigest, words))
+            cols = list(zip(*rows))
+            h, n = np.array(hashes, np.uint64), np.array(cols[5])
+            line, count = np.repeat(np.arange(len(n)), n), np.zeros(len(h), np.int64)
+            # two bits a word or more, so that long lines differ, too; half as long by or-ing the halves
+            wide = 2 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+            to = np.append(0, np.cumsum(wide))
+            bits = np.zeros(64 * to[-1], np.uint8)
+            bits[64 * to[line] + (h & (64 * wide[line] - 1).astype(np.uint64)).astype(np.int64)] = 1
+            sign = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(np.packbits(bits, bitorder="little").view(np.int64)))
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                count = np.where(common[at] == h, counts[at], 0)
+            order = np.lexsort((h, count, line))
+            line, h = line[order], h[order]
+            once = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))
+            line, h = line[once], h[once]
+            rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(n)))[line]
+            taken = (rank <= n[line] // 5) & (n[line] >= least)
+            ends = np.append(0, np.cumsum(np.bincount(line[taken], minlength=len(n)))).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[taken].view(np.int64)))
+            longs = [pa.array(c, pa.int64()) for c in (cols[0], cols[1], cols[3], cols[4])]
+            yield pa.RecordBatch.from_arrays([longs[0], longs[1], pa.array(cols[2], pa.int32()), longs[2], longs[3], pa.array(n.astype(np.int32)), sign, keys], names=["d", "t", "i", "l1", "l2", "n", "s", "ks"])
 
     return _keyed(docs).mapInArrow(tidy(run), "d long, t long, i int, l1 long, l2 long, n int, s array<long>, ks array<long>")
 
@@ -242,13 +258,13 @@ def _candidates(members: DataFrame, most: int | None) -> DataFrame:
         if not parts:
             return
         whole = pa.Table.from_batches(parts)
-        d, t, i, n, k, probe = (whole.column(c).to_numpy() for c in (*POSITION, "n", "k", "probe"))
+        ids, n, k, probe = (whole.column(c).to_numpy() for c in ("id", "n", "k", "probe"))
         sign = whole.column("s").combine_chunks()
         sign = (sign if isinstance(sign, pa.ListArray) else pa.concat_arrays(sign.chunks)).flatten().to_numpy().view(np.uint64)
         del parts, whole
         wide = 2 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
         at = np.cumsum(wide) - wide
-        order = np.lexsort((i, t, d, k))
+        order = np.lexsort((ids, k))
         k = k[order]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         size = np.diff(np.append(start, len(k)))
@@ -275,8 +291,7 @@ def _candidates(members: DataFrame, most: int | None) -> DataFrame:
             return x[near], y[near]
 
         def out(x, y, more):
-            cols = [*(pa.array(c[x]) for c in (d, t, i)), *(pa.array(c[y]) for c in (d, t, i)), pa.array(more)]
-            return pa.RecordBatch.from_arrays(cols, names=[*POSITION, *(f"e{c}" for c in POSITION), "more"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(more)], names=["id", "e", "more"])
 
         def emit(x, y):
             """x is sorted: pairs of one line follow each other, the earliest first."""
@@ -304,130 +319,108 @@ def _candidates(members: DataFrame, most: int | None) -> DataFrame:
                 if len(x):
                     yield emit(x, y)
 
-    pairs = ", ".join(f"{c} long, {e} long, {f} int" for c, e, f in (POSITION, [f"e{c}" for c in POSITION]))
-    return members.repartition("k").mapInArrow(tidy(run), f"{pairs}, more boolean")
+    return members.repartition("k").mapInArrow(tidy(run), "id long, e long, more boolean")
 
 
-def similar_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Places (d, t, i) of those ``distinct`` lines that have an earlier line within a fifth of their words."""
+def _verified(pairs: DataFrame, lines: DataFrame, near: Callable) -> DataFrame:
+    """The ids of those pairs (id, e) whose lines are ``near``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = [near(x.as_py(), y.as_py()) for x, y in zip(b.column(1), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["id"])
 
-    @F.pandas_udf("boolean")
-    def near(a, b):
-        import pandas as pd
+    both = pairs.join(lines.toDF("id", "a"), "id").join(lines.toDF("e", "b"), "e")
+    return both.select("id", "a", "b").mapInArrow(tidy(run), "id long").distinct()
 
-        return pd.Series([within_a_fifth(x, y) for x, y in zip(a, b)], dtype="bool")
 
-    earlier = [f"e{c}" for c in POSITION]
+def similar_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The ids of those ``distinct`` lines that have an earlier line within a fifth of their words."""
 
     def verified(pairs):
-        both = pairs.select(*POSITION).unionByName(pairs.select(*(F.col(e).alias(c) for c, e in zip(POSITION, earlier)))).distinct()
-        lines = materialize(_line_texts(docs, both))
-        found = pairs.join(lines.withColumnRenamed("line", "a"), POSITION).join(lines.toDF(*earlier, "b"), earlier)
-        return materialize(found.where(near("a", "b")).select(*POSITION).distinct())
+        both = pairs.select("id").unionByName(pairs.select(F.col("e").alias("id"))).distinct()
+        lines = materialize(_line_texts(docs, distinct.select("id", *POSITION).join(both, "id", "left_semi")))
+        return materialize(_verified(pairs.select("id", "e"), lines, within_a_fifth))
 
-    members = distinct.select(*POSITION, "n", "s", F.explode("ks").alias("k"))
-    pairs = materialize(_candidates(members.withColumn("probe", F.lit(True)), 4).groupBy(*POSITION, *earlier).agg(F.max("more").alias("more")))
+    members = distinct.select("id", "n", "s", F.explode("ks").alias("k"))
+    pairs = materialize(_candidates(members.withColumn("probe", F.lit(True)), 4).groupBy("id", "e").agg(F.max("more").alias("more")))
     found = verified(pairs)
     # lines with other candidates, none of those tried being near: all of them
-    rest = materialize(pairs.where("more").select(*POSITION).distinct().join(found, POSITION, "left_anti"))
+    rest = materialize(pairs.where("more").select("id").distinct().join(found, "id", "left_anti"))
     if rest.isEmpty():
         return found
-    keys = members.join(rest, POSITION, "left_semi").select("k").distinct()
-    again = members.join(keys, "k", "left_semi").join(rest.withColumn("probe", F.lit(True)), POSITION, "left")
-    again = again.select(*POSITION, "n", "s", "k", F.coalesce("probe", F.lit(False)).alias("probe"))
-    others = materialize(_candidates(again, None).drop("more").distinct().join(pairs.select(*POSITION, *earlier), [*POSITION, *earlier], "left_anti"))
+    keys = members.join(rest, "id", "left_semi").select("k").distinct()
+    again = members.join(keys, "k", "left_semi").join(rest.withColumn("probe", F.lit(True)), "id", "left")
+    again = again.select("id", "n", "s", "k", F.coalesce("probe", F.lit(False)).alias("probe"))
+    others = materialize(_candidates(again, None).drop("more").distinct().join(pairs.select("id", "e"), ["id", "e"], "left_anti"))
     return found.unionByName(verified(others)).distinct()
 
 
 def near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Places (d, t, i) of those ``distinct`` lines that have an earlier near line."""
-    keys = distinct.select(*POSITION, F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))  # the four differ by their seeds
+    """The ids of those ``distinct`` lines that have an earlier line within one word."""
+    keys = distinct.where("k1 is not null").select("id", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))  # the four differ by their seeds
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = keys.join(shared, "k", "left_semi").select(*POSITION).distinct()
-    lines = materialize(_line_texts(docs, places))
+    sharing = keys.join(shared, "k", "left_semi").select("id").distinct()
+    lines = materialize(_line_texts(docs, distinct.select("id", *POSITION).join(sharing, "id", "left_semi")))
     variants = materialize(_variants(lines))
-    place = F.struct(*POSITION)
-    changed = variants.where("j >= 0").groupBy("v", "j").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    added = variants.groupBy("v").agg(F.min(F.when(F.col("j") < 0, place)).alias("whole"), F.min(F.when(F.col("j") >= 0, place)).alias("longer")).where("whole is not null and longer is not null")
-    claims = variants.join(changed, ["v", "j"]).select(*POSITION, "e")
-    claims = claims.unionByName(variants.join(added, "v").select(*POSITION, F.when(F.col("j") < 0, F.col("longer")).otherwise(F.col("whole")).alias("e")))
-    claims = claims.where(F.col("e") < place).distinct()
-
-    @F.pandas_udf("boolean")
-    def near(a, b):
-        import pandas as pd
-
-        return pd.Series([within_one_word(x, y) for x, y in zip(a, b)], dtype="bool")
-
-    pairs = claims.join(lines.withColumnRenamed("line", "a"), POSITION)
-    other = lines.select(*(F.col(c).alias(f"e{c}") for c in POSITION), F.col("line").alias("b"))
-    pairs = pairs.withColumns({f"e{c}": F.col(f"e.{c}") for c in POSITION}).join(other, [f"e{c}" for c in POSITION])
-    return pairs.where(near("a", "b")).select(*POSITION).distinct()
-
-
-def kept_lines(docs: DataFrame, least: int = 5, one_word: bool = False, short: bool = False) -> DataFrame:
-    """d, t and the numbers of the long lines (with ``short``, of all lines with words) that stay, for each document that keeps any."""
-    first = F.min(F.struct(*POSITION)).alias("first")
-    if not one_word:
-        lines = similar_lines(docs, least, 1 if short else least)
-        distinct = lines.groupBy("l1", "l2").agg(first, *(F.first(c).alias(c) for c in ("n", "s", "ks")))  # equal for equal lines
-        distinct = materialize(distinct.select("first.*", "n", "s", "ks"))
-        kept = distinct.select(*POSITION).join(similar_earlier(docs, distinct), POSITION, "left_anti")
-        return kept.groupBy("d", "t").agg(F.collect_list("i").alias("stay"))
-    lines = long_lines(docs, least)
-    distinct = lines.groupBy("l1", "l2").agg(first, *(F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4")))
-    distinct = materialize(distinct.select("first.*", "k1", "k2", "k3", "k4"))
-    kept = distinct.select(*POSITION).join(near_earlier(docs, distinct), POSITION, "left_anti")
-    return kept.groupBy("d", "t").agg(F.collect_list("i").alias("stay"))
-
-
-def dedup_lines(docs: DataFrame, least: int = 5, one_word: bool = False, short: bool = False) -> DataFrame:
+    changed = variants.where("j >= 0").groupBy("v", "j").agg(F.min("id").alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    added = variants.groupBy("v").agg(F.min(F.when(F.col("j") < 0, F.col("id"))).alias("whole"), F.min(F.when(F.col("j") >= 0, F.col("id"))).alias("longer")).where("whole is not null and longer is not null")
+    claims = variants.join(changed, ["v", "j"]).select("id", "e")
+    claims = claims.unionByName(variants.join(added, "v").select("id", F.when(F.col("j") < 0, F.col("longer")).otherwise(F.col("whole")).alias("e")))
+    return _verified(claims.where("e < id").distinct(), lines, within_one_word)
+
+
+def kept_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> DataFrame:
+    """d, t and the numbers of the lines with words that stay, for each document that keeps any."""
+    carried = ["k1", "k2", "k3", "k4"] if one_word else ["n", "s", "ks"]
+    lines = long_lines(docs, least) if one_word else similar_lines(docs, least)
+    pick = F.min if one_word else F.first  # they are equal for equal lines
+    distinct = lines.groupBy("l1", "l2").agg(F.min(F.struct(*POSITION)).alias("place"), *(pick(c).alias(c) for c in carried)).select("place.*", *carried)
+    numbered = distinct.repartitionByRange(*POSITION).sortWithinPartitions(*POSITION).select(F.monotonically_increasing_id().alias("id"), *POSITION, *carried)
+    distinct = materialize(numbered)
+    gone = near_earlier(docs, distinct) if one_word else similar_earlier(docs, distinct)
+    return distinct.select("id", *POSITION).join(gone, "id", "left_anti").groupBy("d", "t").agg(F.collect_list("i").alias("stay"))
+
+
+def dedup_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, with the kept lines as ``text``, and n_lines and n_dropped.
 
-    A line of at least ``least`` words goes if an equal or near line stands earlier, in the order of doc_id
-    (null last) and line; whether that one goes itself does not matter. Near is a word edit distance of at most
-    a fifth of the longer line's words, or of 1 with ``one_word``. Shorter lines stay; with
-    ``short`` (not with ``one_word``), those go that have an equal line earlier, and only lines without words stay. A null text
-    stays null and has no lines. Repeated rows with one id are one document to the order, so they keep
-    the same lines. An empty table gives no rows.
+    A line with words goes if an equal one stands earlier, in the order of doc_id (null last) and line, and a line
+    of at least ``least`` words also if a near one of so many does; whether that one goes itself does not matter.
+    Near is a word edit distance of at most a fifth of the longer line's words, or of 1 with ``one_word``.
+    Lines without words stay. A null text stays null and has no lines. Repeated rows with one id are one document
+    to the order, so they keep the same lines. Long texts are handled a MB of lines at a time. Columns of ``docs``
+    keep their values whatever their names; if it has an n_lines or n_dropped itself, the new one has ``_``
+    before its name. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    stay = materialize(kept_lines(docs, least, one_word, short))
-    judged = 1 if short else least
-    schema = docs.schema
-
-    @F.pandas_udf("struct<text:string,n_lines:long,n_dropped:long>")
-    def cut(texts, stays):
-        import pandas as pd
-
-        out = []
-        for text, keep in zip(texts, stays):
-            if text is None:
-                out.append((None, 0, 0))
-                continue
-            lines = text.split("\n")
-            keep = set() if keep is None else set(keep)
-            left = [x for i, x in enumerate(lines) if i in keep or len(_words(x.encode())) < judged]
-            out.append(("\n".join(left), len(lines), len(lines) - len(left)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
-
+    stay = materialize(kept_lines(docs, least, one_word))
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_t", F.xxhash64(body))
-    rows = rows.join(stay.toDF("_d", "_t", "_stay"), ["_d", "_t"], "left").withColumn("_cut", cut("text", "_stay"))
-    columns = [F.col("_cut.text").alias("text") if f.name == "text" else F.col(f"`{f.name}`") for f in schema if f.name not in ("n_lines", "n_dropped")]
-    return rows.select(*columns, F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_dropped").alias("n_dropped"))
+    rows = docs.select(boxed(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(body).alias("t"))
+    rows = rows.join(stay, ["d", "t"], "left").select("row", "stay", F.split(F.col("row.text"), "\n").alias("lines"))
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    blank = F.filter(at, lambda i: F.btrim(F.get("lines", i), F.lit(" \t\n\r\x0b\x0c")) == "")
+    none = F.array().cast("array<int>")
+    rows = rows.select("row", "lines", F.when(F.col("lines").isNotNull(), F.array_sort(F.array_union(F.coalesce("stay", none), blank))).alias("left"))
+    n_lines, n_left = (F.coalesce(F.size(F.coalesce(c, none.cast(t))).cast("long"), F.lit(0)) for c, t in (("lines", "array<string>"), ("left", "array<int>")))
+    kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
+    text = F.when(n_lines == n_left, F.col("row.text")).otherwise(kept)
+    return rows.select(*unboxed(docs, text=text), n_lines.alias(own_name(docs, "n_lines")), (n_lines - n_left).alias(own_name(docs, "n_dropped")))
+
+
+def _digest(left: DataFrame) -> DataFrame:
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What OP3_SQL says: lines within one word of an earlier one go."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, one_word=True).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """What OP3_SQL says: lines equal to, or within one word of, an earlier one go."""
+    return _digest(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), one_word=True))
 
 
 def op3_similar_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As in the pipeline: the bound grows with the line, and short lines go if an equal one stands earlier."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, short=True).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """As in the pipeline: the bound grows with the line."""
+    return _digest(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 OP3_SQL = r"""
@@ -437,7 +430,8 @@ w AS (
   SELECT doc_id, i, line, list_filter(regexp_split_to_array(
     translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM u),
-d AS (SELECT ws, min((doc_id, i)) AS place FROM w WHERE len(ws) >= 5 GROUP BY ws),
+e AS (SELECT ws, min((doc_id, i)) AS place FROM w WHERE len(ws) > 0 GROUP BY ws),
+d AS (SELECT * FROM e WHERE len(ws) >= 5),
 v AS (
   SELECT place, ws, unnest(range(1, len(ws) + 1)) AS j FROM d),
 x AS (SELECT place, j, list_concat(ws[1:j - 1], ws[j + 1:]) AS without FROM v),
@@ -447,8 +441,8 @@ gone AS (
   UNION SELECT d.place FROM d JOIN x ON x.without = d.ws WHERE x.place < d.place
   UNION SELECT x.place FROM d JOIN x ON x.without = d.ws WHERE d.place < x.place),
 k AS (
-  SELECT w.doc_id, w.i, w.line, len(w.ws) < 5 OR (d.place IS NOT NULL AND g.place IS NULL) AS stays
-  FROM w LEFT JOIN d ON d.place = (w.doc_id, w.i) LEFT JOIN gone g ON g.place = (w.doc_id, w.i))
+  SELECT w.doc_id, w.i, w.line, len(w.ws) = 0 OR (e.place IS NOT NULL AND g.place IS NULL) AS stays
+  FROM w LEFT JOIN e ON e.place = (w.doc_id, w.i) LEFT JOIN gone g ON g.place = (w.doc_id, w.i))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256
 FROM k GROUP BY doc_id

@@ -17,7 +17,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tidy
+from .common import materialize, pieces, table, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPEN = PIECES + ", batch int, ids binary"
@@ -71,13 +71,13 @@ class ChunkTokenizer:
         rest = []
         for c in new:
             # letters with marks after them are two words to the tokenizer, whatever their case
-            if m := _PLAIN.fullmatch(c.decode()):
+            if m := _PLAIN.fullmatch(c.decode("utf-8", "replace")):
                 self.chunks[c] = self._part(m[1].lower()) + self._part(m[2])
             else:
                 rest.append(c)
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
+            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)):
                 self.chunks[c] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes], at_once: int = 1 << 22) -> Iterator[bytes]:
@@ -86,12 +86,17 @@ class ChunkTokenizer:
         at = 0
         while at < len(texts):
             to = max(at + 1, bisect_left(ends, ends[at] + at_once))
-            split = [t.split() for t in texts[at:to]]
-            self.learn(split)
-            get = self.chunks.__getitem__
-            yield from (b"".join(map(get, chunks)) for chunks in split)
+            if to > at + 1:
+                yield from self._of([t.split() for t in texts[at:to]])
+            else:  # one text may be longer than that
+                yield b"".join(x for piece in pieces(texts[at], at_once) for x in self._of([piece.split()]))
             at = to
 
+    def _of(self, split: list[list[bytes]]) -> Iterator[bytes]:
+        self.learn(split)
+        get = self.chunks.__getitem__
+        return (b"".join(map(get, chunks)) for chunks in split)
+
 
 class OpenWindows:
     """At most ``most`` windows of ``size`` tokens. ``emit(sequence, pieces)`` gets each closed one."""
@@ -131,9 +136,9 @@ class OpenWindows:
             start, length = start + take, length - take
 
 
-def _rows(sequence: int, pieces: list, batch: int | None = None) -> Iterator[tuple]:
+def _rows(sequence: int, held: list, batch: int | None = None) -> Iterator[tuple]:
     offset = 0
-    for (doc_id, ids), start, length in pieces:
+    for (doc_id, ids), start, length in held:
         cut = ids[4 * start : 4 * (start + length)]
         yield doc_id, start, length, zlib.crc32(cut), len(ids) // 4, sequence, offset, batch, None if batch is None else cut
         offset += length
@@ -201,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     shorter than ``least_cut`` is not cut off to fill a window; that much padding stays instead.
     ``fan_in`` tasks' leftovers are merged together, ``fan_in * open_windows * size`` tokens at most.
     Repeated rows are packed once each, null keys too; an empty table gives no rows, and further
-    columns are ignored.
+    columns are ignored. Long texts are split a few MB at a time. Bytes that are not UTF-8 are read as U+FFFD.
     """
     spark = docs.sparkSession
 
@@ -242,9 +247,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         for r in pdf.sort_values(["sequence_id", "offset"]).itertuples(index=False):
             held.setdefault(r.sequence_id, []).append((None if pd.isna(r.doc_id) else int(r.doc_id), r.start, r.doc_tokens, r.length, r.ids))
         rows = []
-        for n, pieces in enumerate(_merge([held[k] for k in sorted(held)], size, least_cut)):
+        for n, window in enumerate(_merge([held[k] for k in sorted(held)], size, least_cut)):
             offset = 0
-            for doc, start, total, length, ids in pieces:
+            for doc, start, total, length, ids in window:
                 rows.append((doc, start, length, zlib.crc32(ids), total, (1 << 62) + (int(key[0]) << 32) + n, offset))
                 offset += length
         out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

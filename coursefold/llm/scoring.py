@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, pieces, table
 
 ORDERS = (1, 2, 3)
 COUNTS = "block long, n int, bucket int, hashes binary, counts binary"
@@ -45,13 +45,15 @@ class Words:
         import numpy as np
         import xxhash
 
-        words = text.lower().split()
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.array(list(map(known.__getitem__, words)), np.uint64)
+        known, out = self.known, [np.zeros(0, np.uint64)]
+        for piece in pieces(text):
+            words = piece.lower().split()
+            if len(known) > self.limit:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh64_intdigest(w)
+            out.append(np.array(list(map(known.__getitem__, words)), np.uint64))
+        return np.concatenate(out)
 
 
 def ngrams(words: list):
@@ -96,8 +98,10 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, b
     Words are split at white space, A-Z in lower case. A word scores count(n-gram) / count(its context),
     with n = 3 or as much as stands before it, if the n-gram occurs ``min_count`` times in the corpus;
     else ``backoff`` times the score with a word less of context, and at last its share of all words.
+    An n-gram that occurs once does so in the very text that is scored, mostly after a context that occurs once, too:
+    its share of 1 would praise what the corpus does not know, so by default it backs off like an unseen one.
     Null and empty texts have no words and score 0; repeated rows count and score once each; a null id
-    is kept. An empty table gives no rows.
+    is kept. Further columns are ignored; long texts are split a MB at a time. An empty table gives no rows.
 
     Documents are read twice and must come in the same order, as from files; else leave ``stable`` false
     and they are written to the shared folder first.

@@ -39,6 +39,20 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+#: Names that the operators use for columns of their own.
+INNER = ["row", "d", "t", "i", "n", "s", "k", "e", "id", "stay", "lines", "left", "none", "text_hash", "fp", "component", "score", "lang_pred", "rejected", "chars", "cross_entropy", "n_lines", "n_dropped", "n_words", "spans", "items", "n_hit", "contaminated", "_d", "_t", "_n", "_hash", "_text", "_copy", "_row"]
+
+
+def with_clashes(docs):
+    return docs.drop("_n").select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in INNER))
+
+
+def unchanged(rows):
+    """The extra columns hold what ``with_clashes`` put there."""
+    rows = rows.collect()
+    return bool(rows) and all(r[c] == f"{c}{'?' if r.doc_id is None else r.doc_id}" for r in rows for c in INNER)
+
+
 def check_packing(rows, docs):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = collections.defaultdict(list)
@@ -96,10 +110,13 @@ def test_line_dedup(spark, docs, none):
     assert got.count() == len(odd_docs()) and got.columns[: len(docs.columns)] == docs.columns
     by = {(r.doc_id, r.n_chars): r.text for r in got.collect()}
     assert by[(0, 1)] is None and by[(6, 1)] == "" and by[(9, 1)] == "" and by[(None, None)] == ""
+    for one_word in (False, True):
+        out = lines.dedup_lines(with_clashes(docs), one_word=one_word)
+        assert unchanged(out) and out.columns[-2:] == ["_n_lines", "_n_dropped"]
     assert lines.dedup_lines(none).count() == 0
     three = [(0, "a b c d e f"), (1, "a b c X e f\nkeep\nkeep"), (2, "a b c X Y f"), (3, "a b d e f"), (4, "b c d e f a")]
     left = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(three, "doc_id long, text string")).collect()}
-    assert left == {0: "a b c d e f", 1: "keep\nkeep", 2: "", 3: "", 4: "b c d e f a"}
+    assert left == {0: "a b c d e f", 1: "keep", 2: "", 3: "", 4: "b c d e f a"}
 
 
 def test_similar_lines_of_any_length(spark):
@@ -137,8 +154,9 @@ def test_similar_lines_of_any_length(spark):
 def test_short_lines_go_when_repeated(spark):
     rows = [(0, "Home page\n\nx y z w\nhome  page"), (1, "HOME page\n\nx y z\na b c d e"), (2, "a b c d\nx y z w\na b c d e f"), (3, "home page")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in lines.dedup_lines(docs, short=True).collect()} == {0: "Home page\n\nx y z w", 1: "\nx y z\na b c d e", 2: "a b c d", 3: ""}
-    assert lines.dedup_lines(docs.limit(0), short=True).count() == 0
+    for one_word in (False, True):
+        assert {r.doc_id: r.text for r in lines.dedup_lines(docs, one_word=one_word).collect()} == {0: "Home page\n\nx y z w", 1: "\nx y z\na b c d e", 2: "a b c d", 3: ""}
+        assert lines.dedup_lines(docs.limit(0), one_word=one_word).count() == 0
     import corpus_pipeline as cp
 
     assert {r.doc_id for r in cp.lines(spark, docs.withColumn("n_chars", F.length("text").cast("long")), SF).collect()} == {0, 1, 2}
@@ -165,7 +183,7 @@ def test_neighbours(spark):
 
 
 def test_decontamination(spark, docs, none):
-    bench = [("b1", odd_docs()[9][1]), ("b2", "x"), ("b3", None), ("b4", "straße don t"), ("b5", "no such phrase here")]
+    bench = [("b1", odd_docs()[9][1]), ("b2", "x"), ("b3", None), ("b4", "straße don t"), ("b5", "no such phrase here"), (None, "12 x")]
     b = spark.createDataFrame(bench, "item_id string, text string")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -173,7 +191,7 @@ def test_decontamination(spark, docs, none):
     for item, t in bench:
         w = split(t)
         for i in range(max(1, len(w) - 12) if w else 0):
-            windows[tuple(w[i : i + 13])].add(item)
+            windows[tuple(w[i : i + 13])] |= {item} - {None}
     want = []
     for r in odd_docs():
         w, hit, items = split(r[1]), set(), set()
@@ -184,7 +202,7 @@ def test_decontamination(spark, docs, none):
                     items |= windows[tuple(w[i : i + n])]
         want.append((r[0], len(w), len(hit), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
     for size in (1 << 20, 40):
-        got = decontamination.judged(decontamination.find_benchmark(docs, b, block_bytes=size)).select("doc_id", "n_words", "n_hit", "items_sha256").collect()
+        got = decontamination.judged(decontamination.find_benchmark(docs, b, block_bytes=size, shard_bytes=size)).select("row.doc_id", "n_words", "n_hit", "items_sha256").collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert decontamination.find_benchmark(none, b).count() == 0
     assert decontamination.judged(decontamination.find_benchmark(docs, b.limit(0))).where("n_hit > 0").count() == 0
@@ -232,7 +250,15 @@ def test_simhash(spark, docs, none):
     w = WORDS[:6]
     hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]), 42) for i in range(3)]
     assert simhash.fingerprint_of(" ".join(w).upper().encode()) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > 1.5)
-    assert simhash.one_of_each(docs).columns == docs.columns
+    kept = simhash.one_of_each(with_clashes(docs))
+    assert unchanged(kept)
+    # one of each group, with an id where any row has one; the copies without an id go
+    groups = collections.defaultdict(list)
+    for r in simhash.near_duplicates(docs).collect():
+        groups[r.component].append(r.doc_id)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(d for d in g if d is not None) for g in groups.values())
+    nameless = spark.createDataFrame([(None, "a b c d e f")] * 3 + [(None, "zz yy xx ww vv uu tt")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.one_of_each(nameless).collect()) == ["a b c d e f", "zz yy xx ww vv uu tt"]
 
 
 @pytest.mark.parametrize("dense", [64, 2])
@@ -280,13 +306,46 @@ def test_revisits(spark):
 
 
 def test_language(spark, docs, none):
-    got = {(r.doc_id, r.n_chars): r for r in language.identify(docs, "doc_id", "n_chars").collect()}
+    got = {(r.row.doc_id, r.row.n_chars): r for r in language.identify(with_clashes(docs), "doc_id", "n_chars").collect()}
     assert got[(0, 1)].lang_pred == got[(1, 1)].lang_pred == got[(10, 1)].lang_pred == "und"
     assert language.identify(none, "doc_id").count() == 0
     found = language.op10_kneser_ney_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert found.where("lang = lang_pred").count() >= 0.97 * found.count() > 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, none):
+    import corpus_pipeline as cp
+
+    known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", F.lit("h").alias("h"))
+    rows = with_clashes(known.limit(40).unionByName(docs.drop("_n").withColumn("doc_id", F.col("doc_id") + 10**9)))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, rows, SF)
+        assert out.columns == rows.columns and unchanged(out), name
+        assert stage(spark, rows.limit(0), SF).count() == 0
+    assert cp.packed(spark, rows, SF).select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+    assert cp.packed(spark, rows.limit(0), SF).count() == 0
+
+
+def test_texts_that_are_not_utf8(spark):
+    bad = spark.createDataFrame([(1, b"caf\xe9 \xff\xfe one two three four five"), (2, b"\xff"), (3, b"one two three four five six")], "doc_id long, text binary").select("doc_id", F.expr("cast(text as string)").alias("text"), F.lit("en").alias("lang"))
+    assert packing.pack(bad, public_tokenizers.path("word_bpe_49k.json")).agg(F.countDistinct("doc_id")).first()[0] == 3
+    assert language.identify(bad, "doc_id").count() == 3 and lines.dedup_lines(bad).count() == 3
+    assert scoring.score_documents(bad).count() == 3 and simhash.near_duplicates(bad).count() == 3 and repeats.remove_repeats(bad).count() == 3
+    assert decontamination.find_benchmark(bad, bad.select(F.col("doc_id").alias("item_id"), "text")).count() == 3
+
+
+def test_long_texts_are_read_in_pieces():
+    from coursefold.llm.common import pieces
+
+    rng = random.Random(2)
+    text = " ".join(rng.choices(WORDS, k=4000)).encode() + b"y" * 5000 + b"\n\tend"
+    for most in (1, 7, 1000, 10**6):
+        assert b"".join(pieces(text, most)) == text and b" ".join(b" ".join(p.split()) for p in pieces(text, most)).split() == text.split()
+        assert simhash.fingerprint_of(text, at_once=most) == simhash.fingerprint_of(text)
+    tok = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert list(tok.ids([text, b"", text], 500)) == list(tok.ids([text, b"", text]))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
