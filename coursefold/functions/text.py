@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: States in the order in which a chapter passes through them.
@@ -35,6 +35,54 @@ def no_controls(column: Column) -> Column:
     return column.rlike(r"\A[^\p{C}]+\z")
 
 
+def six_digits(column: Column) -> Column:
+    return column.rlike(r"\A[0-9]{6}\z")
+
+
+def valid_region(text: Column) -> Column:
+    """1 to 60 characters, not all blank, none of them a control, format or unassigned one."""
+    return (F.length(F.trim(text)) > 0) & (F.length(text) <= 60) & no_controls(text)
+
+
+def valid_name(text: Column) -> Column:
+    return valid_region(text)  # the same rule
+
+
+def valid_school(text: Column) -> Column:
+    """Up to 100 characters; none at all is fine."""
+    return (F.length(text) <= 100) & ~text.rlike(r"\p{C}")
+
+
+def birth_years(year: Column) -> Column:
+    """The years in which a child of 3 to 18 was born, newest first."""
+    return F.sequence(year - 3, year - 18, F.lit(-1))
+
+
+def class_choices(board: Column) -> Column:
+    return F.sequence(F.lit(1), F.when(board == "cbse", 10).otherwise(5))
+
+
+def touched(draft: Column) -> Column:
+    """Whether anything was entered in a draft (name, class_level, birth_year, school)."""
+    return (F.trim(draft["name"]) != "") | draft["class_level"].isNotNull() | (draft["birth_year"] != "") | (F.trim(draft["school"]) != "")
+
+
+def complete(draft: Column, board: Column, year: Column) -> Column:
+    years = F.transform(birth_years(year), lambda y: y.cast("string"))
+    classed = F.coalesce(F.array_contains(class_choices(board), draft["class_level"]), F.lit(False))
+    return valid_name(draft["name"]) & classed & F.array_contains(years, draft["birth_year"]) & valid_school(draft["school"])
+
+
+def blocking_draft(drafts: Column, board: Column, year: Column) -> Column:
+    """The place, from 0, of the first draft that was started and not finished, or null."""
+    blocks = F.transform(drafts, lambda d: touched(d) & ~complete(d, board, year))
+    return F.nullif(F.array_position(blocks, F.lit(True)), F.lit(0)) - 1
+
+
+def first_and_touched(drafts: Column) -> Column:
+    return F.filter(drafts, lambda d, i: (i == 0) | touched(d))
+
+
 def is_kebab(column: Column) -> Column:
     return column.rlike(r"\A[a-z0-9]+(-[a-z0-9]+)*\z")
 
@@ -59,6 +107,10 @@ def first_word(name: Column) -> Column:
     return F.element_at(F.split(F.trim(name), r"\s+"), 1)
 
 
+def initial(name: Column) -> Column:
+    return F.upper(F.substring(F.trim(name), 1, 1))
+
+
 def short_date(ts: Column) -> Column:
     return F.date_format(ts, "d MMM")
 
@@ -88,3 +140,75 @@ def listed_or(value: Column, allowed: list[str], default: str) -> Column:
 
 def split_list(column: Column) -> Column:
     return F.filter(F.split(column, ","), lambda x: x != "")
+
+
+def looked_up(code: Column, known: dict[str, str], default: str | None = None) -> Column:
+    """The entry of a small closed list, or the default."""
+    entries = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.coalesce(entries[code], F.lit(default).cast("string"))
+
+
+#: Reasons that a client shows for a failed request's code, and the HTTP status of each code.
+REASONS = {
+    "code-wrong": "wrongCode", "code-expired": "codeExpired", "proof-required": "codeExpired", "code-attempts-used": "tooManyTries", "code-too-soon": "tooSoon",
+    "email-not-verified": "emailNotVerified", "email-not-sent": "emailNotSent", "network": "unreachable", "timeout": "unreachable",
+}
+STATUS = {
+    "already-registered": 409, "not-registered": 404, "invalid-registration": 400, "caller-not-identified": 401, "child-not-found": 404, "family-not-found": 404,
+    "chapter-not-found": 404, "invalid-search": 400, "subject-not-found": 404, "child-limit-reached": 409, "child-deleting": 409, "family-id-taken": 409,
+    "class-not-available": 400, "content-not-ready": 409, "invalid-page": 400, "code-wrong": 400, "code-too-soon": 429, "code-attempts-used": 429,
+    "code-expired": 410, "proof-required": 403, "email-not-sent": 502, "email-not-verified": 403, "family-changed": 409,
+}
+
+
+def http_status(code: Column) -> Column:
+    """The status of a failure's code; a code without one is an error, as the list is closed."""
+    known = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))[code]
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("no status for "), F.coalesce(code, F.lit("null")))).cast("int"))
+
+
+def described(failures: DataFrame, problems: DataFrame, code: str = "code") -> DataFrame:
+    """Failures with title and detail from a small table of ``problems``, one row a code, and their status."""
+    return failures.join(F.broadcast(problems.limit(len(STATUS))), code, "left").withColumn("status", http_status(F.col(code)))
+
+
+def substituted(text: Column, values: dict[str, Column]) -> Column:
+    """JSON text in which each string that is just ``{{name}}`` is the value of that name, as JSON."""
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f'"{{{{{name}}}}}"'), value.cast("string"))
+    return text
+
+
+def canonical_json(text: Column) -> Column:
+    """The same for texts of equal JSON values: no blanks, keys sorted at every level."""
+    return F.to_json(F.parse_json(text))
+
+
+def compact_json(value: Column) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def concepts_or(found: Column, chapter: Column, least: int = 3, generic: int = 5) -> Column:
+    """A chapter's concepts (id, name) if there are ``least`` or more and none has a blank, else ``generic`` made ones."""
+    whole = (F.size(found) >= least) & F.forall(found, lambda c: (F.trim(F.coalesce(c["id"], F.lit(""))) != "") & (F.trim(F.coalesce(c["name"], F.lit(""))) != ""))
+    made = F.transform(F.sequence(F.lit(1), F.lit(generic)), lambda n: F.struct(F.concat(chapter, F.lit("-c"), n.cast("string")).alias("id"), F.concat(F.lit("Concept "), n.cast("string")).alias("name")))
+    return F.when(F.coalesce(whole, F.lit(False)), found).otherwise(made)
+
+
+def scaled(steps: Column, scale: Column) -> Column:
+    """A timeline of (part, delay, duration) at another pace."""
+    return F.transform(steps, lambda s: F.struct(s["part"].alias("part"), (s["delay"] * scale).alias("delay"), (s["duration"] * scale).alias("duration")))
+
+
+def timeline_length(steps: Column) -> Column:
+    return F.array_max(F.transform(steps, lambda s: s["delay"] + s["duration"]))
+
+
+def same_list(a: Column, b: Column) -> Column:
+    """Equal lists, order included: null equals null only."""
+    return a.eqNullSafe(b)
+
+
+def headers(subjects: Column, *fields: str) -> Column:
+    """A nested list cut down to ``fields`` of each entry."""
+    return F.transform(subjects, lambda s: F.struct(*(s[f].alias(f) for f in fields)))

@@ -73,6 +73,13 @@ def open_sealed(token: Column, binding: Column, secret: bytes, purpose: str) ->
     return run(token, binding)
 
 
+def proven(opened: Column, own: Column, operation: Column, target: Column, now: Column) -> Column:
+    """Whether an opened proof (JSON, or null) is this user's for this operation and target, and ends later than now."""
+    t = F.from_json(opened, "uidHash string, operation string, target string, expiresAt timestamp")
+    same = (t["uidHash"] == own) & (t["operation"] == operation) & (t["target"] == target) & (t["expiresAt"] > now)
+    return F.coalesce(same, F.lit(False))
+
+
 def verdict(opened: Column, uid: Column, own: Column, expires: Column, now: Column) -> Column:
     """Wrong (bad signature or another user) comes before expired; a token ends at its expiry."""
     return F.when(opened.isNull() | (uid != own), "wrong").when(expires <= now, "expired").otherwise("ok")

@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.text import STATES, contains_ignoring_case
 
 
-def number_rows(rows: DataFrame, group: str, *order: str, name: str = "number") -> DataFrame:
-    """1..N in each group, before any search, so that filtered rows keep their number."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+def number_rows(rows: DataFrame, group: str, *order: str, name: str = "number", piece: Column | None = None) -> DataFrame:
+    """1..N in each group, before any search, so that filtered rows keep their number.
+
+    A group that grows with the data needs ``piece``, a coarser form of the first order column that never falls as that
+    grows: rows are numbered within pieces, and the rows of the pieces before are added. No task then holds a group.
+    """
+    if piece is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    rows = rows.withColumn("_piece", piece)
+    counts = rows.groupBy(group, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_piece")) - F.col("_n")
+    within = F.row_number().over(Window.partitionBy(group, "_piece").orderBy(*order))
+    both = rows.withColumn("_within", within).join(counts.select(group, "_piece", before.alias("_before")), [group, "_piece"])
+    return both.withColumn(name, F.col("_before") + F.col("_within")).drop("_piece", "_within", "_before")
 
 
 def with_progress(chapters: DataFrame, progress: DataFrame, key: str) -> DataFrame:
@@ -28,9 +39,11 @@ def count_states(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("chapters"), *per)
 
 
-def states_in_order(rows: DataFrame, group: str) -> DataFrame:
+def states_in_order(rows: DataFrame, group: str, length: int = 1000) -> DataFrame:
+    """Each group's states in order, ``length`` of them in a row that says the number of its first."""
+    part = F.floor((F.col("number") - 1) / length) * length + 1
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("number", "state"))), lambda x: x["state"])
-    return rows.groupBy(group).agg(F.array_join(ordered, ",").alias("states"))
+    return rows.groupBy(group, part.alias("first")).agg(F.array_join(ordered, ",").alias("states"))
 
 
 def place_of(nested: DataFrame, group: str, items: str) -> DataFrame:
@@ -38,6 +51,25 @@ def place_of(nested: DataFrame, group: str, items: str) -> DataFrame:
     return nested.select(group, F.posexplode(items).alias("pos", "item")).select(group, (F.col("pos") + 1).cast("long").alias("place"), "item")
 
 
+def first_place(places: DataFrame, item: Column, *order: str) -> DataFrame:
+    """One place for each item: that in the first group in document order, if several hold it."""
+    return places.withColumn("_item", item).groupBy("_item").agg(F.min(F.struct(*order, *[c for c in places.columns if c not in (*order, "item")])).alias("_p")).select(F.col("_item").alias("item"), "_p.*")
+
+
+def headed(places: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
+    """Places with what there is of their chapter's summary: without one the chapter is not started and has no attempts."""
+    return with_progress(places, summaries, key)
+
+
+def x_of_n(rows: DataFrame, group: str, state: str = "checked") -> DataFrame:
+    return rows.groupBy(group).agg(F.count_if(F.col("state") == state).alias("x"), F.count(F.lit(1)).alias("n"))
+
+
+def legend(rows: DataFrame, group: str) -> DataFrame:
+    """Counts of the states that a group has, in the order of states."""
+    return rows.groupBy(group, "state").agg(F.count(F.lit(1)).alias("count"))
+
+
 def chosen_or_first(items: DataFrame, wanted: DataFrame, group: str, item: str, order: str) -> DataFrame:
     """The wanted item of each group if it is there, else the group's first."""
     first = items.groupBy(group).agg(F.min_by(item, order).alias("first"))

@@ -23,22 +23,43 @@ def without(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return table.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def merge_edit(current: DataFrame, edits: DataFrame, key: str, editable: list[str]) -> DataFrame:
-    """The closed list of columns takes an edit's value where it has one; all else stays."""
-    e = edits.select(key, *(F.col(c).alias(f"_{c}") for c in editable))
-    joined = current.join(e, key, "left")
-    return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in editable else F.col(c) for c in current.columns))
+def update(current: DataFrame, rows: DataFrame, key: list[str], replace: bool = False) -> DataFrame:
+    """``current`` updated by ``rows``, one a key: merged, what is null or not sent stays; with ``replace`` nothing stays.
+
+    Rows whose key is not there change nothing.
+    """
+    sent = [c for c in rows.columns if c not in key]
+    joined = current.join(rows.select(*key, *(F.col(c).alias(f"_{c}") for c in sent), F.lit(True).alias("_sent")), key, "left")
+
+    def value(c):
+        if c in key:
+            return F.col(c)
+        new = F.col(f"_{c}") if c in sent else F.lit(None)
+        return (F.when(F.col("_sent"), new).otherwise(F.col(c)) if replace else F.coalesce(new, F.col(c))).alias(c)
+
+    return joined.select(*map(value, current.columns))
+
+
+def in_one(*kinds: DataFrame) -> DataFrame:
+    """Rows of several kinds as one table, for one write; what a kind lacks is null."""
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k, allowMissingColumns=True)
+    return out
 
 
 def fold_ledger(events: DataFrame, key: list[str]) -> DataFrame:
-    """One row per recorded action: times of record, last send and confirmation, and who has done it.
+    """One row per recorded action: times of record, last send and confirmation, and who has done it, first come first.
 
     ``events``: key, seq, event (recorded, sent, confirmed, done), occurred_at, subscriber. Without a record
-    there is no action, and only the first record counts.
+    there is no action, and only the first record counts. An action has few subscribers.
     """
     at = lambda kind, pick: pick(F.when(F.col("event") == kind, F.struct("seq", "occurred_at")))["occurred_at"]
-    out = events.groupBy(*key).agg(at("recorded", F.min).alias("recorded_at"), at("sent", F.max).alias("sent_at"), at("confirmed", F.max).alias("confirmed_at"), F.sort_array(F.collect_set(F.when(F.col("event") == "done", F.col("subscriber")))).alias("done_by"))
-    return out.where("recorded_at is not null").withColumn("last_sent_at", F.coalesce("sent_at", "recorded_at")).drop("sent_at")
+    ends = events.where("event = 'done'").groupBy(*key, "subscriber").agg(F.min("seq").alias("_first"))
+    done = ends.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", "subscriber"))), lambda x: x["subscriber"]).alias("done_by"))
+    out = events.groupBy(*key).agg(at("recorded", F.min).alias("recorded_at"), at("sent", F.max).alias("sent_at"), at("confirmed", F.max).alias("confirmed_at"))
+    out = out.where("recorded_at is not null").join(done, key, "left").withColumn("done_by", F.coalesce("done_by", F.array().cast("array<string>")))
+    return out.withColumn("last_sent_at", F.coalesce("sent_at", "recorded_at")).drop("sent_at")
 
 
 def resendable(ledger: DataFrame, unconfirmed_before: Column, confirmed_before: Column) -> DataFrame:
@@ -52,6 +73,31 @@ def expired(ledger: DataFrame, cutoff: Column) -> DataFrame:
     return ledger.where((F.col("recorded_at") <= cutoff) & (F.size("done_by") > 0))
 
 
+def start_up(ledger: DataFrame, now: Column, done_life: Column, unconfirmed: Column, confirmed: Column) -> tuple[DataFrame, DataFrame]:
+    """(the ledger without finished rows that have expired, the rows of it to send again): in this order, once a start."""
+    over = F.coalesce((F.col("recorded_at") <= now - done_life) & (F.size("done_by") > 0), F.lit(False))
+    kept = ledger.where(~over)
+    return kept, resendable(kept, now - unconfirmed, now - confirmed)
+
+
+def trace_link(parent: Column) -> Column:
+    """The trace that a resent action links to: its recording's, or none if that is not a valid one."""
+    return F.when(parent.rlike(r"\A[0-9a-f]{2}-(?!0{32})[0-9a-f]{32}-(?!0{16})[0-9a-f]{16}-[0-9a-f]{2}\z"), parent)
+
+
+def returned(dead: DataFrame, now: Column, delay: Column) -> tuple[DataFrame, DataFrame]:
+    """(what has waited ``delay`` since ``died_at`` and goes back to its own queue, what still waits)."""
+    due = F.col("died_at") + delay <= now
+    return dead.where(due), dead.where(~due)
+
+
+def retry_budget(delay_seconds: int, limit: int, expiry_seconds: int) -> int:
+    """Seconds that all retries take; as long as the expiry or longer is an error."""
+    if (took := delay_seconds * limit) >= expiry_seconds:
+        raise ValueError(f"{limit} retries of {delay_seconds} s do not end before {expiry_seconds} s")
+    return took
+
+
 def pending(deliveries: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
     """Deliveries whose action exists and which their subscriber has not done."""
     return deliveries.join(ledger.select(*key, "done_by"), key).where(~F.array_contains("done_by", F.col("subscriber"))).drop("done_by")
@@ -77,6 +123,12 @@ def snapshot_diff(a: DataFrame, b: DataFrame, key: str, tag: str) -> DataFrame:
     return x.join(y, key, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def first_per_group(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The first row of each group in an explicit order: of failing items, the one that an error names."""
+    rest = [c for c in rows.columns if c not in group]
+    return rows.groupBy(*group).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*group, "_r.*")
+
+
 def missing_files(refined: DataFrame, files: DataFrame, kind: str, name: str = "name") -> DataFrame:
     """Refined chapters without their plan or summary file."""
     return refined.withColumn("_want", derived_file(F.col(name), kind)).join(files.select(F.col(name).alias("_want")), "_want", "left_anti").drop("_want")

@@ -2,48 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, text, tokens
-from ..operators import fold, listing, records, timeline
+from ..operators import fold, listing, records, tenants, timeline
 from ..sources.files import prefix_scan
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from . import file_queries, tenant_queries  # noqa: F401  they register theirs
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .registry import table as _t
 
 
 def _chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as chapters of their nation; their orders from June 2001 as attempts, lineitems as checks."""
-    c = listing.number_rows(_t(spark, sf, "customer"), "c_nationkey", "c_custkey").select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("chapter_id"), F.col("c_name").alias("title"), "number")
-    o = _t(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
+    """Customers as chapters of their nation; their urgent orders as attempts, lineitems as checks."""
+    c = listing.number_rows(_t(spark, sf, "customer"), "c_nationkey", "c_custkey", piece=F.shiftright("c_custkey", 14)).select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("chapter_id"), F.col("c_name").alias("title"), "number")
+    o = _t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
     last = listing.latest(o.withColumnRenamed("o_custkey", "chapter_id"), "chapter_id", F.struct("o_orderdate", "o_orderkey"), "o_orderkey", "o_orderstatus")
-    checked = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("has", F.lit(True))
+    items = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    checked = last.where("o_orderstatus = 'F'").select("o_orderkey").join(items, "o_orderkey", "left_semi").withColumn("has", F.lit(1))
     p = last.join(checked, "o_orderkey", "left")
-    s = F.col("o_orderstatus")
-    state = text.chapter_state(F.when(F.col("has") & (s == "F"), 1).otherwise(0), F.when(s == "O", 1).otherwise(0), F.lit(1))
+    state = text.chapter_state(F.coalesce("has", F.lit(0)), F.when(F.col("o_orderstatus") == "O", 1).otherwise(0), F.lit(1))
     return listing.with_progress(c, p.select("chapter_id", "attempt_count", state.alias("state")), "chapter_id")
 
 
 _LISTING = """
 WITH c AS (SELECT c_nationkey AS subject_id, c_custkey AS chapter_id, c_name AS title, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS number FROM customer),
-o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'),
+o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT'),
 l AS (SELECT c.*, coalesce(o.k, 0) AS attempt_count, CASE WHEN o.o_orderkey IS NULL THEN 'not-started'
   WHEN o.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey) THEN 'checked'
   WHEN o.o_orderstatus = 'O' THEN 'taught' ELSE 'planned' END AS state
@@ -62,7 +48,7 @@ def subject_progress(spark, sf):
     return listing.count_states(_chapters(spark, sf), "subject_id")
 
 
-@query(_LISTING + "SELECT subject_id, string_agg(state, ',' ORDER BY number) AS states FROM l GROUP BY subject_id")
+@query(_LISTING + "SELECT subject_id, (number - 1) // 1000 * 1000 + 1 AS first, string_agg(state, ',' ORDER BY number) AS states FROM l GROUP BY ALL")
 def subject_states(spark, sf):
     return listing.states_in_order(_chapters(spark, sf), "subject_id")
 
@@ -75,11 +61,21 @@ def state_line(spark, sf):
     return rows.select("chapter_id", text.state_line(F.col("state"), F.col("attempt_count"), F.lit(0), F.lit(1)).alias("line"), text.state_rank(F.col("state")).alias("steps"))
 
 
+@query(_LISTING + "SELECT subject_id, state, count(*) AS count FROM l GROUP BY ALL")
+def legend_rows(spark, sf):
+    return listing.legend(_chapters(spark, sf), "subject_id")
+
+
+@query(_LISTING + "SELECT subject_id, count(*) FILTER (WHERE state = 'checked') AS x, count(*) AS n FROM l GROUP BY subject_id")
+def checked_of_all(spark, sf):
+    return listing.x_of_n(_chapters(spark, sf), "subject_id")
+
+
 _PARTS = "SELECT p_partkey, p_type, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS number FROM part"
 
 
 def _found(spark, sf):
-    parts = listing.number_rows(_t(spark, sf, "part").select("p_partkey", "p_type", "p_name"), "p_type", "p_partkey")
+    parts = listing.number_rows(_t(spark, sf, "part").select("p_partkey", "p_type", "p_name"), "p_type", "p_partkey", piece=F.shiftright("p_partkey", 14))
     return listing.search(parts, "p_name", " WID ")
 
 
@@ -94,18 +90,26 @@ def chapters_search_page(spark, sf):
     return _found(spark, sf).orderBy("p_type", "number").offset(50).limit(50)
 
 
-@query("SELECT n_regionkey AS subject_id, n_nationkey AS chapter_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place, n_name AS title FROM nation")
+@query("SELECT l_orderkey AS subject_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_partkey AS chapter_id FROM lineitem")
 def chapter_place(spark, sf):
-    nested = _t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("subject_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("chapters"))
-    return listing.place_of(nested, "subject_id", "chapters").select("subject_id", F.col("item.n_nationkey").alias("chapter_id"), "place", F.col("item.n_name").alias("title"))
+    nested = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("subject_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("chapters"))
+    return listing.place_of(nested, "subject_id", "chapters").select("subject_id", "place", F.col("item.l_partkey").alias("chapter_id"))
+
 
+@query("""SELECT l_partkey AS chapter_id, min(l_orderkey) AS subject_id, min_by(place, (l_orderkey, place)) AS place FROM (
+  SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem) GROUP BY l_partkey""")
+def chapter_first_place(spark, sf):
+    nested = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("subject_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("chapters"))
+    places = listing.place_of(nested, "subject_id", "chapters")
+    return listing.first_place(places, F.col("item.l_partkey"), "subject_id", "place").select(F.col("item").alias("chapter_id"), "subject_id", "place")
 
-@query("""WITH x AS (SELECT n_regionkey, n_nationkey FROM nation WHERE n_nationkey % 7 = 0)
-SELECT n_regionkey, coalesce(min(n_nationkey) FILTER (WHERE (n_regionkey, n_nationkey) IN (SELECT * FROM x)), min(n_nationkey)) AS n_nationkey FROM nation GROUP BY n_regionkey""")
+
+@query("""WITH i AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'O'), w AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey)
+SELECT o_custkey, coalesce(max(o_orderkey) FILTER (WHERE o_orderkey = k), min(o_orderkey)) AS o_orderkey FROM i JOIN w USING (o_custkey) GROUP BY o_custkey""")
 def active_choice(spark, sf):
-    n = _t(spark, sf, "nation").select("n_regionkey", "n_nationkey")
-    wanted = n.where("n_nationkey % 7 = 0").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
-    return listing.chosen_or_first(n, wanted, "n_regionkey", "n_nationkey", "n_nationkey")
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    wanted = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    return listing.chosen_or_first(o.where("o_orderstatus <> 'O'"), wanted, "o_custkey", "o_orderkey", "o_orderkey")
 
 
 def _checks(spark, sf):
@@ -123,12 +127,16 @@ def history_flat(spark, sf):
     return o.join(items, "o_orderkey", "left").select("o_custkey", "attempt", "o_orderkey", "check_number", "l_partkey")
 
 
-@query()
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS attempt FROM orders),
+n AS (SELECT l_orderkey, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS check_number FROM lineitem),
+l AS (SELECT l_orderkey, list({'check_number': check_number, 'l_partkey': l_partkey, 'l_returnflag': l_returnflag} ORDER BY check_number DESC) AS checks,
+  coalesce(list({'number': check_number, 'part': l_partkey} ORDER BY check_number DESC) FILTER (WHERE l_returnflag = 'R'), []) AS wrong FROM n GROUP BY l_orderkey)
+SELECT o_custkey, attempt, o_orderkey, CAST(to_json(checks) AS VARCHAR) AS checks, CAST(to_json(wrong) AS VARCHAR) AS wrong FROM o LEFT JOIN l ON l_orderkey = o_orderkey""")
 def history_nested(spark, sf):
     o, items = _checks(spark, sf)
     checks = items.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("check_number", "l_partkey", "l_returnflag")), asc=False).alias("checks"))
     wrong = F.transform(F.filter("checks", lambda c: c["l_returnflag"] == "R"), lambda c: F.struct(c["check_number"].alias("number"), c["l_partkey"].alias("part")))
-    return o.join(checks, "o_orderkey", "left").select("o_custkey", "attempt", "o_orderkey", "checks", wrong.alias("wrong")).orderBy("o_custkey", F.desc("attempt"))
+    return o.join(checks, "o_orderkey", "left").select("o_custkey", "attempt", "o_orderkey", text.compact_json(F.col("checks")).alias("checks"), text.compact_json(wrong).alias("wrong"))
 
 
 @query("SELECT o_orderkey, count(l_orderkey) FILTER (WHERE l_returnflag <> 'R') AS right_count, count(l_orderkey) AS of_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
@@ -137,13 +145,20 @@ def check_scores(spark, sf):
     return joined.groupBy("o_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("right_count"), F.count("l_returnflag").alias("of_count"))
 
 
+_CHAPTER = {"family_id": "user_id div 30", "child_id": "user_id % 3", "class_level": "1 + user_id % 2", "chapter_id": "user_id % 10"}
+_CHAPTER_SQL = "chapter_id // 30 AS family_id, chapter_id % 3 AS child_id, 1 + chapter_id % 2 AS class_level, chapter_id % 10 AS chapter_id"
+
+
 def progress_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as learning progress: a user is a chapter, k of the properties gives ids and counts."""
+    """Events as learning progress, k of the properties giving ids and counts. A user is one chapter of a child.
+
+    No single column of the key tells two users apart, nor do three of the four.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type") == "signup", "plan").when(F.col("event_type").isin("view", "click"), "concept").when(F.col("event_type") == "purchase", "check")
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("chapter_id"), F.col("event_id").alias("seq"), F.col("ts").alias("occurred_at"), kind.alias("kind"), k.alias("k")).where("kind is not null")
+    e = _t(spark, sf, "events").select(*(F.expr(f"{e} AS {name}") for name, e in _CHAPTER.items()), F.col("event_id").alias("seq"), F.col("ts").alias("occurred_at"), kind.alias("kind"), k.alias("k")).where("kind is not null")
     plan, concept, check = (F.col("kind") == x for x in ("plan", "concept", "check"))
-    return e.select("chapter_id", "seq", "occurred_at", "kind", F.when(plan, F.concat(F.lit("p"), F.col("k") % 3)).alias("plan_id"), F.when(plan, F.col("k") % 5).alias("concept_count"), F.when(concept, F.concat(F.lit("c"), F.col("k") % 6)).alias("concept_id"), F.when(check, F.concat(F.lit("q"), F.col("k"))).alias("check_id"), F.when(check, F.col("k") % 2).alias("right_count"), F.when(check, F.lit(1)).alias("of_count"))
+    return e.select(*fold.CHAPTER, "seq", "occurred_at", "kind", F.when(plan, F.concat(F.lit("p"), F.col("k") % 3)).alias("plan_id"), F.when(plan, F.col("k") % 5).alias("concept_count"), F.when(concept, F.concat(F.lit("c"), F.col("k") % 6)).alias("concept_id"), F.when(check, F.concat(F.lit("q"), F.col("k"))).alias("check_id"), F.when(check, F.col("k") % 2).alias("right_count"), F.when(check, F.lit(1)).alias("of_count"))
 
 
 _FOLD = """
@@ -162,16 +177,16 @@ t AS (SELECT chapter_id, attempt, max(planned) AS cc, count(*) FILTER (WHERE kin
 
 @query(_FOLD + """, u AS (SELECT chapter_id, max(attempt) AS attempt_count, max_by(cc, attempt) AS concept_count, max_by(cd, attempt) AS concepts_done, max_by(ck, attempt) AS latest_checks, CAST(sum(ck) AS BIGINT) AS check_count FROM t GROUP BY chapter_id),
 c AS (SELECT chapter_id, max_by(ts, seq) AS last_activity, max_by(k % 2, seq) FILTER (WHERE kind = 'check') AS latest_right, CASE WHEN count(*) FILTER (WHERE kind = 'check') > 0 THEN 1 END AS latest_of FROM a GROUP BY chapter_id)
-SELECT chapter_id, attempt_count, CAST(concept_count AS BIGINT) AS concept_count, concepts_done, latest_checks, check_count, CAST(latest_right AS BIGINT) AS latest_right, CAST(latest_of AS BIGINT) AS latest_of, last_activity,
+SELECT """ + _CHAPTER_SQL + """, attempt_count, CAST(concept_count AS BIGINT) AS concept_count, concepts_done, latest_checks, check_count, CAST(latest_right AS BIGINT) AS latest_right, CAST(latest_of AS BIGINT) AS latest_of, last_activity,
   CASE WHEN latest_checks > 0 THEN 'checked' WHEN concept_count > 0 AND concepts_done >= concept_count THEN 'taught' ELSE 'planned' END AS state FROM u JOIN c USING (chapter_id)""")
 def progress_fold(spark, sf):
     return fold.summaries(progress_events(spark, sf))
 
 
-@query(_FOLD + "SELECT chapter_id, attempt, CAST(cc AS BIGINT) AS concept_count, cd AS concepts_done, ck AS checks FROM t")
+@query(_FOLD + f"SELECT {_CHAPTER_SQL}, attempt, CAST(cc AS BIGINT) AS concept_count, cd AS concepts_done, ck AS checks FROM t")
 def progress_attempts(spark, sf):
     rows = fold.history(progress_events(spark, sf))
-    return rows.select("chapter_id", F.col("attempt").cast("long"), F.col("concept_count").cast("long"), F.size("done").cast("long").alias("concepts_done"), F.size("checks").cast("long").alias("checks"))
+    return rows.select(*fold.CHAPTER, F.col("attempt").cast("long"), F.col("concept_count").cast("long"), F.size("done").cast("long").alias("concepts_done"), F.size("checks").cast("long").alias("checks"))
 
 
 def ledger_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,7 +200,10 @@ def ledger_events(spark: SparkSession, sf: str) -> DataFrame:
 
 _LEDGER = """
 WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS recorded_at, coalesce(max_by(ts, event_id) FILTER (WHERE event_type = 'click'), min(ts)) AS last_sent_at, max_by(ts, event_id) FILTER (WHERE event_type = 'purchase') AS confirmed_at,
-  coalesce(string_agg(DISTINCT 's' || event_id % 3, ',' ORDER BY 's' || event_id % 3) FILTER (WHERE event_type = 'error'), '') AS done FROM events GROUP BY ALL)
+  coalesce(any_value(d.done), '') AS done
+  FROM events LEFT JOIN (SELECT user_id AS u, day AS y, string_agg(s, ',' ORDER BY first) AS done FROM (
+    SELECT user_id, CAST(ts AS DATE) AS day, 's' || event_id % 3 AS s, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY ALL) GROUP BY ALL) d ON u = user_id AND y = CAST(ts AS DATE)
+  GROUP BY user_id, CAST(ts AS DATE))
 """
 _NOW = "2024-01-31 00:00:00"
 
@@ -219,10 +237,33 @@ def first_wins(spark, sf):
     return records.first_wins(rows, ["body"], "doc_id").select("doc_id", "body", "lang")
 
 
-@query("SELECT c_custkey, c_name, coalesce(s_nationkey, c_nationkey) AS c_nationkey, coalesce(s_acctbal, c_acctbal) AS c_acctbal, c_mktsegment FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def _edits(spark, sf):
+    """Customers as rows, those of one segment being deleted, and suppliers as edits of some, a debt being no balance."""
+    c = _t(spark, sf, "customer").withColumn("status", F.when(F.col("c_mktsegment") == "BUILDING", "deleting").otherwise("active"))
+    sent = _t(spark, sf, "supplier").select((F.col("s_suppkey") * 20).alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("c_acctbal"))
+    return c, sent
+
+
+@query("""SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'deleting' ELSE 'active' END AS status,
+  CASE WHEN s_suppkey IS NULL OR c_mktsegment = 'BUILDING' THEN c_nationkey ELSE s_nationkey END AS c_nationkey,
+  CASE WHEN s_suppkey IS NULL OR c_mktsegment = 'BUILDING' THEN c_acctbal WHEN s_acctbal > 0 THEN s_acctbal END AS c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey * 20 = c_custkey""")
 def edit_merge(spark, sf):
-    edits = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
-    return records.merge_edit(_t(spark, sf, "customer"), edits, "c_custkey", ["c_nationkey", "c_acctbal"])
+    c, sent = _edits(spark, sf)
+    return tenants.edit(c, sent, ["c_custkey"], ["c_nationkey", "c_acctbal"])
+
+
+@query("SELECT s_suppkey * 20 AS c_custkey, CASE WHEN c_custkey IS NULL THEN 'child-not-found' ELSE 'child-deleting' END AS reason FROM supplier LEFT JOIN customer ON s_suppkey * 20 = c_custkey WHERE c_custkey IS NULL OR c_mktsegment = 'BUILDING'")
+def edit_refused(spark, sf):
+    return tenants.refused_edits(*_edits(spark, sf), ["c_custkey"])
+
+
+@query("""SELECT c_custkey, coalesce(s_nationkey, c_nationkey) AS merged_nation, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE c_acctbal END AS merged_balance, CASE WHEN s_suppkey IS NULL THEN c_name END AS replaced_name,
+  CASE WHEN s_suppkey IS NULL THEN c_acctbal WHEN s_acctbal > 0 THEN s_acctbal END AS replaced_balance FROM customer LEFT JOIN supplier ON s_suppkey * 20 = c_custkey""")
+def update_rows(spark, sf):
+    c, sent = _edits(spark, sf)
+    merged = records.update(c, sent, ["c_custkey"]).select("c_custkey", F.col("c_nationkey").alias("merged_nation"), F.col("c_acctbal").alias("merged_balance"))
+    replaced = records.update(c, sent, ["c_custkey"], replace=True).select("c_custkey", F.col("c_name").alias("replaced_name"), F.col("c_acctbal").alias("replaced_balance"))
+    return merged.join(replaced, "c_custkey")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -288,7 +329,15 @@ def limit_fixed_window(spark, sf):
     return records.fixed_window(_t(spark, sf, "events"), "user_id", "ts", "event_id", "day", 3).select("event_id", "user_id", "admitted")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (
+  SELECT event_id, user_id, n, t AS a, 1 AS ac, t AS b, 1 AS bc, true AS admitted FROM e WHERE n = 1
+  UNION ALL
+  SELECT event_id, user_id, n, a, CASE WHEN ok THEN ac + 1 ELSE ac END, b, CASE WHEN ok AND bc < 4 THEN bc + 1 ELSE bc END, ok AND bc < 4 FROM (
+    SELECT event_id, user_id, n, a, ac, ok, CASE WHEN ok AND t >= b + 86400000000 THEN t ELSE b END AS b, CASE WHEN ok AND t >= b + 86400000000 THEN 0 ELSE bc END AS bc FROM (
+      SELECT event_id, user_id, n, t, a, ac, ac < 2 AS ok, b, bc FROM (
+        SELECT e.event_id, e.user_id, e.n, e.t, CASE WHEN e.t >= s.a + 3600000000 THEN e.t ELSE s.a END AS a, CASE WHEN e.t >= s.a + 3600000000 THEN 0 ELSE s.ac END AS ac, s.b, s.bc FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))))
+SELECT event_id, user_id, (SELECT ts FROM events x WHERE x.event_id = s.event_id) AS ts, admitted FROM s""")
 def limit_chained(spark, sf):
     return records.chained_limits(_t(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", [(3600, 2), (86400, 4)])
 
@@ -355,16 +404,32 @@ def validation_reasons(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", reason.alias("reason"))
 
 
-@query("""WITH g AS (SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS x FROM nation GROUP BY n_regionkey)
-SELECT n_regionkey, array_to_string(x[1:len(x) - 1], ', ') || ' and ' || x[len(x)] AS names FROM g""")
+@query("""WITH g AS (SELECT l_orderkey, list(p_name ORDER BY l_linenumber, l_partkey, l_suppkey) AS x FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN len(x) = 1 THEN x[1] ELSE array_to_string(x[1:len(x) - 1], ', ') || ' and ' || x[len(x)] END AS names FROM g""")
 def name_list(spark, sf):
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
-    return _t(spark, sf, "nation").groupBy("n_regionkey").agg(ordered.alias("x")).select("n_regionkey", text.name_list(F.col("x")).alias("names"))
+    named = _t(spark, sf, "lineitem").join(_t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))), lambda x: x["p_name"])
+    return named.groupBy("l_orderkey").agg(ordered.alias("x")).select("l_orderkey", text.name_list(F.col("x")).alias("names"))
+
+
+_SECRET = b"not a secret, only for this query"
+
+
+def _hmac_sql(purpose: str, message: str) -> str:
+    """HMAC-SHA256 of a blob in SQL, as the hash of the outer key and the hash of the inner key and the message."""
+    key = tokens.purpose_key(_SECRET, purpose).ljust(hashlib.sha256().block_size, b"\0")
+    inner, outer = (bytes(b ^ pad for b in key).hex() for pad in (0x36, 0x5C))
+    return f"unhex(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message}))))"
+
+
+def _url64(blob: str) -> str:
+    return f"rtrim(replace(replace(to_base64({blob}), '+', '-'), '/', '_'), '=')"
 
 
-@query()
+@query(f"""WITH b AS (SELECT *, {_url64("encode('{\"c_custkey\":' || c_custkey || '}')")} AS body FROM customer)
+SELECT c_custkey, lower(hex({_hmac_sql("uid", "encode(c_name)")})) AS uid_hash, body || '.' || {_url64(_hmac_sql("proof", "encode(body || chr(10) || c_name)"))} AS sealed, '{{"c_custkey":' || c_custkey || '}}' AS opened FROM b""")
 def keyed_hash(spark, sf):
-    secret, who = b"not a secret, only for this query", F.col("c_name")
-    sealed = tokens.seal(F.to_json(F.struct("c_custkey")), who, secret, "proof")
-    rows = _t(spark, sf, "customer").select("c_custkey", tokens.keyed_hash(who, secret).alias("uid_hash"), sealed.alias("sealed"), "c_name")
-    return rows.select("c_custkey", "uid_hash", "sealed", tokens.open_sealed(F.col("sealed"), who, secret, "proof").alias("opened"))
+    who = F.col("c_name")
+    sealed = tokens.seal(F.to_json(F.struct("c_custkey")), who, _SECRET, "proof")
+    rows = _t(spark, sf, "customer").select("c_custkey", tokens.keyed_hash(who, _SECRET).alias("uid_hash"), sealed.alias("sealed"), "c_name")
+    return rows.select("c_custkey", "uid_hash", "sealed", tokens.open_sealed(F.col("sealed"), who, _SECRET, "proof").alias("opened"))

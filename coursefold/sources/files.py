@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,21 +25,49 @@ def prefix_scan(table: DataFrame, column: str, prefix: str) -> DataFrame:
     return table.where(starts_with(F.col(column), prefix))
 
 
-def file_listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Names below ``root``, their content and a content hash in place of an ETag."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select(F.col("path").alias("name"), "length", F.sha2("content", 256).alias("etag"), "content")
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows) of every table, each counted on its own."""
+    counts = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def file_listing(spark: SparkSession, root: str, prefix: str = "", content: bool = False) -> DataFrame:
+    """Names below ``root`` that start with ``prefix``, which ends in / so that no longer name starts like it, and an ETag of write time and length.
+
+    Only that folder is listed, and no content is read unless it is asked for.
+    """
+    if prefix and not prefix.endswith("/"):
+        raise ValueError("a prefix ends in /")
+    root = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/{prefix}")
+    name = F.regexp_replace("path", "^.*?" + re.escape(re.sub("^[a-z]+:/*", "/", root)) + "/", "")
+    return files.select(name.alias("name"), "length", F.concat_ws("-", F.unix_micros("modificationTime"), "length").alias("etag"), *(["content"] if content else []))
+
+
+def required(wanted: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
+    """``wanted`` names with their ETags; one that is not there is an error that names it, when rows are read."""
+    found = wanted.join(files.select(name, "etag"), name, "left")
+    missing = F.raise_error(F.concat(F.lit("there is no "), F.col(name))).cast("boolean")
+    return found.where(F.when(F.col("etag").isNull(), missing).otherwise(True))
+
+
+def json_array(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, raw): the objects of a file that holds one JSON array, each as its text with all of its fields."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.expr("inline(transform(cast(parse_json(value) as array<variant>), (v, i) -> named_struct('pos', i, 'raw', to_json(v))))"))
 
 
 def manifests(spark: SparkSession, path: str, expected: str) -> DataFrame:
-    """Class manifests; an unknown schema or a wrong chapter count raises when a row is read."""
+    """Class manifests; an unknown schema or a wrong chapter count raises, whatever is then read of them."""
     return guarded(spark.read.schema(MANIFEST).json(path, multiLine=True), expected)
 
 
 def guarded(rows: DataFrame, expected: str) -> DataFrame:
-    wrong = F.exists("subjects", lambda s: F.size(s["chapters"]) != s["chapterCount"])
-    fault = F.when(~F.col("schema").eqNullSafe(F.lit(expected)), F.raise_error(F.lit("manifest schema is not known"))).when(wrong, F.raise_error(F.lit("chapter count does not match")))
-    return rows.withColumn("schema", F.coalesce(fault.cast("string"), F.col("schema")))
+    """The check is a filter, which no later choice of columns takes away."""
+    wrong = F.exists("subjects", lambda s: ~F.size(s["chapters"]).eqNullSafe(s["chapterCount"]))
+    fail = lambda why: F.raise_error(F.lit(why)).cast("boolean")
+    known = F.when(~F.col("schema").eqNullSafe(F.lit(expected)), fail("manifest schema is not known"))
+    return rows.where(known.when(F.coalesce(wrong, F.lit(False)), fail("chapter count does not match")).otherwise(True))
 
 
 def flattened(rows: DataFrame) -> DataFrame:
@@ -51,6 +82,11 @@ def catalog_entries(catalog: DataFrame, grade: int) -> DataFrame:
     return kept.where(F.expr(f"try_cast(get_json_object(raw, '$.grade') AS int) = {int(grade)}"))
 
 
-def stored_value(text: Column, schema: str, default: Column) -> Column:
-    """A stored JSON value, or the default if it is absent, unreadable or of another shape."""
-    return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE"}), default)
+def stored_value(text: Column, schema: str, default: Column, required: tuple[str, ...] = ()) -> Column:
+    """A stored JSON value, or the default if it is absent, unreadable or lacks a ``required`` field."""
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    read = F.from_json(text, f"{schema}, _corrupt string", mode)
+    whole = text.isNotNull() & (F.trim(text) != "") & read["_corrupt"].isNull()
+    for name in required:
+        whole = whole & read[name].isNotNull()
+    return F.when(F.coalesce(whole, F.lit(False)), read.dropFields("_corrupt")).otherwise(default)
