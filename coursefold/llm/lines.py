@@ -1,25 +1,18 @@
-"""Operator 3: near-duplicate lines by a deletion-neighbourhood join, or by rare words.
+"""Operator 3: near-duplicate lines by a deletion-neighbourhood join.
 
-A line is its words, in lower case for A-Z. Of equal lines, of any length, the earliest stays. By
-op3_deletion_line_dedup's SQL two lines of five words or more are near, too, if one word changed, added or
-removed makes them equal. A near pair shares the
+A line is its words, in lower case for A-Z. Of equal lines, of any length, the earliest stays. Two lines of five
+words or more are near, too, if one word changed, added or removed makes them equal. A near pair shares the
 words left or right of that place, so only lines that share half their words with another line go on.
 Those emit each variant with one word deleted, as a hashed key. Lines with equal variants at one
 place, and a line equal to another's variant, are near; the earliest of them stands for its group, so
 groups are only aggregated. The word edit distance of each claimed pair is then verified.
 
-One word is all of the pairs at a similarity of 0.8 only for lines of five to nine words. Everywhere else
-(op3_similar_line_dedup, the pipeline) the bound grows with the line: a fifth of the words of the longer
-one. Each edit takes at most one word from a line's set, so of two near lines the least word that both have,
-in any order of all words, is among the first n // 5 + 1 of each. Lines that share such a key, rarest words
-first, are compared by bit signatures of their words, and the edit distance of what is left is verified.
-
 Distinct lines are numbered in the order of their places, so that one long stands for a line and its place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,210 +147,20 @@ def within_one_word(a: bytes | None, b: bytes | None) -> bool:
     return head + tail >= most - 1
 
 
-def within_a_fifth(a: bytes | None, b: bytes | None) -> bool:
-    """Whether the word edit distance of two lines is at most a fifth of the longer one's words."""
-    x, y = (a or b"").split(), (b or b"").split()
-    most = max(len(x), len(y)) // 5
-    if abs(len(x) - len(y)) > most:
-        return False
-    if max(len((a := set(x)) - (b := set(y))), len(b - a)) > most:
-        return False
-    head = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-    x, y = x[head:], y[head:]
-    if not x or not y:
-        return True
-    # Myers: the columns of the distance table as differences, one bit a word of x
-    at, mask, last = {}, (1 << len(x)) - 1, 1 << (len(x) - 1)
-    for k, w in enumerate(x):
-        at[w] = at.get(w, 0) | 1 << k
-    up, down, score = mask, 0, len(x)
-    for w in y:
-        eq = at.get(w, 0)
-        xv = eq | down
-        xh = ((((eq & up) + up) ^ up) | eq) & mask
-        ph, mh = down | (~(xh | up) & mask), up & xh
-        score += bool(ph & last) - bool(mh & last)
-        ph, mh = (ph << 1 | 1) & mask, mh << 1 & mask
-        up, down = mh | (~(xv | ph) & mask), ph & xv
-    return score <= most
-
-
-def _word_counts(docs: DataFrame, share: float = 0.02, most: int = 65536) -> tuple:
-    """Hashes of the commonest words in a sample, sorted, and their counts. They only order words: any order finds all pairs."""
-    import numpy as np
-
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
-
-        for some in _read(batches):
-            hashes = [xxhash.xxh64_intdigest(w) for *_, words in some for w in words]
-            h, n = np.unique(np.array(hashes, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    found = _keyed(docs.sample(share, 3)).mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.where("n > 1").orderBy(F.desc("n"), "h").limit(most).collect()
-    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([r.n for r in rows], np.int64)[order]
-
-
-def similar_lines(docs: DataFrame, least: int) -> DataFrame:
-    """Lines with words: place, 128-bit name, n, and from ``least`` words on signature and keys."""
-    common, counts = _word_counts(docs)
-
-    def run(batches):
-        import struct
-
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        for some in _read(batches):
-            rows, hashes = [], []
-            for d, t, i, words in some:
-                rows.append((d, t, i, *struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words))), len(words)))
-                hashes.extend(map(xxhash.xxh64_intdigest, words))
-            cols = list(zip(*rows))
-            h, n = np.array(hashes, np.uint64), np.array(cols[5])
-            line, count = np.repeat(np.arange(len(n)), n), np.zeros(len(h), np.int64)
-            # two bits a word or more, so that long lines differ, too; half as long by or-ing the halves
-            wide = 2 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
-            to = np.append(0, np.cumsum(wide))
-            bits = np.zeros(64 * to[-1], np.uint8)
-            bits[64 * to[line] + (h & (64 * wide[line] - 1).astype(np.uint64)).astype(np.int64)] = 1
-            sign = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(np.packbits(bits, bitorder="little").view(np.int64)))
-            if len(common):
-                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                count = np.where(common[at] == h, counts[at], 0)
-            order = np.lexsort((h, count, line))
-            line, h = line[order], h[order]
-            once = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))
-            line, h = line[once], h[once]
-            rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(n)))[line]
-            taken = (rank <= n[line] // 5) & (n[line] >= least)
-            ends = np.append(0, np.cumsum(np.bincount(line[taken], minlength=len(n)))).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[taken].view(np.int64)))
-            longs = [pa.array(c, pa.int64()) for c in (cols[0], cols[1], cols[3], cols[4])]
-            yield pa.RecordBatch.from_arrays([longs[0], longs[1], pa.array(cols[2], pa.int32()), longs[2], longs[3], pa.array(n.astype(np.int32)), sign, keys], names=["d", "t", "i", "l1", "l2", "n", "s", "ks"])
-
-    return _keyed(docs).mapInArrow(tidy(run), "d long, t long, i int, l1 long, l2 long, n int, s array<long>, ks array<long>")
-
-
-def _candidates(members: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of a line to judge (``probe``) and an earlier one of its key that lengths and signatures allow.
-
-    With ``most``, no more than so many pairs for each line and key; ``more`` says that there are others.
-    """
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        parts = list(batches)
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts)
-        ids, n, k, probe = (whole.column(c).to_numpy() for c in ("id", "n", "k", "probe"))
-        sign = whole.column("s").combine_chunks()
-        sign = (sign if isinstance(sign, pa.ListArray) else pa.concat_arrays(sign.chunks)).flatten().to_numpy().view(np.uint64)
-        del parts, whole
-        wide = 2 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
-        at = np.cumsum(wide) - wide
-        order = np.lexsort((ids, k))
-        k = k[order]
-        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        size = np.diff(np.append(start, len(k)))
-        tau = n // 5
-
-        def signatures(x, w):
-            """Those of rows x, w numbers each; longer ones are folded."""
-            out = np.zeros((len(x), w), np.uint64)
-            for v in np.unique(wide[x]):
-                of = np.flatnonzero(wide[x] == v)
-                out[of] = np.bitwise_or.reduce(sign[at[x[of]][:, None] + np.arange(v)].reshape(len(of), v // w, w), 1)
-            return out
-
-        def allowed(x, y):
-            """Which pairs of rows may be near: no more words of one miss in the other than edits are allowed."""
-            bound = np.maximum(tau[x], tau[y])
-            ok = np.abs(n[x] - n[y]) <= bound
-            x, y, bound = x[ok], y[ok], bound[ok]
-            near, narrow = np.zeros(len(x), bool), np.minimum(wide[x], wide[y])
-            for w in np.unique(narrow):
-                of = np.flatnonzero(narrow == w)
-                p, q = signatures(x[of], w), signatures(y[of], w)
-                near[of] = np.maximum(np.bitwise_count(p & ~q).sum(1, np.int32), np.bitwise_count(q & ~p).sum(1, np.int32)) <= bound[of]
-            return x[near], y[near]
-
-        def out(x, y, more):
-            return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(more)], names=["id", "e", "more"])
-
-        def emit(x, y):
-            """x is sorted: pairs of one line follow each other, the earliest first."""
-            if most is None or not len(x):
-                return out(x, y, np.zeros(len(x), bool))
-            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            n_of = np.diff(np.append(first, len(x)))
-            rank = np.arange(len(x)) - np.repeat(first, n_of)
-            kept = rank < most
-            return out(x[kept], y[kept], np.repeat(n_of > most, n_of)[kept])
-
-        # small groups of one size side by side, large ones a stretch of lines at a time
-        for g in np.unique(size[(size > 1) & (size <= 256)]):
-            later, earlier = np.tril_indices(g, -1)
-            per = max(1, (1 << 16) // len(later))
-            of = start[size == g]
-            for a in range(0, len(of), per):
-                x, y = (order[(of[a : a + per, None] + p).ravel()] for p in (later, earlier))
-                x, y = allowed(x[probe[x]], y[probe[x]])
-                yield emit(x, y)
-        for a, g in zip(start[size > 256], size[size > 256]):
-            rows = order[a : a + g]
-            for b in (at for at in range(1, g) if probe[rows[at]]):
-                x, y = allowed(np.full(b, rows[b]), rows[:b])
-                if len(x):
-                    yield emit(x, y)
-
-    return members.repartition("k").mapInArrow(tidy(run), "id long, e long, more boolean")
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, near: Callable) -> DataFrame:
-    """The ids of those pairs (id, e) whose lines are ``near``."""
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The ids of those pairs (id, e) whose lines are within one word."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            keep = [near(x.as_py(), y.as_py()) for x, y in zip(b.column(1), b.column(2))]
+            keep = [within_one_word(x.as_py(), y.as_py()) for x, y in zip(b.column(1), b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["id"])
 
     both = pairs.join(lines.toDF("id", "a"), "id").join(lines.toDF("e", "b"), "e")
     return both.select("id", "a", "b").mapInArrow(tidy(run), "id long").distinct()
 
 
-def similar_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The ids of those ``distinct`` lines that have an earlier line within a fifth of their words."""
-
-    def verified(pairs):
-        both = pairs.select("id").unionByName(pairs.select(F.col("e").alias("id"))).distinct()
-        lines = materialize(_line_texts(docs, distinct.select("id", *POSITION).join(both, "id", "left_semi")))
-        return materialize(_verified(pairs.select("id", "e"), lines, within_a_fifth))
-
-    members = distinct.select("id", "n", "s", F.explode("ks").alias("k"))
-    pairs = materialize(_candidates(members.withColumn("probe", F.lit(True)), 4).groupBy("id", "e").agg(F.max("more").alias("more")))
-    found = verified(pairs)
-    # lines with other candidates, none of those tried being near: all of them
-    rest = materialize(pairs.where("more").select("id").distinct().join(found, "id", "left_anti"))
-    if rest.isEmpty():
-        return found
-    keys = members.join(rest, "id", "left_semi").select("k").distinct()
-    again = members.join(keys, "k", "left_semi").join(rest.withColumn("probe", F.lit(True)), "id", "left")
-    again = again.select("id", "n", "s", "k", F.coalesce("probe", F.lit(False)).alias("probe"))
-    others = materialize(_candidates(again, None).drop("more").distinct().join(pairs.select("id", "e"), ["id", "e"], "left_anti"))
-    return found.unionByName(verified(others)).distinct()
-
-
 def near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """The ids of those ``distinct`` lines that have an earlier line within one word."""
     keys = distinct.where("k1 is not null").select("id", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))  # the four differ by their seeds
@@ -369,33 +172,31 @@ def near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     added = variants.groupBy("v").agg(F.min(F.when(F.col("j") < 0, F.col("id"))).alias("whole"), F.min(F.when(F.col("j") >= 0, F.col("id"))).alias("longer")).where("whole is not null and longer is not null")
     claims = variants.join(changed, ["v", "j"]).select("id", "e")
     claims = claims.unionByName(variants.join(added, "v").select("id", F.when(F.col("j") < 0, F.col("longer")).otherwise(F.col("whole")).alias("e")))
-    return _verified(claims.where("e < id").distinct(), lines, within_one_word)
+    return _verified(claims.where("e < id").distinct(), lines)
 
 
-def kept_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> DataFrame:
+def kept_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """d, t and the numbers of the lines with words that stay, for each document that keeps any."""
-    carried = ["k1", "k2", "k3", "k4"] if one_word else ["n", "s", "ks"]
-    lines = long_lines(docs, least) if one_word else similar_lines(docs, least)
-    pick = F.min if one_word else F.first  # they are equal for equal lines
-    distinct = lines.groupBy("l1", "l2").agg(F.min(F.struct(*POSITION)).alias("place"), *(pick(c).alias(c) for c in carried)).select("place.*", *carried)
-    numbered = distinct.repartitionByRange(*POSITION).sortWithinPartitions(*POSITION).select(F.monotonically_increasing_id().alias("id"), *POSITION, *carried)
+    keys = ["k1", "k2", "k3", "k4"]
+    first = F.min(F.struct(*POSITION)).alias("place")
+    distinct = long_lines(docs, least).groupBy("l1", "l2").agg(first, *(F.min(k).alias(k) for k in keys)).select("place.*", *keys)
+    numbered = distinct.repartitionByRange(*POSITION).sortWithinPartitions(*POSITION).select(F.monotonically_increasing_id().alias("id"), *POSITION, *keys)
     distinct = materialize(numbered)
-    gone = near_earlier(docs, distinct) if one_word else similar_earlier(docs, distinct)
-    return distinct.select("id", *POSITION).join(gone, "id", "left_anti").groupBy("d", "t").agg(F.collect_list("i").alias("stay"))
+    return distinct.select("id", *POSITION).join(near_earlier(docs, distinct), "id", "left_anti").groupBy("d", "t").agg(F.collect_list("i").alias("stay"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """All rows and columns of ``docs``, with the kept lines as ``text``, and n_lines and n_dropped.
 
     A line with words goes if an equal one stands earlier, in the order of doc_id (null last) and line, and a line
     of at least ``least`` words also if a near one of so many does; whether that one goes itself does not matter.
-    Near is a word edit distance of at most a fifth of the longer line's words, or of 1 with ``one_word``.
-    Lines without words stay. A null text stays null and has no lines. Repeated rows with one id are one document
+    Near is a word edit distance of 1: a similarity of 0.8 or more for lines of 5 words, of 0.98 for 50. Longer lines that
+    differ in more words are left to the operators on documents. Lines without words stay. A null text stays null and has no lines. Repeated rows with one id are one document
     to the order, so they keep the same lines. Long texts are handled a MB of lines at a time. Columns of ``docs``
     keep their values whatever their names; if it has an n_lines or n_dropped itself, the new one has ``_``
     before its name. An empty table gives no rows.
     """
-    stay = materialize(kept_lines(docs, least, one_word))
+    stay = materialize(kept_lines(docs, least))
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(boxed(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(body).alias("t"))
     rows = rows.join(stay, ["d", "t"], "left").select("row", "stay", F.split(F.col("row.text"), "\n").alias("lines"))
@@ -409,18 +210,9 @@ def dedup_lines(docs: DataFrame, least: int = 5, one_word: bool = False) -> Data
     return rows.select(*unboxed(docs, text=text), n_lines.alias(own_name(docs, "n_lines")), (n_lines - n_left).alias(own_name(docs, "n_dropped")))
 
 
-def _digest(left: DataFrame) -> DataFrame:
-    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
 def op3_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What OP3_SQL says: lines equal to, or within one word of, an earlier one go."""
-    return _digest(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), one_word=True))
-
-
-def op3_similar_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As in the pipeline: the bound grows with the line."""
-    return _digest(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    left = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP3_SQL = r"""
