@@ -2,18 +2,23 @@
 
 A vector is a sum of one full-dimensional codeword from each codebook, chosen by beam search. The
 index holds each vector's codes and its sum's squared norm. A query makes one table of inner products
-with all codewords, scores all rows of a block by adding up table entries and the stored norm, and
-reranks the best of the block by exact distance.
+with all codewords and scores all rows by adding up table entries and the stored norm. The best of all rows, one
+shortlist for each query, are then joined with their vectors and ranked by exact distance.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-INDEX = "vec_id long, embedding array<double>, codes binary, norm float"
+INDEX = "vec_id long, codes binary, norm float"
+SHORT = "query_id long, vec_id long, near float"
 
 
 def kmeans(x, k: int, rounds: int, rng):
@@ -93,8 +98,20 @@ def usable(vectors: DataFrame) -> DataFrame:
     return x.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int = 16, words: int = 256, beam: int = 8) -> DataFrame:
-    """The index of all usable rows; codebooks are fitted to the ``sample_rows`` least by a hash of vec_id."""
+@dataclass
+class Index:
+    """Codes and norms of all vectors, the vectors themselves, and the codebooks."""
+
+    codes: DataFrame
+    vectors: DataFrame
+    books: Broadcast
+
+
+def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int = 16, words: int = 256, beam: int = 8) -> Index:
+    """The index of all usable rows; codebooks are fitted to the ``sample_rows`` least by a hash of vec_id.
+
+    An empty table makes an empty index; columns other than vec_id and embedding are ignored. Equal vectors get equal codes.
+    """
     import numpy as np
 
     x = materialize(usable(vectors))
@@ -114,87 +131,84 @@ def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int =
             v = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1).astype(np.float32)
             codes = np.concatenate([encode(v[i : i + 512], books, beam) for i in range(0, len(v), 512)])
             norm = (decode(codes, books) ** 2).sum(1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "embedding", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "codes", "norm"])
 
-    index = materialize(x.mapInArrow(run, INDEX))
-    index.codebooks = shared  # for the searches
-    return index
+    return Index(materialize(x.mapInArrow(run, INDEX)), x, shared)
 
 
-class Nearest:
-    """Each query's best ``k`` (score, vec_id) over the blocks seen so far."""
+class Shortlists:
+    """Each query's ``most`` rows of least estimated distance so far; equal estimates go to smaller ids."""
 
-    def __init__(self, ids, queries, books, k: int, rerank: int):
+    def __init__(self, ids, queries, books, most: int):
         import numpy as np
 
-        self.ids, self.q, self.k, self.rerank = ids, queries, k, rerank
-        self.tables = [(queries.astype(np.float32) @ b.T) for b in books]
-        self.best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.ids, self.queries, self.books, self.most = ids, queries, books, most
+        self.near = np.full((len(ids), most), np.inf, np.float32)
+        self.rows = np.full((len(ids), most), np.iinfo(np.int64).max)
 
-    def block(self, vec_ids, vectors, codes, norm) -> None:
+    def add(self, vec_ids, codes, norm, at_once: int = 128) -> None:
         import numpy as np
 
-        order = np.argsort(vec_ids, kind="stable")  # ties go to smaller ids
-        vec_ids, vectors, codes, norm = vec_ids[order], vectors[order], codes[order], norm[order]
-        near = np.zeros((len(self.ids), len(vec_ids)), np.float32)
-        for m, t in enumerate(self.tables):
-            near += t[:, codes[:, m]]
-        near = norm - 2 * near
-        most = min(self.rerank + 1, len(vec_ids))
-        edge = np.partition(near, most - 1, axis=1)[:, most - 1]
-        for i, (query, s) in enumerate(zip(self.ids, near)):
-            some = np.flatnonzero(s <= edge[i])
-            if len(some) > most:
-                under = some[s[some] < edge[i]]
-                some = np.concatenate((under, some[s[some] == edge[i]][: most - len(under)]))
-            some = some[vec_ids[some] != query]
-            exact = np.sqrt(((vectors[some] - self.q[i]) ** 2).sum(1))
-            first = np.lexsort((vec_ids[some], exact))[: self.k]
-            self.best[i] = sorted(self.best[i] + list(zip(exact[first].tolist(), vec_ids[some][first].tolist())))[: self.k]
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 256, query_rows: int = 2048, block_rows: int = 4096) -> DataFrame:
+        order = np.argsort(vec_ids, kind="stable")
+        vec_ids, codes, norm = vec_ids[order], codes[order], norm[order]
+        for a in range(0, len(self.ids), at_once):
+            q = self.queries[a : a + at_once]
+            near = np.zeros((len(q), len(vec_ids)), np.float32)
+            for m, book in enumerate(self.books):
+                near += (q @ book.T)[:, codes[:, m]]
+            near = norm - 2 * near
+            for i, s in enumerate(near, a):
+                some = np.flatnonzero(s <= self.near[i, -1])
+                if len(some) > self.most + 1:  # one more than wanted: the query's own row goes
+                    edge = np.partition(s[some], self.most)[self.most]
+                    under = some[s[some] < edge]
+                    some = np.concatenate((under, some[s[some] == edge][: self.most + 1 - len(under)]))
+                some = some[vec_ids[some] != self.ids[i]]
+                near_i, rows_i = np.append(self.near[i], s[some]), np.append(self.rows[i], vec_ids[some])
+                first = np.lexsort((rows_i, near_i))[: self.most]
+                self.near[i], self.rows[i] = near_i[first], rows_i[first]
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 512, query_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows of the index but its own vec_id.
 
-    Queries (vec_id, embedding) are sent to the index in blocks of ``query_rows``. Each task scores its
-    rows in blocks and returns ``k`` for a query; ``rerank`` rows of a block are measured exactly.
+    Queries (vec_id, embedding) are sent to the codes in blocks of ``query_rows``, one after the other. Each task returns
+    one shortlist a query, of which the best ``shortlist`` of all tasks are measured exactly. Ties go to smaller ids,
+    in the shortlist as in the result. No queries or an empty index: no rows.
     """
-    spark = index.sparkSession
-    numbered = materialize(queries.select("vec_id", "embedding"))
-    blocks = -(-numbered.count() // query_rows)
-    books = index.codebooks
-    parts = []
-    for b in range(max(1, blocks)):
-        rows = numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == b).collect()
-        shared = spark.sparkContext.broadcast([(r.vec_id, r.embedding) for r in rows])
+    spark = index.codes.sparkSession
+    asked = materialize(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    blocks, books, parts = max(1, -(-asked.count() // query_rows)), index.books, []
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        shared = spark.sparkContext.broadcast([(r.query_id, r.q) for r in rows])
 
         def run(batches, shared=shared):
             import numpy as np
             import pyarrow as pa
 
-            ids = [i for i, _ in shared.value]
-            q = np.array([v for _, v in shared.value], np.float64)
-            found = Nearest(ids, q, books.value, k, rerank)
+            ids = np.array([i for i, _ in shared.value], np.int64)
+            best = Shortlists(ids, np.array([v for _, v in shared.value], np.float32), books.value, shortlist)
             for batch in batches:
-                for at in range(0, batch.num_rows if ids else 0, block_rows):
+                for at in range(0, batch.num_rows if len(ids) else 0, block_rows):
                     part = batch.slice(at, block_rows)
-                    n = part.num_rows
-                    codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1)
-                    found.block(np.asarray(part.column(0)), np.asarray(part.column(1).flatten()).reshape(n, -1), codes, np.asarray(part.column(3)))
-            rows = [(q, v, s) for q, best in zip(ids, found.best) for s, v in best]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-        best = index.mapInArrow(run, "query_id long, vec_id long, score double")
-        first = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        best = best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        parts.append(best if blocks <= 1 else materialize(best))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                    codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                    best.add(np.asarray(part.column(0)), codes, np.asarray(part.column(2)))
+            real = np.isfinite(best.near)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(best.rows[real]), pa.array(best.near[real])], names=["query_id", "vec_id", "near"])
+
+        first = Window.partitionBy("query_id").orderBy("near", "vec_id")
+        short = index.codes.mapInArrow(run, SHORT).withColumn("n", F.row_number().over(first)).where(F.col("n") <= shortlist)
+        parts.append(materialize(short.select("query_id", "vec_id")))
+        shared.destroy()  # one block at a time takes memory
+    short = reduce(DataFrame.unionByName, parts)
+    both = short.join(index.vectors.hint("merge"), "vec_id").join(asked.hint("merge"), "query_id")
+    score = F.sqrt(F.aggregate(F.zip_with("embedding", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = both.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(first))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "embeddings"))
-    return search(index, index.where("vec_id % 100 = 0"))
+    return search(index, index.vectors.where("vec_id % 100 = 0"))

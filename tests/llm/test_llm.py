@@ -162,9 +162,9 @@ def test_neighbours(spark):
     x = rng.normal(size=(600, 16))
     x[300:330] = x[300]
     rows = [(i, [float(v) for v in x[i]]) for i in range(600)] + [(601, None), (602, [0.0] * 16), (603, [float("nan")] * 16), (604, [None] * 16), (605, [1.0]), (None, [1.0] * 16), (5, [float(v) for v in x[5]])]
-    index = ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double".replace(", score double", "")))
+    index = ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit("x").alias(c) for c in ("codes", "norm", "query_id", "score", "n"))))
     got = collections.defaultdict(list)
-    for r in ann.search(index, index.where("vec_id % 100 = 0"), query_rows=4).orderBy("query_id", "rank").collect():
+    for r in ann.search(index, index.vectors.where("vec_id % 100 = 0"), shortlist=64, query_rows=4, block_rows=100).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hits = 0
     for q in range(0, 600, 100):
@@ -174,7 +174,7 @@ def test_neighbours(spark):
         assert all(abs(s - d[v]) < 1e-9 for v, s in got[q])
     assert hits >= 54 and [v for v, _ in got[300]] == list(range(301, 311))
     empty = ann.build_index(spark.createDataFrame([], "vec_id long, embedding array<float>"))
-    assert ann.search(empty, empty).count() == 0
+    assert ann.search(empty, empty.vectors).count() == 0
 
 
 def test_decontamination(spark, docs, none):
