@@ -278,4 +278,23 @@ def judged(hits: DataFrame) -> DataFrame:
 
 def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = judged(find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-    return hits.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    return hits.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT 'd' || row_number() OVER () AS r, doc_id, NULL::BIGINT AS item_id, text FROM documents
+  UNION ALL SELECT 'b' || row_number() OVER (), NULL, item_id, text FROM benchmark),
+s AS MATERIALIZED (
+  SELECT r, doc_id, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+p AS (SELECT item_id, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i, w FROM s WHERE r[1] = 'b' AND len(w) > 0),
+g AS (SELECT DISTINCT item_id, w[i:i + 12] AS g FROM p),
+n AS (SELECT DISTINCT len(g) AS n FROM g),
+o AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM s, n WHERE r[1] = 'd' AND len(w) >= n),
+h AS (SELECT o.r, o.i, o.n, g.item_id FROM (SELECT r, i, n, w[i:i + n - 1] AS g FROM o) o JOIN g USING (g)),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT r, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM s LEFT JOIN c USING (r) LEFT JOIN m USING (r) WHERE r[1] = 'd'
+"""

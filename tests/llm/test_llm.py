@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -84,7 +85,7 @@ def test_packing(spark, docs, none):
 
 def agree(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = con.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
@@ -236,6 +237,38 @@ def test_sharding(spark, docs, none):
         assert r.grown_shard in (r.shard, 16)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and 0 < sum(r.grown_shard == 16 for r in real) < len(real) / 8
     assert sharding.shard_documents(none).count() == 0
+    # sizes, CRC and the descent, draw by draw, in plain Python over XXH64 of the key and the child's name
+    texts = {(r.doc_id, r.text): r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sizes = sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in real) == sizes
+    odd = {(r.doc_id, r.size, r.text_crc32) for r in got}
+    assert (0, 1, 0) in odd and (3, 2, zlib.crc32(b"x")) in odd
+
+    def draw(key, child):
+        h = xxhash.xxh64_intdigest(child.name.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+        return -math.log(((h >> 12) + 0.5) / 2**52) / child.weight
+
+    def descend(key, node):
+        while node.shard is None:
+            node = min(node.children, key=lambda c: draw(key, c))
+        return node.shard
+
+    for r in [*real, *got]:
+        key = "\0" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (descend(key, sharding.tree(16)), descend(key, sharding.tree(17)))
+
+
+def test_weights_move_documents_into_their_subtree_only(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("key"))
+    leaf = lambda i, w: sharding.Node(f"s{i}", w, (), i)
+    grow = lambda w: sharding.branch("root", [sharding.branch("a", [leaf(0, 1.0), leaf(1, w)]), sharding.branch("b", [leaf(2, 1.0), leaf(3, 1.0)])])
+    both = rows.select(sharding.descend(F.col("key"), grow(1.0)).alias("x"), sharding.descend(F.col("key"), grow(3.0)).alias("y")).groupBy("x", "y").count().collect()
+    moved = {(r.x, r.y): r["count"] for r in both if r.x != r.y}
+    assert all(y in (0, 1) and x != y for x, y in moved) and not any(y == 0 and x == 1 for x, y in moved)
+    share = collections.Counter()
+    for r in both:
+        share[r.y] += r["count"]
+    assert all(abs(share[i] / 20_000 - w / 6) < 0.02 for i, w in enumerate((1, 3, 1, 1)))
 
 
 def test_simhash(spark, docs, none):
@@ -256,6 +289,52 @@ def test_simhash(spark, docs, none):
     assert sorted(r.text for r in simhash.one_of_each(nameless).collect()) == ["a b c d e f", "zz yy xx ww vv uu tt"]
 
 
+def plain_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_duplicates_end_to_end(spark):
+    """Fingerprints and components of whole documents against a loop over all pairs."""
+    rng = random.Random(11)
+    texts = [r[1] for r in odd_docs()]
+    for _ in range(20):
+        base = rng.choices([*WORDS, "Ä", "x" * 30], k=rng.randrange(4, 400))
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            texts.append(rng.choice([" ", "\n", " \t"]).join(words))
+    rows = [(7 * n % 101 if n % 17 else None, t) for n, t in enumerate(texts)]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    want = [(d, f"{prints[i]:016x}", least.get(root(i))) for i, (d, _) in enumerate(rows)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r.doc_id, f"{r.fp % 2**64:016x}", r.component_id) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(set(least.values())) < len(rows) / 2
+
+
+def test_segments_keep_up_with_the_number_of_fingerprints():
+    sizes = [simhash.blocks_for(10**k) for k in range(1, 12)]
+    assert sizes[:6] == [6] * 6 and sizes == sorted(sizes) and all(64 * (b - 4) // b >= math.log2(10**k) for k, b in enumerate(sizes, 1))
+
+
 @pytest.mark.parametrize("dense", [64, 2])
 def test_links_join_all_near_fingerprints(spark, dense):
     rng = random.Random(dense)
@@ -291,7 +370,7 @@ def test_links_join_all_near_fingerprints(spark, dense):
 def test_revisits(spark):
     schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>"
     rows = [
-        (1, "http://WWW.a.org/x/", 10, "response", "e1", None, {"content-length": "9", "date": "1"}), (2, "https://a.org/x#f", 20, "revisit", "W/e1", None, {"content-length": "0", "date": "2"}),
+        (1, "http://WWW.a.org:80/x/", 10, "response", "e1", None, {"content-length": "9", "date": "1"}), (2, "https://a.org/x#f", 20, "revisit", "W/e1", None, {"content-length": "0", "date": "2"}),
         (3, "http://a.org/x", 20, "response", "e2", None, None), (4, "http://a.org/x", 300_000, "revisit", "e1", None, None), (5, "http://a.org/x", 5, "revisit", "e1", None, None),
         (6, None, 50, "revisit", "e1", None, None), (7, "http://b.org", 1, "response", None, "m", {}), (8, "http://b.org/", 900_000, "revisit", None, "m", {"age": "1"}),
     ]
@@ -300,6 +379,43 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_canonical_urls(spark):
+    same = [("http://www.A.org:80/x/#f", "https://a.org:443/x"), ("HTTP://a.org//", "a.org")]
+    other = [("http://a.org:443/x", "https://a.org/x"), ("http://a.org/?q=1/", "http://a.org/?q=1"), ("http://a.org/X", "http://a.org/x"), ("a.org:80", "a.org")]
+    df = spark.createDataFrame([(*p, True) for p in same] + [(*p, False) for p in other], "a string, b string, same boolean")
+    key = revisits.canonical_url
+    assert df.where((key(F.col("a")) == key(F.col("b"))) != F.col("same")).collect() == []
+    assert spark.range(1).select(key(F.lit("http://a.org:80/p//?q=/"))).first()[0] == "a.org/p?q=/"
+
+
+def test_revisits_one_at_a_time(spark):
+    """Against a plain search over all responses: ties, repeated rows, null times and URLs, extra columns."""
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    rows = []
+    for n in range(300):
+        kind = pick("response", "revisit")
+        rows.append((n, pick("http://a.org/", "http://b.org/x", "http://b.org/x/", None), pick(None, *range(0, 300_000, 50_000)), kind, pick(None, "e", "W/e", "f"), pick(None, "m1", "m2"), pick(None, {}, {"age": "1", "etag": str(n)})))
+    rows += rows[:20]
+    bare = lambda t: t.removeprefix("W/")
+    url = lambda r: r[1] and r[1].rstrip("/").split("//")[1]
+    want = []
+    for r in rows:
+        if r[3] != "revisit":
+            continue
+        before = [x for x in rows if x[3] == "response" and url(x) == url(r) and x[2] is not None and r[2] is not None and url(r) and x[2] < r[2]]
+        if not before:
+            want.append((r[0], "no_earlier", None))
+            continue
+        of = max(before, key=lambda x: (x[2], x[0]))
+        agree = bare(r[4]) == bare(of[4]) if r[4] and of[4] else r[5] is not None and r[5] == of[5]
+        want.append((r[0], "resolved" if agree else "mismatch", of[0]))
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>")
+    df = df.select("*", *(F.lit("x").alias(c) for c in ("url_key", "span", "found", "last", "carried", "status", "refers_to", "stored", "sent")))
+    got = [(r.record_id, r.status, r.refers_to) for r in revisits.resolve_revisits(df, span=100_000).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_language(spark, docs, none):
     got = {(r.row.doc_id, r.row.n_chars): r for r in language.identify(with_clashes(docs), "doc_id", "n_chars").collect()}
     assert got[(0, 1)].lang_pred == got[(1, 1)].lang_pred == got[(10, 1)].lang_pred == "und"
@@ -308,6 +424,50 @@ def test_language(spark, docs, none):
     assert found.where("lang = lang_pred").count() >= 0.97 * found.count() > 0
 
 
+def plain_kneser_ney(texts, grams, text):
+    """Mean of -log p of a text under one language's interpolated model, by the formula and over plain dicts.
+
+    ``grams``: the single characters of all languages.
+    """
+    order = 4
+    counts = {n: collections.Counter() for n in range(1, order + 1)}
+    for t in texts:
+        t = "   " + t
+        counts[order].update(t[i : i + order] for i in range(len(t) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n].update(g[1:] for g in counts[n + 1])
+    total, kinds, discount = {}, {}, {}
+    for n, c in counts.items():
+        total[n], kinds[n] = collections.Counter(), collections.Counter()
+        for g, v in c.items():
+            total[n][g[:-1]] += v
+            kinds[n][g[:-1]] += 1
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount[n] = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+
+    def p(g):
+        n = len(g)
+        lower = p(g[1:]) if n > 1 else 1 / (1 + grams)
+        all_ = total[n][g[:-1]]
+        if not all_:
+            return lower
+        return max(counts[n][g] - discount[n], 0) / all_ + discount[n] * kinds[n][g[:-1]] / all_ * lower
+
+    t = "   " + text
+    return -sum(math.log(p(t[i : i + order])) for i in range(len(text))) / len(text)
+
+
+def test_kneser_ney_by_the_formula():
+    own = {"a": ["the cat sat ", "the hat "], "b": ["der hund sass ", "dort der hut "]}
+    counts = {lang: collections.Counter(("   " + t)[i : i + 4] for t in ts for i in range(len(t))) for lang, ts in own.items()}
+    model = language.KneserNey(counts)
+    alphabet = len({c for ts in own.values() for t in ts for c in t})
+    for text in ("the cat ", "der ", "zzz the ", "thed sax "):
+        got, sizes = model.cross_entropy([text])
+        want = [plain_kneser_ney(own[lang], alphabet, text) for lang in model.langs]
+        assert sizes[0] == len(text) and np.allclose(got[0], want, atol=1e-5), (text, got, want)
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs, none):
     import corpus_pipeline as cp
 
