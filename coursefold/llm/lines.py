@@ -203,11 +203,13 @@ def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     at = F.sequence(F.lit(0), F.size("lines") - 1)
     blank = F.filter(at, lambda i: F.btrim(F.get("lines", i), F.lit(" \t\n\r\x0b\x0c")) == "")
     none = F.array().cast("array<int>")
-    rows = rows.select("row", "lines", F.when(F.col("lines").isNotNull(), F.array_sort(F.array_union(F.coalesce("stay", none), blank))).alias("left"))
+    rows = rows.select("row", "lines", F.when(F.col("lines").isNotNull(), F.sort_array(F.array_union(F.coalesce("stay", none), blank))).alias("left"))
     n_lines, n_left = (F.coalesce(F.size(F.coalesce(c, none.cast(t))).cast("long"), F.lit(0)) for c, t in (("lines", "array<string>"), ("left", "array<int>")))
     kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
     text = F.when(n_lines == n_left, F.col("row.text")).otherwise(kept)
-    return rows.select(*unboxed(docs, text=text), n_lines.alias(own_name(docs, "n_lines")), (n_lines - n_left).alias(own_name(docs, "n_dropped")))
+    # rows of a generator: a later filter on them is not pushed below, where it would split the text again for every line
+    rows = rows.select("row", F.inline(F.array(F.struct(text.alias("text"), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_dropped")))))
+    return rows.select(*unboxed(docs, text=F.col("text")), F.col("n_lines").alias(own_name(docs, "n_lines")), F.col("n_dropped").alias(own_name(docs, "n_dropped")))
 
 
 def op3_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
