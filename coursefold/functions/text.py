@@ -212,3 +212,8 @@ def same_list(a: Column, b: Column) -> Column:
 def headers(subjects: Column, *fields: str) -> Column:
     """A nested list cut down to ``fields`` of each entry."""
     return F.transform(subjects, lambda s: F.struct(*(s[f].alias(f) for f in fields)))
+
+
+def parsed(text: Column, schema: str) -> Column:
+    """JSON as a struct, list or map; no text at all is null. Names are matched as they are written."""
+    return F.when(F.trim(text) != "", F.from_json(text, schema))

@@ -39,6 +39,11 @@ def in_place(rows: DataFrame, key: str, position: str, id_: str) -> DataFrame:
     return visible(rows).groupBy(key).agg(listed.alias("children"))
 
 
+def others(rows: DataFrame, picked: DataFrame, key: str, id_: str) -> DataFrame:
+    """Each key's rows but the picked one; all of them where none is picked."""
+    return rows.join(picked.select(key, id_).distinct(), [key, id_], "left_anti")
+
+
 def admit(adds: DataFrame, current: DataFrame, families: DataFrame, key: str, seq: str = "seq", most: int = MOST_CHILDREN) -> DataFrame:
     """``adds`` with ``reason`` (null if added) and ``position``, one past all positions, deleting rows included.
 

@@ -19,6 +19,16 @@ def visits(events: DataFrame, key: str, order: str, ts: str) -> DataFrame:
     return events.withColumn("seconds", F.round((F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6).cast("long"))
 
 
+def screen_times(markers: DataFrame, key: str, order: str, ts: str, event: str = "event") -> DataFrame:
+    """Each stretch of a screen: its start's row, ``viewed``, and the seconds until the key's next marker; none while it is open.
+
+    ``event`` is view, leave, background or foreground. A view starts a stretch and counts as one; so does coming
+    back to the foreground, which is no new view. Whatever comes next ends it.
+    """
+    timed = visits(markers, key, order, ts).where(F.col(event).isin("view", "foreground"))
+    return timed.withColumn("viewed", F.col(event) == "view")
+
+
 def debounced(events: DataFrame, key: str, order: str, ts: str, quiet: Column) -> DataFrame:
     """The last event of each burst: the next one is at least ``quiet`` away, or there is none."""
     w = Window.partitionBy(key).orderBy(order)

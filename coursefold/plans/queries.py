@@ -365,6 +365,26 @@ def visit_seconds(spark, sf):
     return timeline.visits(_t(spark, sf, "events"), "user_id", "event_id", "ts").select("event_id", "user_id", "seconds")
 
 
+@query("""WITH m AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events WHERE event_type <> 'error')
+SELECT event_id, user_id, event_type = 'view' AS viewed, CAST(round((epoch_us(next) - epoch_us(ts)) / 1e6) AS BIGINT) AS seconds FROM m WHERE event_type IN ('view', 'signup')""")
+def screen_times(spark, sf):
+    e = _t(spark, sf, "events").where("event_type <> 'error'")
+    kind = F.when(F.col("event_type") == "click", "leave").when(F.col("event_type") == "purchase", "background").when(F.col("event_type") == "signup", "foreground").otherwise("view")
+    return timeline.screen_times(e.withColumn("event", kind), "user_id", "event_id", "ts").select("event_id", "user_id", "viewed", "seconds")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type = 'x' AS empty FROM events")
+def parsed_props(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.select("event_id", text.parsed(F.col("props"), "k int")["k"].alias("k"), text.parsed(F.lit(" "), "k int").isNotNull().alias("empty"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders x WHERE x.o_custkey = o.o_custkey)")
+def other_items(spark, sf):
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    return tenants.others(o, o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")), "o_custkey", "o_orderkey")
+
+
 @query("SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events) WHERE a IS NULL OR a - ts >= INTERVAL 5 MINUTE")
 def debounce(spark, sf):
     return timeline.debounced(_t(spark, sf, "events"), "user_id", "event_id", "ts", F.expr("INTERVAL '5' MINUTE")).select("event_id", "user_id")
