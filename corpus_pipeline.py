@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursefold.llm.common import discard, quoted, scratch, table, unboxed, write
+from coursefold.llm.common import discard, quoted, recorded, scratch, table, unboxed, write
 from coursefold.llm.decontamination import find_benchmark, judged
 from coursefold.llm.language import identify
 from coursefold.llm.lines import dedup_lines
@@ -67,7 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{scratch(spark)}-{name}"
-        write(stage(spark, docs, sf_dir), path)
-        discard(spark, *before)  # what a stage took is not read again once its result is written
+        with recorded() as written:
+            write(stage(spark, docs, sf_dir), path)
+        discard(spark, written + before)  # not read again once the stage's result is written
         docs, before = spark.read.parquet(path), [path]
     return docs

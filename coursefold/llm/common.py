@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -67,7 +68,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_WRITTEN: list[str] = []
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that ``materialize`` writes meanwhile."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
 
 
 def write(df: DataFrame, path: str) -> None:
@@ -85,17 +97,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that survives lost executors."""
     path = scratch(df.sparkSession)
     write(df, path)
-    _WRITTEN.append(path)
+    for paths in _RECORDS:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Remove what ``materialize`` has written so far, and ``paths``: for callers whose result is written itself."""
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that no result depends on any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs  # the only way to any store that Spark writes to
-    for path in (*_WRITTEN, *paths):
+    for path in paths:
         where = hadoop.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _WRITTEN.clear()
 
 
 def tidy(run: Callable) -> Callable:
