@@ -110,8 +110,19 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` of a mapInArrow, after which freed memory goes back to the system.
+#: What a Python worker remembers from one task to the next, by the name of who uses it.
+HELD: dict[str, dict] = {}
+
+
+def release(but: str | None) -> None:
+    """Forget what tasks of other kinds have left in this worker."""
+    for name, held in HELD.items():
+        if name != but:
+            held.clear()
+
+
+def tidy(run: Callable, holds: str | None = None) -> Callable:
+    """``run`` of a mapInArrow, before which others' caches go, and after which freed memory goes back to the system.
 
     Python workers live on between tasks, several to an executor, and would otherwise hold on to the most
     that any of their tasks has had.
@@ -121,6 +132,7 @@ def tidy(run: Callable) -> Callable:
     def wrapped(batches) -> Iterator:
         import pyarrow as pa
 
+        release(holds)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it

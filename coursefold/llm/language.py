@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: KneserNey | None, *keep: str) -> DataFrame:
         import pyarrow as pa
 
         model = shared.value
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             row = batch.column(0)
             texts = row.field(keep.index("text")) if "text" in keep else batch.column(1)
             texts = [None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]

@@ -17,7 +17,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, table, tidy
+from .common import HELD, materialize, pieces, table, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPEN = PIECES + ", batch int, ids binary"
@@ -256,12 +256,13 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         return out.astype({"doc_id": "Int64"})
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    placed = materialize(narrow.mapInArrow(tidy(tasks), OPEN))  # tokenized once for both uses
+    placed = materialize(narrow.mapInArrow(tidy(tasks, "tokenizers"), OPEN))  # tokenized once for both uses
     closed = placed.where("batch is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     return closed.unionByName(placed.where("batch is not null").groupBy("batch").applyInPandas(merge, PIECES))
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
+HELD["tokenizers"] = _TOKENIZERS
 
 
 def tokenizer_of(path: str) -> ChunkTokenizer:
