@@ -204,8 +204,11 @@ def _fold() -> F.Column:
 def _sample(docs: DataFrame, folds: tuple[int, ...], rows: int) -> DataFrame:
     """At most ``rows`` labelled documents of each language, by the hash of their id."""
     some = docs.where(_fold().isin(*folds)).where("lang is not null and text is not null").select("lang", "doc_id", "text")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = some.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("lang", "doc_id")
+    ids = some.select("lang", "doc_id", (F.spark_partition_id() % 64).alias("part"))
+    for by in (["lang", "part"], ["lang"]):  # in two levels, so that no task ranks what all others send of a language
+        first = Window.partitionBy(*by).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).drop("n")
+    ids = ids.select("lang", "doc_id")
     return some.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
 
 

@@ -199,7 +199,7 @@ def _merge(held: list[list], size: int, least_cut: int) -> list[list]:
     return done
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, size: int = 4096, open_windows: int = 64, least_cut: int = 16, fan_in: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, size: int = 4096, open_windows: int = 64, least_cut: int = 16, fan_in: int = 8) -> DataFrame:
     """Pieces of all documents, each with its place in a sequence of at most ``size`` tokens.
 
     A document is its text's ids and then ``end_id``, so a null or empty text is one token. A piece
