@@ -501,6 +501,30 @@ def test_long_texts_are_read_in_pieces():
     assert list(tok.ids([text, b"", text], 500)) == list(tok.ids([text, b"", text]))
 
 
+def test_a_very_long_text(spark):
+    """One text of 2 MB, with a line and a word of half a MB each, between short ones."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(5000)]
+    lines_ = [" ".join(rng.choices(words, k=40)) for _ in range(4000)]
+    long = "\n".join([*lines_, " ".join(rng.choices(words, k=90_000)), "w" * 500_000, lines_[5]])
+    rows = [(1, "short one here", "en"), (2, long, "en"), (3, lines_[7] + " end", "en"), (4, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = len(long.split())
+    assert {r.doc_id: r.n_words for r in scoring.score_documents(docs).collect()}[2] == n
+    left = {r.doc_id: (r.n_lines, r.n_dropped) for r in lines.dedup_lines(docs).collect()}
+    assert left == {1: (1, 0), 2: (4003, 1), 3: (1, 1), 4: (0, 0)}
+    hits = decontamination.judged(decontamination.find_benchmark(docs, spark.createDataFrame([("i", lines_[9])], "item_id string, text string")))
+    assert {r[0]: (r.n_words, r.n_hit, r.contaminated) for r in hits.select("row.doc_id", "n_words", "n_hit", "contaminated").collect()}[2] == (n, 40, False)
+    assert {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(docs).collect()}[2] == plain_fingerprint(long)
+    spans = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs).collect()}
+    assert spans[2][0] == len(long) and 500_000 <= spans[2][1] < 501_000  # the word repeats itself, a line the one before
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(docs.where("doc_id <> 2 or text is null").unionByName(docs.where("doc_id = 2").withColumn("text", F.substring("text", 1, 1_200_000))), public_tokenizers.path("word_bpe_49k.json"))
+    want = len(tok.encode(long[:1_200_000], add_special_tokens=False).ids) + 1
+    assert pieces.where("doc_id = 2").agg(F.sum("length"), F.max("doc_tokens")).first() == (want, want)
+    assert {r.row.doc_id: r.chars for r in language.identify(docs, "doc_id").collect()}[2] > 1_500_000
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
