@@ -212,3 +212,12 @@ def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 512,
 def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(table(spark, sf_dir, "embeddings"))
     return search(index, index.vectors.where("vec_id % 100 = 0"))
+
+
+#: Exact search: on tables of up to 512 other vectors the shortlist holds all of them, and larger ones show the recall.
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, u.vec_id, sqrt(list_sum(list_transform(list_zip(u.e, q.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score FROM u q JOIN u ON u.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM d QUALIFY rank <= 10
+"""

@@ -7,4 +7,4 @@ from . import ann, decontamination, language, lines, packing, repeats, revisits,
 _OPS = [packing.op1_window_packing, scoring.op2_stupid_backoff, lines.op3_deletion_line_dedup, ann.op4_additive_quantisation, decontamination.op5_fm_decontamination, repeats.op6_bwt_merge_repeats, sharding.op7_hash_tree_sharding, simhash.op8_simhash_near_duplicates, revisits.op9_revisit_resolution, language.op10_kneser_ney_language]
 
 QUERIES = {f.__name__: f for f in _OPS}
-ORACLE_SQL = {"op2_stupid_backoff": scoring.OP2_SQL, "op3_deletion_line_dedup": lines.OP3_SQL, "op5_fm_decontamination": decontamination.OP5_SQL, "op9_revisit_resolution": revisits.OP9_SQL}
+ORACLE_SQL = {"op4_additive_quantisation": ann.OP4_SQL, "op2_stupid_backoff": scoring.OP2_SQL, "op3_deletion_line_dedup": lines.OP3_SQL, "op5_fm_decontamination": decontamination.OP5_SQL, "op6_bwt_merge_repeats": repeats.OP6_SQL, "op9_revisit_resolution": revisits.OP9_SQL}

@@ -418,3 +418,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, digest: bool = False) ->
 def op6_bwt_merge_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400),
+h AS MATERIALIZED (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS k FROM s),
+g AS (SELECT r, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+b AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 AS goes_on FROM g),
+n AS (SELECT r, i, count(*) FILTER (WHERE goes_on IS NOT true) OVER (PARTITION BY r ORDER BY i) AS run FROM b),
+p AS (SELECT r, min(i) AS a, max(i) + 200 AS e FROM n GROUP BY r, run),
+q AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM p),
+t AS (SELECT r, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(e) AS past, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN t.r IS NULL THEN x ELSE head || substr(x, 2 * past + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""

@@ -85,7 +85,7 @@ def test_packing(spark, docs, none):
 
 def agree(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = con.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
