@@ -169,7 +169,7 @@ def http_status(code: Column) -> Column:
 
 def described(failures: DataFrame, problems: DataFrame, code: str = "code") -> DataFrame:
     """Failures with title and detail from a small table of ``problems``, one row a code, and their status."""
-    return failures.join(F.broadcast(problems.limit(len(STATUS))), code, "left").withColumn("status", http_status(F.col(code)))
+    return failures.join(problems, code, "left").withColumn("status", http_status(F.col(code)))
 
 
 def substituted(text: Column, values: dict[str, Column]) -> Column:

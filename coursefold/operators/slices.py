@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import book_of, derived_file, folder_of
+from ..functions.keys import book_of, folder_of
 
 #: A board that skips books without content, and files besides chapters that each book of a board must have.
 SKIPS_UNBUILT = ["cbse"]
@@ -20,20 +20,21 @@ def judge_books(books: DataFrame, files: DataFrame, skips_unbuilt: list[str] = S
     board's rule, broken; then each refined chapter needs its summary, then its plan; then each ``required`` folder
     needs the book's own file. Names compare byte by byte.
     """
-    named = files.select("name", folder_of(F.col("name")).alias("folder"), book_of(F.col("name")).alias("book_id"))
-    refined = named.where("folder = 'refined'")
-    built = refined.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"))
+    folder = folder_of(F.col("name"))
+    named = files.select("name", folder.alias("folder"), F.substring(F.col("name"), F.length(folder) + 2, F.length("name")).alias("rest"))
+    # one grouping by chapter in place of a join for each kind of file
+    chapter = F.when(F.col("folder") == "plans", F.regexp_replace("rest", r"\.plan\.json\z", ".json")).otherwise(F.col("rest"))
+    has = lambda kind: F.max(F.col("folder") == kind)
+    whole = named.where(F.col("folder").isin("refined", "summaries", "plans")).groupBy(chapter.alias("chapter"))
+    whole = whole.agg(F.min(F.when(F.col("folder") == "refined", F.col("name"))).alias("name"), has("summaries").alias("s"), has("plans").alias("p")).where("name is not null")
+    lacking = lambda kind: F.min(F.when(~F.col(kind), F.col("name")))
+    built = whole.groupBy(book_of(F.col("name")).alias("book_id")).agg(F.count(F.lit(1)).alias("chapters"), lacking("s").alias("_s"), lacking("p").alias("_p"))
     out = books.join(built, "book_id", "left")
-    checks = [("unbuilt", F.when(F.col("chapters").isNull(), F.concat(F.lit("refined/"), F.col("book_id"))))]
-    for kind, fault in (("summaries", "no-summary"), ("plans", "no-plan")):
-        lacking = refined.withColumn("want", derived_file(F.col("name"), kind)).join(files.select(F.col("name").alias("want")), "want", "left_anti")
-        out = out.join(lacking.groupBy("book_id").agg(F.min("name").alias(f"_{kind}")), "book_id", "left")
-        checks.append((fault, F.col(f"_{kind}")))
-    for n, folder in enumerate(required):
-        there = files.select(F.col("name").alias(f"_r{n}")).distinct()
-        want = F.concat(F.lit(f"{folder}/"), F.col("book_id"), F.lit(".json"))
-        out = out.withColumn("_want", want).join(there, F.col("_want") == F.col(f"_r{n}"), "left")
-        checks.append((f"no-{folder}", F.when(F.col(f"_r{n}").isNull(), F.col("_want"))))
+    checks = [("unbuilt", F.when(F.col("chapters").isNull(), F.concat(F.lit("refined/"), F.col("book_id")))), ("no-summary", F.col("_s")), ("no-plan", F.col("_p"))]
+    if required:
+        own = named.where(F.col("folder").isin(*required)).groupBy(F.regexp_replace("rest", r"\.json\z", "").alias("book_id")).agg(*(has(f).alias(f"_has_{f}") for f in required))
+        out = out.join(own, "book_id", "left")
+        checks += [(f"no-{f}", F.when(~F.coalesce(f"_has_{f}", F.lit(False)), F.concat(F.lit(f"{f}/"), F.col("book_id"), F.lit(".json")))) for f in required]
     fault = F.coalesce(*(F.when(name.isNotNull(), F.struct(F.lit(what).alias("fault"), name.alias("first"))) for what, name in checks))
     out = out.withColumn("_f", fault)
     skipped = F.col("chapters").isNull() & F.col("board").isin(skips_unbuilt)
@@ -42,15 +43,15 @@ def judge_books(books: DataFrame, files: DataFrame, skips_unbuilt: list[str] = S
 
 
 def slice_files(judged: DataFrame, files: DataFrame) -> DataFrame:
-    """Names of all files of ready books; reading one when a book is broken is an error that names its first fault."""
+    """Names of all files of ready books, with board and book_id; reading one when a book is broken is an error that names its first fault."""
     broken = F.raise_error(F.concat(F.lit("book "), F.col("book_id"), F.lit(": "), F.col("fault"), F.lit(" "), F.col("first")))
     sound = judged.where(F.when(F.col("state") == "broken", broken.cast("boolean")).otherwise(F.col("state") == "ready"))
-    return files.withColumn("book_id", book_of(F.col("name"))).join(sound.select("book_id"), "book_id", "left_semi")
+    return files.withColumn("book_id", book_of(F.col("name"))).join(sound.select("board", "book_id"), "book_id")
 
 
 def slice_counts(files: DataFrame, key: str) -> DataFrame:
-    """Files of each slice, with the two that every slice has, and its number of books."""
-    return files.groupBy(key).agg((F.count(F.lit(1)) + OWN_FILES).alias("files"), F.countDistinct(book_of(F.col("name"))).alias("books"))
+    """Files (name, book_id) of each slice, with the two that every slice has, and its number of books."""
+    return files.groupBy(key).agg((F.count(F.lit(1)) + OWN_FILES).alias("files"), F.countDistinct("book_id").alias("books"))
 
 
 def disjoint_union(*files: DataFrame, name: str = "name") -> DataFrame:

@@ -44,8 +44,7 @@ def books_judged(spark, sf):
 @query(_BOOKS + "SELECT board, sum(3 * files)::BIGINT + 2 AS files, count(*) AS books FROM k WHERE state = 'ready' GROUP BY board")
 def slice_sizes(spark, sf):
     sound = _judged(spark, sf).where("state <> 'broken'")
-    files = slices.slice_files(sound, _files(spark, sf)).join(sound.select("board", "book_id"), "book_id")
-    return slices.slice_counts(files, "board")
+    return slices.slice_counts(slices.slice_files(sound, _files(spark, sf)), "board")
 
 
 @query("SELECT 'd/' || doc_id || '.txt' AS name, n_chars AS size FROM documents UNION ALL SELECT 'p/' || page_id || '.html', length(html) FROM pages UNION ALL SELECT 'b/' || item_id || '.txt', length(text) FROM benchmark")
