@@ -6,13 +6,13 @@ import contextlib
 import ctypes
 import functools
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.written import scratch
+
 _SPACE = re.compile(rb"[\t-\r ]")
 #: Frees an execution's shuffle files once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,20 +54,6 @@ def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
         at = end
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only in local mode, where there is one machine, a folder of its own is set for a session without it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 _RECORDS: list[list[str]] = []
 
 
