@@ -71,7 +71,7 @@ def recorded() -> Iterator[list[str]]:
 def write(df: DataFrame, path: str) -> None:
     """Write a table as Parquet; the shuffle files that it took are freed, as only the table is read later."""
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)

@@ -199,7 +199,8 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, b
         return out.astype({"doc_id": "Int64", "n_words": "int64", "partial": "float64", "shares": "int64"})
 
     sent = narrow.mapInArrow(explode, COUNTS)
-    totals = sent.groupBy("n", "bucket").applyInPandas(answer, "block long, n int, bucket int, totals binary")
+    # written apart from what follows, so that the counts that were sent are freed before texts are
+    totals = materialize(sent.groupBy("n", "bucket").applyInPandas(answer, "block long, n int, bucket int, totals binary"))
     blocks = narrow.mapInArrow(texts, "block long, at int, about binary, texts binary")
     scored = materialize(blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, "doc_id long, n_words long, partial double, shares long"))
     size = scored.agg(F.sum("n_words")).first()[0] or 1
