@@ -115,8 +115,9 @@ def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int =
     import numpy as np
 
     x = materialize(usable(vectors))
-    rows = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    sample = np.array([r.embedding for r in rows], np.float32)
+    rows = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()
+    sample = _matrix(rows.column(0)).astype(np.float32)
+    del rows
     books = train(sample, codebooks, min(words, 256)) if len(sample) else []
     shared = x.sparkSession.sparkContext.broadcast(books)
 
@@ -136,6 +137,15 @@ def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int =
     return Index(materialize(x.mapInArrow(run, INDEX)), x, shared)
 
 
+def _matrix(column):
+    """A column of lists of one length as rows of doubles."""
+    import numpy as np
+
+    if not len(column):
+        return np.zeros((0, 0))
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(len(column), -1)
+
+
 class Shortlists:
     """Each query's ``most`` rows of least estimated distance so far; equal estimates go to smaller ids."""
 
@@ -180,15 +190,15 @@ def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 512,
     asked = materialize(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
     blocks, books, parts = max(1, -(-asked.count() // query_rows)), index.books, []
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast([(r.query_id, r.q) for r in rows])
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _matrix(rows.column(1)).astype("f4")))
 
         def run(batches, shared=shared):
             import numpy as np
             import pyarrow as pa
 
-            ids = np.array([i for i, _ in shared.value], np.int64)
-            best = Shortlists(ids, np.array([v for _, v in shared.value], np.float32), books.value, shortlist)
+            ids, asked = shared.value
+            best = Shortlists(ids, asked, books.value, shortlist)
             for batch in batches:
                 for at in range(0, batch.num_rows if len(ids) else 0, block_rows):
                     part = batch.slice(at, block_rows)
