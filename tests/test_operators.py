@@ -298,3 +298,17 @@ def test_dispatch(spark, tmp_path):
     out = actions.publish(actions.deliveries(spark, f"{tmp_path}/in", "a"), f"{tmp_path}/out", f"{tmp_path}/ck")
     out.trigger(availableNow=True).start().awaitTermination()
     assert [r.action_id for r in spark.read.json(f"{tmp_path}/out").collect()] == ["1"]
+
+
+def test_numbering_in_two_levels(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(rng.randrange(3), n, rng.choice(text.STATES)) for n in rng.sample(range(1000), 200)], "g int, n int, state string")
+    plain = listing.number_rows(rows, "g", "n")
+    pieces = listing.number_rows(rows, "g", "n", piece=F.shiftright("n", 4))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, pieces.select(plain.columns).collect()))
+    whole = {r.g: r.states for r in listing.states_in_order(plain, "g").collect()}
+    parts = listing.states_in_order(plain, "g", 7).orderBy("g", "first").collect()
+    for g, states in whole.items():
+        own = [r for r in parts if r.g == g]
+        assert ",".join(r.states for r in own) == states and [r["first"] for r in own] == [1 + 7 * k for k in range(len(own))]
+    assert {r.g: (r.x, r.n) for r in listing.x_of_n(rows, "g").collect()} == {g: (s.split(",").count("checked"), len(s.split(","))) for g, s in whole.items()}
