@@ -77,7 +77,7 @@ def blocks(batches, block_bytes: int, at_once: int = 1 << 20):
                 texts.append(before + piece)
                 if before:
                     repeats.append(before)
-                before = _tail(piece) if len(piece) < len(text) else b""
+                before = _tail(before + piece)
                 size += len(piece)
                 if size >= block_bytes:
                     yield number, {k: (b"\n".join(a), b"\n".join(b)) for k, (a, b) in held.items()}
