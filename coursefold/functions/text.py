@@ -26,9 +26,27 @@ def contains_ignoring_case(column: Column, search: str) -> Column:
     return F.lower(column).contains(search.lower()) if search else F.lit(True)
 
 
+#: What counts as white space in a text field, beside the ASCII ones a no-break space, a byte order mark and others.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(column: Column) -> Column:
+    return F.trim(column, F.lit(SPACES))
+
+
+def words(column: Column) -> Column:
+    """What stands between white space."""
+    return F.filter(F.split(F.translate(column, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
+
+
+def units(column: Column) -> Column:
+    """The length that a text field counts: a character past U+FFFF counts as two."""
+    return F.length(column) + F.regexp_count(column, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
 def matches_words(query: Column, keywords: Column) -> Column:
-    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != "")
-    return F.forall(words, lambda w: keywords.contains(w))
+    words_ = words(F.lower(query))
+    return F.forall(words_, lambda w: keywords.contains(w))
 
 
 def no_controls(column: Column) -> Column:
@@ -41,7 +59,7 @@ def six_digits(column: Column) -> Column:
 
 def valid_region(text: Column) -> Column:
     """1 to 60 characters, not all blank, none of them a control, format or unassigned one."""
-    return (F.length(F.trim(text)) > 0) & (F.length(text) <= 60) & no_controls(text)
+    return (trimmed(text) != "") & (units(text) <= 60) & no_controls(text)
 
 
 def valid_name(text: Column) -> Column:
@@ -50,7 +68,7 @@ def valid_name(text: Column) -> Column:
 
 def valid_school(text: Column) -> Column:
     """Up to 100 characters; none at all is fine."""
-    return (F.length(text) <= 100) & ~text.rlike(r"\p{C}")
+    return (units(text) <= 100) & ~text.rlike(r"\p{C}")
 
 
 def birth_years(year: Column) -> Column:
@@ -64,7 +82,7 @@ def class_choices(board: Column) -> Column:
 
 def touched(draft: Column) -> Column:
     """Whether anything was entered in a draft (name, class_level, birth_year, school)."""
-    return (F.trim(draft["name"]) != "") | draft["class_level"].isNotNull() | (draft["birth_year"] != "") | (F.trim(draft["school"]) != "")
+    return (trimmed(draft["name"]) != "") | draft["class_level"].isNotNull() | (draft["birth_year"] != "") | (trimmed(draft["school"]) != "")
 
 
 def complete(draft: Column, board: Column, year: Column) -> Column:
@@ -104,11 +122,13 @@ def day_part(ts: Column) -> Column:
 
 
 def first_word(name: Column) -> Column:
-    return F.element_at(F.split(F.trim(name), r"\s+"), 1)
+    """The first of a name's words; of a blank name the empty text."""
+    return F.coalesce(F.get(words(name), 0), F.when(name.isNotNull(), ""))
 
 
 def initial(name: Column) -> Column:
-    return F.upper(F.substring(F.trim(name), 1, 1))
+    """The first character as it stands, in upper case; a blank before a name is not skipped."""
+    return F.upper(F.substring(name, 1, 1))
 
 
 def short_date(ts: Column) -> Column:

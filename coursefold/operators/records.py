@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import derived_file
+from ..sources.written import materialize
+from .chains import reachable
 
 
 def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -146,35 +148,39 @@ def fixed_window(events: DataFrame, key: str, ts: str, order: str, unit: str, li
     return events.withColumn("admitted", F.row_number().over(w) <= limit)
 
 
+def used_window(events: DataFrame, key: str, ts: str, order: str, seconds: int, permits: int) -> DataFrame:
+    """Whether each event is admitted: the first ``permits`` of its key in each window, which starts at its first use.
+
+    The next window of a key starts with the first event ``seconds`` after the start of the last. Each event points to the one that would
+    start the window after its own; the starts are those that the key's first event reaches, found in doubling rounds. Events of a key
+    come in ``order``; time never goes back, so one that seems earlier than those before counts as late as they.
+    """
+    by = Window.partitionBy(key).orderBy(order)
+    clock = F.max(F.unix_micros(F.col(ts).cast("timestamp"))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    timed = materialize(events.withColumn("_t", clock).withColumn("id", F.row_number().over(by).cast("long")))
+    # events and the ends of the windows that they would start, latest first: at an end the least event so far is the next start
+    ends = timed.select(key, (F.col("_t") + seconds * 1_000_000).alias("_t"), F.lit(None).cast("long").alias("_of"), "id")
+    both = timed.select(key, "_t", F.col("id").alias("_of"), "id").unionByName(ends)
+    so_far = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc_nulls_last("_of")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pointers = both.withColumn("next", F.min("_of").over(so_far)).where("_of is null").select(key, "id", "next")
+    starts = reachable(pointers, timed.where("id = 1"), [key]).withColumn("_start", F.col("id"))
+    starts = timed.join(starts, [key, "id"], "left").withColumn("_start", F.last("_start", ignorenulls=True).over(Window.partitionBy(key).orderBy("id")))
+    used = F.row_number().over(Window.partitionBy(key, "_start").orderBy("id"))
+    return starts.withColumn("admitted", used <= permits).select(*events.columns, "admitted")
+
+
 def chained_limits(events: DataFrame, key: str, ts: str, order: str, rules: list[tuple[int, int]]) -> DataFrame:
     """Whether all rules (seconds, permits) admit each event of a key; windows start at their first use.
 
-    A rule in turn that admits keeps the permit even if a later one refuses. What earlier events were
-    granted decides, so each key's events pass in order through a small state, streamed in sorted
-    partitions: a key may have any number of events.
+    A rule in turn that admits keeps the permit even if a later one refuses, and a later one only sees what the earlier admit:
+    so each rule is one ``used_window`` over what is left.
     """
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, state = object(), []
-        for b in batches:
-            keys, times = b.column(b.schema.names.index(key)).to_pylist(), b.column(b.schema.names.index("_s")).to_pylist()
-            out = []
-            for k, t in zip(keys, times):
-                if k != last:
-                    last, state = k, [[None, 0] for _ in rules]
-                ok = True
-                for s, (seconds, permits) in zip(state, rules):
-                    if s[0] is None or t >= s[0] + seconds * 1_000_000:
-                        s[0], s[1] = t, 0
-                    if s[1] >= permits:
-                        ok = False
-                        break
-                    s[1] += 1
-                out.append(ok)
-            yield b.append_column("admitted", pa.array(out, pa.bool_()))
-
-    rows = events.withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp")))
-    schema = rows.schema.add("admitted", "boolean")
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema).drop("_s")
+    left, refused = events, []
+    for seconds, permits in rules:
+        judged = materialize(used_window(left, key, ts, order, seconds, permits))
+        refused.append(judged.where("not admitted"))
+        left = judged.where("admitted").drop("admitted")
+    out = left.withColumn("admitted", F.lit(True))
+    for r in refused:
+        out = out.unionByName(r)
+    return out

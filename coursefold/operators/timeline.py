@@ -20,13 +20,22 @@ def visits(events: DataFrame, key: str, order: str, ts: str) -> DataFrame:
 
 
 def screen_times(markers: DataFrame, key: str, order: str, ts: str, event: str = "event") -> DataFrame:
-    """Each stretch of a screen: its start's row, ``viewed``, and the seconds until the key's next marker; none while it is open.
+    """Each stretch of a screen: its start's row, ``viewed``, and its seconds; none while it is open.
 
-    ``event`` is view, leave, background or foreground. A view starts a stretch and counts as one; so does coming
-    back to the foreground, which is no new view. Whatever comes next ends it.
+    ``event`` is view, leave, background or foreground. A view starts a visit and its clock, and ends one that is still
+    open. Going to the background or leaving stops the clock. Coming to the foreground starts it again, as no new view, but only
+    within a visit and only if it has stopped: while it runs, or once the screen is left, it changes nothing.
     """
-    timed = visits(markers, key, order, ts).where(F.col(event).isin("view", "foreground"))
-    return timed.withColumn("viewed", F.col(event) == "view")
+    by = Window.partitionBy(key).orderBy(order)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    # what a state is depends on the last marker that sets it whatever was before, so states need no loop
+    last = lambda *kinds: F.last(F.when(F.col(event).isin(*kinds), F.col(event)), ignorenulls=True).over(before)
+    resumes = (F.col(event) == "foreground") & (last("view", "leave") == "view") & (last("view", "background", "foreground") == "background")
+    back = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows takes one step a row
+    ends = F.last(F.when(F.col(event) != "foreground", F.col(ts)), ignorenulls=True).over(back)
+    timed = markers.withColumn("_end", ends).withColumn("_on", (F.col(event) == "view") | resumes).where("_on")
+    seconds = F.round((F.unix_micros(F.col("_end").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6).cast("long")
+    return timed.withColumn("seconds", seconds).withColumn("viewed", F.col(event) == "view").drop("_end", "_on")
 
 
 def debounced(events: DataFrame, key: str, order: str, ts: str, quiet: Column) -> DataFrame:

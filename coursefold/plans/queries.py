@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import keys, text, tokens
 from ..operators import fold, listing, records, tenants, timeline
 from ..sources.files import prefix_scan
-from . import file_queries, tenant_queries  # noqa: F401  they register theirs
+from . import file_queries, store_queries, tenant_queries  # noqa: F401  they register theirs
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .registry import table as _t
 
 
 def _chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as chapters of their nation; their urgent orders as attempts, lineitems as checks."""
-    c = listing.number_rows(_t(spark, sf, "customer"), "c_nationkey", "c_custkey", piece=F.shiftright("c_custkey", 14)).select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("chapter_id"), F.col("c_name").alias("title"), "number")
-    o = _t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    """Customers and parts as chapters of a nation; a customer's orders are attempts, lineitems checks. No order is of a part, so these are not started."""
+    c = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("subject_id"), F.col("c_custkey").alias("chapter_id"), F.col("c_name").alias("title"))
+    p = _t(spark, sf, "part").select((F.col("p_partkey") % 25).cast("int").alias("subject_id"), (-1 - F.col("p_partkey")).alias("chapter_id"), F.col("p_name").alias("title"))
+    c = c.withColumn("subject_id", F.col("subject_id").cast("int")).unionByName(p)
+    c = listing.number_rows(c, "subject_id", "chapter_id", piece=F.shiftright("chapter_id", 14))
+    o = _t(spark, sf, "orders")
     last = listing.latest(o.withColumnRenamed("o_custkey", "chapter_id"), "chapter_id", F.struct("o_orderdate", "o_orderkey"), "o_orderkey", "o_orderstatus")
     items = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     checked = last.where("o_orderstatus = 'F'").select("o_orderkey").join(items, "o_orderkey", "left_semi").withColumn("has", F.lit(1))
@@ -28,8 +31,9 @@ def _chapters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LISTING = """
-WITH c AS (SELECT c_nationkey AS subject_id, c_custkey AS chapter_id, c_name AS title, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS number FROM customer),
-o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT'),
+WITH x AS (SELECT CAST(c_nationkey AS INT) AS subject_id, c_custkey AS chapter_id, c_name AS title FROM customer UNION ALL SELECT CAST(p_partkey % 25 AS INT), -1 - p_partkey, p_name FROM part),
+c AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY chapter_id) AS number FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders),
 l AS (SELECT c.*, coalesce(o.k, 0) AS attempt_count, CASE WHEN o.o_orderkey IS NULL THEN 'not-started'
   WHEN o.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey) THEN 'checked'
   WHEN o.o_orderstatus = 'O' THEN 'taught' ELSE 'planned' END AS state
@@ -365,18 +369,34 @@ def visit_seconds(spark, sf):
     return timeline.visits(_t(spark, sf, "events"), "user_id", "event_id", "ts").select("event_id", "user_id", "seconds")
 
 
-@query("""WITH m AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events WHERE event_type <> 'error')
-SELECT event_id, user_id, event_type = 'view' AS viewed, CAST(round((epoch_us(next) - epoch_us(ts)) / 1e6) AS BIGINT) AS seconds FROM m WHERE event_type IN ('view', 'signup')""")
-def screen_times(spark, sf):
+def screen_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as markers of a user's screen."""
     e = _t(spark, sf, "events").where("event_type <> 'error'")
     kind = F.when(F.col("event_type") == "click", "leave").when(F.col("event_type") == "purchase", "background").when(F.col("event_type") == "signup", "foreground").otherwise("view")
-    return timeline.screen_times(e.withColumn("event", kind), "user_id", "event_id", "ts").select("event_id", "user_id", "viewed", "seconds")
+    return e.withColumn("event", kind)
+
+
+@query("""WITH RECURSIVE m AS (
+  SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'leave' WHEN 'purchase' THEN 'background' WHEN 'signup' THEN 'foreground' ELSE 'view' END AS e,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'error'),
+s AS (
+  SELECT user_id, n, e = 'view' AS listening, CASE WHEN e = 'view' THEN event_id END AS started, e = 'view' AS viewed, CAST(NULL AS BIGINT) AS stopped, ts FROM m WHERE n = 1
+  UNION ALL
+  SELECT m.user_id, m.n, CASE m.e WHEN 'view' THEN true WHEN 'leave' THEN false ELSE listening END,
+    CASE m.e WHEN 'view' THEN m.event_id WHEN 'foreground' THEN CASE WHEN listening THEN coalesce(started, m.event_id) END END, m.e = 'view',
+    CASE WHEN m.e <> 'foreground' THEN started END, m.ts FROM s JOIN m ON m.user_id = s.user_id AND m.n = s.n + 1),
+b AS (SELECT DISTINCT started AS event_id FROM s WHERE started IS NOT NULL)
+SELECT b.event_id, e.user_id, e.event_type = 'view' AS viewed, CAST(round((epoch_us(s.ts) - epoch_us(e.ts)) / 1e6) AS BIGINT) AS seconds
+FROM b JOIN events e USING (event_id) LEFT JOIN s ON s.stopped = b.event_id""")
+def screen_times(spark, sf):
+    return timeline.screen_times(screen_markers(spark, sf), "user_id", "event_id", "ts").select("event_id", "user_id", "viewed", "seconds")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type = 'x' AS empty FROM events")
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k, event_type = 'error' AS empty FROM events")
 def parsed_props(spark, sf):
     e = _t(spark, sf, "events")
-    return e.select("event_id", text.parsed(F.col("props"), "k int")["k"].alias("k"), text.parsed(F.lit(" "), "k int").isNotNull().alias("empty"))
+    said = text.parsed(F.when(F.col("event_type") == "error", " ").otherwise(F.col("props")), "k int")  # an error says nothing
+    return e.select("event_id", said["k"].alias("k"), said.isNull().alias("empty"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders x WHERE x.o_custkey = o.o_custkey)")
@@ -409,7 +429,7 @@ def composed_keys(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", state.alias("state"), keys.document_id(F.lit("CBSE"), level).alias("document"), keys.attempt_key(F.col("o_custkey").cast("string"), level, F.lit("ch"), F.col("o_orderkey") % 900).alias("row_key"))
 
 
-@query("SELECT p_type, CASE WHEN p_type = 'x' THEN '' ELSE lower(replace(p_type, ' ', '-')) END AS wire, count(*) AS n FROM part GROUP BY p_type")
+@query("SELECT p_type, lower(replace(p_type, ' ', '-')) AS wire, count(*) AS n FROM part GROUP BY p_type")
 def wire_names(spark, sf):
     # a class name is its words joined; kebab-casing it gives the wire name back
     camel = F.concat(F.array_join(F.transform(F.split("p_type", " "), F.initcap), ""), F.lit("Function"))

@@ -183,7 +183,7 @@ def failure_reasons(spark, sf):
     return rows.select("event_id", "code", text.looked_up(F.col("code"), text.REASONS, "other").alias("reason"), text.http_status(F.col("code")).alias("status"))
 
 
-@query("""SELECT c_custkey, length(trim(c_mktsegment)) > 0 AND c_nationkey <> 3 AS region_ok, upper(c_name[1]) AS initial,
+@query("""SELECT c_custkey, c_nationkey NOT IN (3, 5, 7, 9) AS region_ok, CASE WHEN c_nationkey IN (2, 4) THEN ' ' ELSE upper(c_name[1]) END AS initial,
   CASE WHEN c_nationkey IN (1, 3) THEN 0 WHEN c_nationkey % 2 = 0 THEN NULL WHEN c_custkey % 12 + 1 > 10 THEN 2 END AS blocking, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 3 END AS sent, c_custkey % 9 + 2000 AS newest FROM customer""")
 def form_checks(spark, sf):
     """Three drafts a form: the first may have a bad name, the second is blank where the nation is even, the third's class may be none."""
@@ -192,14 +192,20 @@ def form_checks(spark, sf):
     named, none = F.col("c_name"), F.lit(None)
     year = k % 9 + 2003
     born = (year - 10).cast("string")
-    first = draft(F.when(n == 3, F.lit("a\tb")).when(n == 1, F.lit(" ")).otherwise(named), F.lit(3), born)
+    first = draft(F.when(n == 3, F.lit("a\tb")).when(n == 1, F.lit("\u00a0\ufeff")).otherwise(named), F.lit(3), born)
     blank = draft(F.lit(" "), none, F.lit(""))
     second = F.when(n % 2 == 0, blank).otherwise(draft(named, F.lit(5), born))
     third = F.when(n % 2 == 0, draft(named, F.lit(1), born)).otherwise(draft(named, k % 12 + 1, born))
     drafts = F.array(first, second, third)
     blocking = text.blocking_draft(drafts, F.lit("cbse"), year).cast("int")
-    region = text.valid_region(F.when(n == 3, F.lit("a​b")).otherwise(F.col("c_mktsegment")))
-    return _t(spark, sf, "customer").select(k, region.alias("region_ok"), text.initial(named).alias("initial"), blocking.alias("blocking"), F.size(text.first_and_touched(drafts)).alias("sent"), F.get(text.birth_years(year), 0).alias("newest"))
+    # a hidden character, a lone no-break space, 62 units in 31 characters, 61 letters; 60 units in 30 are allowed
+    odd = {3: "a\u200bb", 5: "\u00a0", 7: "\U0001f600" * 31, 9: "x" * 61, 11: "\U0001f600" * 30}
+    shown = F.col("c_mktsegment")
+    for nation, said in odd.items():
+        shown = F.when(n == nation, F.lit(said)).otherwise(shown)
+    region = text.valid_region(shown)
+    initial = text.initial(F.when(n.isin(2, 4), F.concat(F.lit(" "), named)).otherwise(named))
+    return _t(spark, sf, "customer").select(k, region.alias("region_ok"), initial.alias("initial"), blocking.alias("blocking"), F.size(text.first_and_touched(drafts)).alias("sent"), F.get(text.birth_years(year), 0).alias("newest"))
 
 
 @query("""SELECT c_custkey, c_nationkey % 4 = 0 AND c_acctbal > 0 AS ok FROM customer""")

@@ -77,9 +77,12 @@ def flattened(rows: DataFrame) -> DataFrame:
 
 
 def catalog_entries(catalog: DataFrame, grade: int) -> DataFrame:
-    """Entries (raw JSON each) whose grade is that integer; other fields stay in the raw text."""
-    kept = catalog.where(F.get_json_object("raw", "$.grade").rlike(r"\A-?[0-9]+\z") & F.col("raw").rlike(r'"grade"\s*:\s*-?[0-9]'))
-    return kept.where(F.expr(f"try_cast(get_json_object(raw, '$.grade') AS int) = {int(grade)}"))
+    """Entries (raw JSON each) whose own ``grade`` is that integer as a number; other fields stay in the raw text.
+
+    A text, a fraction or a grade of something nested is none, nor is JSON that cannot be read.
+    """
+    value = F.try_variant_get(F.try_parse_json("raw"), "$.grade", "variant")
+    return catalog.where((F.schema_of_variant(value) == "BIGINT") & (F.try_variant_get(value, "$", "bigint") == int(grade)))
 
 
 def stored_value(text: Column, schema: str, default: Column, required: tuple[str, ...] = ()) -> Column:

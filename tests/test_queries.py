@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from coursefold.plans import queries as core
+from coursefold.plans import stream_queries  # noqa: F401  it registers its own
 
 SF = "/root/testdata/sf0.001"
 
