@@ -3,11 +3,13 @@
 A vector is a sum of one full-dimensional codeword from each codebook, chosen by beam search. The
 index holds each vector's codes and its sum's squared norm. A query makes one table of inner products
 with all codewords and scores all rows by adding up table entries and the stored norm. The best of all rows, one
-shortlist for each query, are then joined with their vectors and ranked by exact distance.
+shortlist for each query, are then joined with their vectors and ranked by exact distance. Shortlists of tasks are
+merged a few at a time, and the more rows there are, the longer they are.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 INDEX = "vec_id long, codes binary, norm float"
-SHORT = "query_id long, vec_id long, near float"
+SHORT = "task long, query_id long, vec_id long, near float"
 
 
 def kmeans(x, k: int, rounds: int, rng):
@@ -59,7 +61,7 @@ def decode(codes, books):
     return sum(book[codes[:, m]] for m, book in enumerate(books))
 
 
-def train(sample, codebooks: int = 16, words: int = 256, rounds: int = 8, refits: int = 2, seed: int = 7):
+def train(sample, codebooks: int = 24, words: int = 256, rounds: int = 8, refits: int = 2, seed: int = 7):
     """Codebooks fitted to residuals in turn, then all together by least squares on the codes."""
     import numpy as np
 
@@ -105,9 +107,26 @@ class Index:
     codes: DataFrame
     vectors: DataFrame
     books: Broadcast
+    rows: int
 
 
-def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int = 16, words: int = 256, beam: int = 8) -> Index:
+def sampled(x: DataFrame, rows: int, of: int):
+    """At most ``rows`` vectors of ``x``, those of the least hash of vec_id, as a matrix of single floats.
+
+    Tasks only send rows under a share of all hashes that leaves few more than are wanted: no task sorts or gets more.
+    """
+    import numpy as np
+
+    # five deviations above the mean: fewer than wanted are left once in millions of tables, and then they do as well
+    most = (1 << 63) - 1
+    cut = min(most, most * (rows + 5 * math.isqrt(rows) + 50) // max(of, 1))
+    h = F.shiftrightunsigned(F.xxhash64("vec_id"), 1)
+    some = x.select(h.alias("h"), "vec_id", "embedding").where(F.col("h") <= F.lit(cut)).toArrow()
+    order = np.lexsort((some.column("vec_id").to_numpy(), some.column("h").to_numpy()))[:rows]
+    return _matrix(some.column("embedding"))[order].astype(np.float32)
+
+
+def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int = 24, words: int = 256, beam: int = 8) -> Index:
     """The index of all usable rows; codebooks are fitted to the ``sample_rows`` least by a hash of vec_id.
 
     An empty table makes an empty index; columns other than vec_id and embedding are ignored. Equal vectors get equal codes.
@@ -115,9 +134,8 @@ def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int =
     import numpy as np
 
     x = materialize(usable(vectors))
-    rows = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()
-    sample = _matrix(rows.column(0)).astype(np.float32)
-    del rows
+    size = x.count()
+    sample = sampled(x, sample_rows, size)
     books = train(sample, codebooks, min(words, 256)) if len(sample) else []
     shared = x.sparkSession.sparkContext.broadcast(books)
 
@@ -134,7 +152,7 @@ def build_index(vectors: DataFrame, sample_rows: int = 16_384, codebooks: int =
             norm = (decode(codes, books) ** 2).sum(1).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "codes", "norm"])
 
-    return Index(materialize(x.mapInArrow(run, INDEX)), x, shared)
+    return Index(materialize(x.mapInArrow(run, INDEX)), x, shared, size)
 
 
 def _matrix(column):
@@ -179,16 +197,39 @@ class Shortlists:
                 self.near[i], self.rows[i] = near_i[first], rows_i[first]
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 512, query_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
+def shortlist_rows(rows: int) -> int:
+    """Rows of a shortlist: twice the root of all rows, and 256 at least. README has the recall that it was chosen by."""
+    return max(256, math.ceil(2 * math.sqrt(rows)))
+
+
+def merged(short: DataFrame, tasks: int, most: int, at_once: int = 16) -> DataFrame:
+    """(query_id, vec_id) of each query's ``most`` best rows of all ``tasks``' shortlists.
+
+    Those of ``at_once`` tasks are merged at a time, level by level, so that no task holds more of a query than so many shortlists.
+    """
+    while True:
+        tasks = -(-tasks // at_once)
+        short = short.withColumn("task", F.floor(F.col("task") / at_once))
+        best = Window.partitionBy("query_id", "task").orderBy("near", "vec_id")
+        short = short.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).drop("n")
+        if tasks <= 1:
+            return short.select("query_id", "vec_id")
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int | None = None, query_rows: int = 8192, block_rows: int = 4096, task_rows: int = 1 << 22) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows of the index but its own vec_id.
 
-    Queries (vec_id, embedding) are sent to the codes in blocks of ``query_rows``, one after the other. Each task returns
-    one shortlist a query, of which the best ``shortlist`` of all tasks are measured exactly. Ties go to smaller ids,
-    in the shortlist as in the result. No queries or an empty index: no rows.
+    Queries (vec_id, embedding) are sent to the codes in blocks of ``query_rows``, one after the other. A task scores up to ``task_rows`` codes, or as
+    many more as its input has, and returns one shortlist a query; the best ``shortlist`` (see ``shortlist_rows``) of all tasks are measured exactly.
+    Ties go to smaller ids, in the shortlist as in the result. No queries or an empty index: no rows.
     """
     spark = index.codes.sparkSession
+    shortlist = shortlist or shortlist_rows(index.rows)
     asked = materialize(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
     blocks, books, parts = max(1, -(-asked.count() // query_rows)), index.books, []
+    # few large tasks send few shortlists, but all cores should have one
+    tasks = max(spark.sparkContext.defaultParallelism, -(-index.rows // task_rows))
+    codes = index.codes.coalesce(tasks)
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _matrix(rows.column(1)).astype("f4")))
@@ -196,6 +237,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 512,
         def run(batches, shared=shared):
             import numpy as np
             import pyarrow as pa
+            from pyspark import TaskContext
 
             ids, asked = shared.value
             best = Shortlists(ids, asked, books.value, shortlist)
@@ -205,11 +247,10 @@ def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 512,
                     codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                     best.add(np.asarray(part.column(0)), codes, np.asarray(part.column(2)))
             real = np.isfinite(best.near)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(best.rows[real]), pa.array(best.near[real])], names=["query_id", "vec_id", "near"])
+            size, task = int(real.sum()), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, task)), pa.array(np.repeat(ids, real.sum(1))), pa.array(best.rows[real]), pa.array(best.near[real])], names=["task", "query_id", "vec_id", "near"])
 
-        first = Window.partitionBy("query_id").orderBy("near", "vec_id")
-        short = index.codes.mapInArrow(run, SHORT).withColumn("n", F.row_number().over(first)).where(F.col("n") <= shortlist)
-        parts.append(materialize(short.select("query_id", "vec_id")))
+        parts.append(materialize(merged(codes.mapInArrow(run, SHORT), tasks, shortlist)))
         shared.destroy()  # one block at a time takes memory
     short = reduce(DataFrame.unionByName, parts)
     both = short.join(index.vectors.hint("merge"), "vec_id").join(asked.hint("merge"), "query_id")
@@ -224,7 +265,7 @@ def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, index.vectors.where("vec_id % 100 = 0"))
 
 
-#: Exact search: on tables of up to 512 other vectors the shortlist holds all of them, and larger ones show the recall.
+#: Exact search: on tables of up to 256 other vectors the shortlist holds all of them, and larger ones show the recall.
 OP4_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL),
 u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),

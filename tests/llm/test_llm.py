@@ -538,3 +538,42 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == {d for d, _ in kept}
     bench = decontamination.judged(decontamination.find_benchmark(out, spark.read.parquet(f"{SF}/benchmark.parquet")))
     assert bench.where("contaminated").count() == 0 and out.where(F.col("text").isNull()).count() == 0
+
+
+def test_shortlists_merge_in_levels(spark):
+    rng = random.Random(8)
+    rows = [(t, q, t * 100 + i, rng.choice([0.5, 1.5, rng.random()])) for t in range(37) for q in range(3) for i in range(8)]
+    short = spark.createDataFrame(rows, "task long, query_id long, vec_id long, near float")
+    for at_once in (2, 5, 64):
+        got = ann.merged(short, 37, 6, at_once).collect()
+        for q in range(3):
+            best = sorted((np.float32(n), v) for _, a, v, n in rows if a == q)[:6]
+            assert sorted(r.vec_id for r in got if r.query_id == q) == sorted(v for _, v in best)
+    best = ann.Shortlists(np.array([7]), np.ones((1, 2), np.float32), [np.zeros((1, 2), np.float32)], 3)
+    for ids in ([9, 8, 7], [3, 5], [4]):  # equal estimates from several batches: the least ids stay, the query's own row goes
+        best.add(np.array(ids), np.zeros((len(ids), 1), np.uint8), np.ones(len(ids), np.float32))
+    assert best.rows[0].tolist() == [3, 4, 5]
+
+
+def test_samples(spark):
+    x = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    hashed = x.select("vec_id", F.shiftrightunsigned(F.xxhash64("vec_id"), 1).alias("h")).orderBy("h", "vec_id").limit(300).collect()
+    assert ann.sampled(x, 300, 5000)[:, 0].tolist() == [r.vec_id for r in hashed]
+    assert len(ann.sampled(x, 10_000, 5000)) == 5000 and len(ann.sampled(x.limit(0), 10, 0)) == 0
+    assert ann.shortlist_rows(0) == ann.shortlist_rows(16_384) == 256 and ann.shortlist_rows(10**6) == 2000
+
+
+def test_recall_beyond_the_sample(spark):
+    """Codebooks fitted to half of the vectors find the neighbours of queries among all of them."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = ann.build_index(table, sample_rows=1000)
+    asked = index.vectors.where("vec_id % 100 = 0")
+    got = {(r.query_id, r.vec_id) for r in ann.search(index, asked, shortlist=100).collect()}  # a twentieth of all rows
+    rows = {r.vec_id: r.embedding for r in index.vectors.collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids])
+    want = set()
+    for q in ids[ids % 100 == 0].tolist():
+        d = ((x - np.array(rows[q])) ** 2).sum(1)
+        want |= {(q, int(v)) for v in [v for v in ids[np.lexsort((ids, d))] if v != q][:10]}
+    assert len(got & want) >= 0.9 * len(want)
