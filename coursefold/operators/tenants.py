@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.written import materialize
+from .graph import components
 
 #: Fixed value: active children that a family may hold.
 MOST_CHILDREN = 6
@@ -103,26 +104,57 @@ def erase(gone: DataFrame, tenant: str, user: str, members: DataFrame, profiles:
     return left | {"profiles": profiles.join(ended.select(user), user, "left_anti")}
 
 
-def register(requests: DataFrame, uid: str = "uid", family: str = "family_id", seq: str = "seq") -> DataFrame:
+def register(requests: DataFrame, uid: str = "uid", family: str = "family_id", seq: str = "seq", rounds: int = 2) -> DataFrame:
     """``requests`` with ``result``: registered, already-registered or family-id-taken, as if they came one by one.
 
     A user and a family id each register once; a refused request takes neither, so its user can try again under
-    another id. In each round the requests that are first both for their user and their family among those undecided win
-    and rule out the others of both; a request is decided after as many rounds as refusals hang on each other.
+    another id. First come ``rounds`` in which the requests that are first both for their user and their family among those undecided win
+    and rule out the others of both. What refusals that hang on each other leave undecided is split into the connected components of its users
+    and families, which have nothing to do with each other, and each component's requests pass one by one, in order, through one task that
+    keeps the users and families that have won in it. So the number of jobs does not follow the length of a chain but its logarithm.
     """
     left = materialize(requests.select(uid, family, seq))
-    won = None
-    while not left.isEmpty():
-        first = left.groupBy(uid).agg(F.min(seq).alias(seq)).join(left.groupBy(family).agg(F.min(seq).alias(seq)), seq)
+    won = left.limit(0)
+    for _ in range(rounds):
+        first = left.groupBy(uid).agg(F.min(seq).alias(seq)).join(left.groupBy(family).agg(F.min(seq).alias(seq)), seq).select(uid, family, seq)
         first = materialize(first)
-        won = first if won is None else won.unionByName(first)
+        won = won.unionByName(first)
         left = materialize(left.join(first.select(uid), uid, "left_anti").join(first.select(family), family, "left_anti"))
-    won = materialize(won) if won is not None else left
+    if not left.isEmpty():
+        won = won.unionByName(materialize(_one_by_one(left, uid, family, seq)))
+    won = materialize(won)
     rows = requests.join(won.select(uid, F.col(seq).alias("_u")), uid, "left").join(won.select(family, F.col(seq).alias("_f")), family, "left")
     result = F.when(F.col("_u") == F.col(seq), "registered").when(F.col("_u") < F.col(seq), "already-registered").otherwise("family-id-taken")
     return rows.select(*requests.columns, result.alias("result"))
 
 
+def _one_by_one(left: DataFrame, uid: str, family: str, seq: str) -> DataFrame:
+    """The requests of ``left`` that win, decided in order within each component of users and families."""
+    # users and families are nodes of two kinds
+    node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))
+    ends = left.select(node(0, uid).alias("a"), node(1, family).alias("b"))
+    of = components(ends).select(F.col("node.id").alias("_user"), F.col("component").alias("_component")).where("node.kind = 0")
+    parted = left.withColumn("_user", F.col(uid).cast("string")).join(of, "_user").withColumn("_c", F.xxhash64("_component"))
+    parted = parted.select(uid, family, seq, "_c").repartition("_c").sortWithinPartitions("_c", seq)
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, users, families = None, set(), set()
+        for b in batches:
+            keep = []
+            for u, f, _, c in zip(*(x.to_pylist() for x in b.columns)):
+                if c != now:
+                    now, users, families = c, set(), set()
+                if ok := u not in users and f not in families:
+                    users.add(u)
+                    families.add(f)
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return parted.mapInArrow(run, parted.schema).drop("_c")
+
+
 def registered_rows(registered: DataFrame, children: str, family: str = "family_id") -> DataFrame:
     """One active child row for each entry of the ``children`` list of a won request, numbered by its place from 0."""
     won = registered.where("result = 'registered'")
