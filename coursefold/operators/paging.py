@@ -5,7 +5,10 @@ from __future__ import annotations
 import base64
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.tokens import url64
 
 
 class InvalidPage(ValueError):
@@ -31,6 +34,20 @@ def decode(cursor: str | None, count: int) -> int:
     return int(text)
 
 
+def encoded(offset: Column) -> Column:
+    """``encode`` of a column."""
+    return url64(offset.cast("string").cast("binary"))
+
+
+def decoded(cursor: Column, count: Column) -> Column:
+    """``decode`` of a column: the offset, 0 for no cursor, and null for one that is refused."""
+    shaped = (F.length(cursor) <= 16) & cursor.rlike(r"\A[A-Za-z0-9_-]+\z")
+    padded = F.rpad(F.translate(cursor, "-_", "+/"), (F.ceil(F.length(cursor) / 4) * 4).cast("int"), F.lit("="))
+    text = F.when(shaped, F.try_to_binary(padded, F.lit("base64"))).cast("string")
+    offset = F.when(text.rlike(r"\A[0-9]+\z"), text).try_cast("long")
+    return F.when(F.coalesce(cursor, F.lit("")) == "", F.lit(0).cast("long")).when((offset >= 1) & (offset < count), offset)
+
+
 def page(rows: DataFrame, order: list[str], limit: int = 50, cursor: str | None = None) -> tuple[DataFrame, str | None]:
     """A page in a total order, and the next cursor if more rows follow."""
     if not 1 <= limit <= 100:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, text, tokens
-from ..operators import fold, listing, records, tenants, timeline
+from ..operators import fold, listing, paging, records, tenants, timeline
 from ..sources.files import prefix_scan
-from . import file_queries, store_queries, tenant_queries  # noqa: F401  they register theirs
+from . import file_queries, source_queries, store_queries, tenant_queries  # noqa: F401  they register theirs
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .registry import table as _t
 
@@ -90,8 +90,9 @@ def chapters_search(spark, sf):
 
 @query(f"SELECT * FROM ({_PARTS}) WHERE contains(lower(p_name), 'wid') ORDER BY p_type, number LIMIT 50 OFFSET 50")
 def chapters_search_page(spark, sf):
-    # the second page of 50; operators.paging.page checks a cursor against the count first
-    return _found(spark, sf).orderBy("p_type", "number").offset(50).limit(50)
+    rows = _found(spark, sf)
+    first, cursor = paging.page(rows, ["p_type", "number"], 50)
+    return paging.page(rows, ["p_type", "number"], 50, cursor)[0] if cursor else first.limit(0)
 
 
 @query("SELECT l_orderkey AS subject_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_partkey AS chapter_id FROM lineitem")

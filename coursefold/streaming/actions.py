@@ -53,6 +53,32 @@ def handle_once(done_path: str, key: list[str], handler: Callable[[DataFrame], N
     return run
 
 
+def outbox(send: Callable[[list[dict]], list[bool]], sent_path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that sends recorded actions and then marks those as sent that were.
+
+    ``send`` gets some actions as dicts, on executors, and says of each whether it went; one that did not, or an error of ``send``, is swallowed: the action
+    stays recorded and not sent, and the start-up pass finds it. Marks are written by batch, so a batch that is run again, after a crash
+    between sending and marking, sends again under the same ids and overwrites its marks.
+    """
+
+    def sending(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = b.to_pylist()
+            try:
+                went = list(send(rows))
+            except Exception:  # the broker is away: none of these went
+                went = [False] * len(rows)
+            yield b.filter(pa.array(went, pa.bool_())).select(key)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        went = batch.mapInArrow(sending, batch.select(*key).schema)
+        went.withColumn("sent_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{sent_path}/batch={batch_id}")
+
+    return run
+
+
 def dispatch(handlers: dict[str, Callable[[DataFrame], None]], parked: Callable[[DataFrame], None], readable: Column, limit: int) -> Callable[[DataFrame], None]:
     """A handler that gives each action type's deliveries to its own; over the limit, unreadable and unbound ones apart.
 
