@@ -199,8 +199,8 @@ class Shortlists:
 
 
 def shortlist_rows(rows: int) -> int:
-    """Rows of a shortlist: twice the root of all rows, and 256 at least. README has the recall that it was chosen by."""
-    return max(256, math.ceil(2 * math.sqrt(rows)))
+    """Rows of a shortlist: the root of all rows, and 256 at least. README has the recall that it was chosen by."""
+    return max(256, math.ceil(math.sqrt(rows)))
 
 
 def merged(short: DataFrame, tasks: int, most: int, at_once: int = 16) -> DataFrame:

@@ -560,7 +560,7 @@ def test_samples(spark):
     hashed = x.select("vec_id", F.shiftrightunsigned(F.xxhash64("vec_id"), 1).alias("h")).orderBy("h", "vec_id").limit(300).collect()
     assert ann.sampled(x, 300, 5000)[:, 0].tolist() == [r.vec_id for r in hashed]
     assert len(ann.sampled(x, 10_000, 5000)) == 5000 and len(ann.sampled(x.limit(0), 10, 0)) == 0
-    assert ann.shortlist_rows(0) == ann.shortlist_rows(16_384) == 256 and ann.shortlist_rows(10**6) == 2000
+    assert ann.shortlist_rows(0) == ann.shortlist_rows(16_384) == 256 and ann.shortlist_rows(10**6) == 1000
 
 
 def test_recall_beyond_the_sample(spark):
