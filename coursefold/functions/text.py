@@ -109,6 +109,22 @@ def class_available(board: Column, class_level: Column) -> Column:
     return class_level.between(1, 10) & ((board == "cbse") | (class_level <= 5))
 
 
+#: Fixed value: the id of no family.
+NO_ID = "00000000-0000-0000-0000-000000000000"
+
+
+def reject_reason(consent: Column, board_known: Column, family_id: Column, board: Column, classes: Column) -> Column:
+    """Why a registration is refused, the first that holds in this order; null if none does. ``classes``: a list, one for each child."""
+    no_id = F.coalesce(family_id == NO_ID, F.lit(True))
+    no_class = F.exists(classes, lambda level: ~F.coalesce(class_available(board, level), F.lit(False)))
+    return F.when(~F.coalesce(consent, F.lit(False)), "consent").when(~F.coalesce(board_known, F.lit(False)), "board").when(no_id, "family-id").when(no_class, "class")
+
+
+def registered_texts(region: Column, notice: Column) -> tuple[Column, Column]:
+    """Region and notice version as a registration keeps them: without white space around."""
+    return trimmed(region), trimmed(notice)
+
+
 def backoff_seconds(failures: Column) -> Column:
     return F.when(failures < 1, 0.0).otherwise(F.least(5 * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(16))), F.lit(300.0)))
 

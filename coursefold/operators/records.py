@@ -16,8 +16,17 @@ def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.min_by(F.struct(*every), order).alias("r")).select(*key, "r.*")
 
 
-def insert_new(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.join(table, key, "left_anti")
+def insert_new(table: DataFrame, rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """Rows whose key is not there; with ``order`` only the first of those that bring the same key, as if they came one by one."""
+    new = rows.join(table.select(key), key, "left_anti")
+    return new if order is None else first_wins(new, key, order).select(rows.columns)
+
+
+def insert_together(table: DataFrame, rows: DataFrame, key: list[str], batch: str) -> DataFrame:
+    """Rows of batches, each of which is inserted as a whole or, if a key of it is there or comes in two of its rows, not at all."""
+    there = rows.join(table.select(key), key, "left_semi").select(batch)
+    twice = rows.groupBy(batch, *key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(batch)
+    return rows.join(there.unionByName(twice).distinct(), batch, "left_anti").select(rows.columns)
 
 
 def without(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:

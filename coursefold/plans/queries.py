@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, text, tokens
 from ..operators import fold, listing, paging, records, tenants, timeline
 from ..sources.files import prefix_scan
-from . import file_queries, source_queries, store_queries, tenant_queries  # noqa: F401  they register theirs
+from . import file_queries, rule_queries, source_queries, store_queries, tenant_queries  # noqa: F401  they register theirs
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .registry import table as _t
 
@@ -437,12 +437,17 @@ def wire_names(spark, sf):
     return _t(spark, sf, "part").groupBy("p_type", keys.kebab(camel).alias("wire")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'consent' WHEN NOT regexp_full_match(c_mktsegment, '[A-Z]+') THEN 'board'
-  WHEN NOT (c_custkey % 12 BETWEEN 1 AND 10 AND (c_nationkey % 2 = 0 OR c_custkey % 12 <= 5)) THEN 'class' END AS reason FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'consent' WHEN c_mktsegment = 'BUILDING' THEN 'board' WHEN c_custkey % 11 = 0 THEN 'family-id'
+  WHEN NOT (c_custkey % 12 BETWEEN 1 AND 10 AND (c_nationkey % 2 = 0 OR c_custkey % 12 <= 5)) OR (c_nationkey % 2 = 1 AND c_custkey % 7 > 5) THEN 'class' END AS reason,
+  c_mktsegment AS region, 'v' || c_custkey % 3 AS notice FROM customer""")
 def validation_reasons(spark, sf):
+    """Two children a registration; of one segment the board is not known, and some ids are of no family. Texts come with white space around."""
+    k = F.col("c_custkey")
     board = F.when(F.col("c_nationkey") % 2 == 0, "cbse").otherwise("ssc")
-    reason = F.when(F.col("c_acctbal") < 0, "consent").when(~F.col("c_mktsegment").rlike(r"\A[A-Z]+\z"), "board").when(~text.class_available(board, F.col("c_custkey") % 12), "class")
-    return _t(spark, sf, "customer").select("c_custkey", reason.alias("reason"))
+    family = F.when(k % 11 == 0, text.NO_ID).otherwise(F.regexp_replace(F.md5("c_name"), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"))
+    reason = text.reject_reason(F.col("c_acctbal") >= 0, F.col("c_mktsegment") != "BUILDING", family, board, F.array((k % 12).cast("int"), (k % 7).cast("int") % 10 + F.when(k % 7 == 0, 1).otherwise(0)))
+    region, notice = text.registered_texts(F.concat(F.lit("\u00a0 "), "c_mktsegment", F.lit("\t")), F.concat(F.lit("v"), k % 3, F.lit("\u3000")))
+    return _t(spark, sf, "customer").select("c_custkey", reason.alias("reason"), region.alias("region"), notice.alias("notice"))
 
 
 @query("""WITH g AS (SELECT l_orderkey, list(p_name ORDER BY l_linenumber, l_partkey, l_suppkey) AS x FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)

@@ -2,7 +2,8 @@
 
 ``coursefold_files`` is a sink: each task writes the files of its rows (name, content) below a folder, or removes those it is given names of. A task
 that fails removes what it has written. Once all tasks have ended, the sink's commit writes the marker, if it was given one; if any has
-failed, its abort removes what the others wrote, and there is none.
+failed, its abort removes what the others had written by then, and there is none. A task that was still running may leave files: they
+count for nothing without a marker, and ``copy_folder`` removes what its source has not before it writes one.
 """
 
 from __future__ import annotations
@@ -47,9 +48,13 @@ def put(system, path: str, content: bytes) -> None:
     """A file is written under another name first, so a reader never sees half of one."""
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
-    with system.open_output_stream(part) as out:
-        out.write(content)
-    system.move(part, path)
+    try:
+        with system.open_output_stream(part) as out:
+            out.write(content)
+        system.move(part, path)
+    except BaseException:
+        _remove(system, [part])
+        raise
 
 
 def _remove(system, paths) -> None:
@@ -63,7 +68,7 @@ def _remove(system, paths) -> None:
 class FileWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.target, self.sweep = options["target"].rstrip("/"), options.get("sweep") == "true"
-        self.marker, self.text = options.get("marker"), options.get("markertext", "")
+        self.marker, self.text, self.job = options.get("marker"), options.get("markertext", ""), options["job"]
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         system, root = _folder(self.target)
@@ -75,26 +80,34 @@ class FileWriter(DataSourceWriter):
                 else:
                     put(system, f"{root}/{row.name}", bytes(row.content))
                     done.append(row.name)
-            listed = f"{root}/{SENT}/{uuid.uuid4().hex}"
+            listed = f"{root}/{SENT}/{self.job}/{uuid.uuid4().hex}"
             put(system, listed, "\n".join(done).encode())
         except BaseException:
             _remove(system, [f"{root}/{name}" for name in done])
             raise
         return Sent(listed)
 
-    def commit(self, messages: list) -> None:
+    def _lists(self) -> tuple:
+        from pyarrow import fs
+
         system, root = _folder(self.target)
-        _remove(system, [m.listed for m in messages if m])
+        folder = f"{root}/{SENT}/{self.job}"
+        return system, root, folder, [f.path for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if not f.base_name.startswith(".")]
+
+    def commit(self, messages: list) -> None:
+        system, root, folder, lists = self._lists()
+        if lists:
+            system.delete_dir(folder)
         if self.marker:
             put(system, f"{root}/{self.marker}", self.text.encode())
 
     def abort(self, messages: list) -> None:
-        system, root = _folder(self.target)
-        for m in messages:
-            if m:
-                with system.open_input_stream(m.listed) as f:
-                    _remove(system, [f"{root}/{name}" for name in f.read().decode().splitlines()])
-                _remove(system, [m.listed])
+        system, root, folder, lists = self._lists()
+        for path in lists:
+            with system.open_input_stream(path) as f:
+                _remove(system, [f"{root}/{name}" for name in f.read().decode().splitlines()])
+        if lists:
+            system.delete_dir(folder)
 
 
 class FileSink(DataSource):
@@ -121,7 +134,7 @@ def remove_files(rows: DataFrame, target: str, marker: str | None = None, text:
 
 def _sink(rows: DataFrame, target: str, marker: str | None, text: str, sweep: bool = False) -> None:
     rows.sparkSession.dataSource.register(FileSink)
-    options = {"target": target, "sweep": str(sweep).lower()} | ({"marker": marker, "markertext": text} if marker else {})
+    options = {"target": target, "sweep": str(sweep).lower(), "job": uuid.uuid4().hex} | ({"marker": marker, "markertext": text} if marker else {})
     rows.write.format(SINK).options(**options).mode("append").save()
 
 

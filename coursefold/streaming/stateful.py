@@ -109,7 +109,8 @@ class Once(StatefulProcessor):
 def once(deliveries: DataFrame, key: list[str], keep_ms: int | None = None) -> DataFrame:
     """A stream of each key's first delivery: subscriber and action. Marks go after ``keep_ms``, longer than a delivery can come again.
 
-    The mark is committed with the batch that hands the delivery on, so a batch that fails hands it on again.
+    The mark is committed with the batch that hands the delivery on, so a batch that fails hands it on again. With ``keep_ms`` the clock makes batches
+    of its own: such a stream runs on a trigger by time until it is stopped, and never ends as one over what is available now.
     """
     return _run(deliveries, key, Once(keep_ms), deliveries.schema, "Append", "ProcessingTime" if keep_ms else "None")
 
@@ -154,7 +155,8 @@ def delayed(failed: DataFrame, key: list[str], delay_ms: int, at: str | None = N
     """A stream of failed deliveries that have waited ``delay_ms``, with ``cycles`` one higher: they go back to their own ``queue``.
 
     ``failed`` has the ``key`` (queue and action), ``cycles`` and what else a delivery holds. Waiting ones are in the store with a timer each.
-    The wait starts when a row arrives or, with ``at``, at that time of the row, and then ends when the watermark passes its end.
+    The wait starts when a row arrives or, with ``at``, at that time of the row, and then ends when the watermark passes its end. Without ``at``
+    the clock makes batches of its own: run it on a trigger by time.
     """
     kinds = [(f.name, f.dataType.simpleString()) for f in failed.schema.fields]
     schema = ", ".join(f"{c} {t}" for c, t in kinds)
