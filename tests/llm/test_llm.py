@@ -577,3 +577,22 @@ def test_recall_beyond_the_sample(spark):
         d = ((x - np.array(rows[q])) ** 2).sum(1)
         want |= {(q, int(v)) for v in [v for v in ids[np.lexsort((ids, d))] if v != q][:10]}
     assert len(got & want) >= 0.9 * len(want)
+
+
+FOREIGN = [
+    "Tämä on suomenkielinen teksti, jota mikään malleista ei ole nähnyt, ja siksi se hylätään kokonaan. " * 3,
+    "これは日本語の文章であり、どの言語モデルも学習していないため、拒否されるはずです。" * 4,
+    "Это русский текст, которого ни одна из моделей не видела, и поэтому он отвергается. " * 3,
+    "xq zvkw jjqp wxzk qqvj zzkx kwvq jxqz " * 8,
+    "q" * 300,
+]
+
+
+def test_foreign_texts_are_rejected(spark):
+    """Texts of no known language are rejected, and those of known ones are not, though the models have not seen them."""
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(10**7 + i, t, None) for i, t in enumerate(FOREIGN)], known.schema)
+    found = language.identify(known.unionByName(foreign), "doc_id").select("row.doc_id", "rejected").collect()
+    assert {r.doc_id for r in found if r.rejected} >= {10**7 + i for i in range(len(FOREIGN))}
+    ours = [r for r in found if r.doc_id < 10**7]
+    assert len(ours) == 1000 and sum(r.rejected for r in ours) <= 5
