@@ -53,10 +53,12 @@ def _callers(spark, sf):
     return _t(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("caller"), F.col("c_nationkey").alias("tenant"))
 
 
-@query("SELECT c_custkey AS caller, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_mktsegment <> 'MACHINERY'")
+@query("SELECT o_custkey AS caller, l_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority <> '5-LOW'")
 def scoped_rows(spark, sf):
-    suppliers = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("tenant"), "s_suppkey")
-    return tenants.scoped(suppliers, _callers(spark, sf), "caller", "tenant").select("caller", "s_suppkey")
+    """Items of the orders that are a caller's; some orders are nobody's."""
+    callers = _t(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_custkey").alias("caller"), F.col("o_orderkey").alias("tenant"))
+    items = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tenant"), "l_orderkey", "l_linenumber", "l_partkey")
+    return tenants.scoped(items, callers, "caller", "tenant").select("caller", "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""SELECT o_orderkey, o_custkey AS caller, o_orderkey % 120 AS s_suppkey, c_custkey IS NOT NULL AND s.s_suppkey IS NOT NULL AS found,
