@@ -39,7 +39,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id, or without any if none has one."""
+    """One document of each group of near duplicates: the one with the least doc_id, or without any if none has one.
+
+    Texts without words, null and empty ones, are one group. Of repeated rows one stays; further columns keep their values.
+    """
     return one_of_each(docs)
 
 
@@ -53,7 +56,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, as operator 1 returns them.
+
+    Null and empty texts are one token, repeated rows are packed once each; columns besides doc_id and text are ignored.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
