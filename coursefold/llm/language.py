@@ -216,7 +216,8 @@ def fit(docs: DataFrame, sample_rows: int = 500) -> KneserNey | None:
     """Models from at most ``sample_rows`` labelled documents of each language, whole texts each.
 
     Documents whose crc32(doc_id) mod 4 is 2 are never learned from, and those where it is 3 are left
-    for calibration. None if no language is left.
+    for calibration. None if no language is left. The models are held by the driver and each worker, so languages are to be
+    few (hundreds): what they take grows with their number, not with the documents.
     """
     rows = _sample(docs, (0, 1), sample_rows).select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_counted), "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = {}
