@@ -193,7 +193,9 @@ def test_small_text_rules(spark):
     ts = lambda t: F.lit(t).cast("timestamp")
     assert one(spark, text.seconds_left(ts("2024-01-01 00:00:01.2"), ts("2024-01-01")), text.seconds_left(ts("2024-01-01"), ts("2024-01-02"))) == (2, 0)
     assert [one(spark, text.day_part(ts(f"2024-03-05 {h}:59:59"))) for h in (11, 16, 17)] == ["morning", "afternoon", "evening"]
-    assert one(spark, text.first_word(F.lit("  Ada  B")), text.initial(F.lit(" ada")), text.short_date(ts("2024-03-05"))) == ("Ada", "A", "5 Mar")
+    assert one(spark, text.first_word(F.lit("  Ada  B")), text.initial(F.lit("ada")), text.short_date(ts("2024-03-05"))) == ("Ada", "A", "5 Mar")
+    assert one(spark, text.initial(F.lit(" ada")), text.first_word(F.lit("\u00a0Ada\u00a0B")), text.first_word(F.lit("\ufeff "))) == (" ", "Ada", "")
+    assert ok(text.valid_region, "\u00a0", "\U0001f600" * 31, "\U0001f600" * 30, "\u00a0x") == [False, False, True, True]
     assert one(spark, text.listed_or(F.lit("x"), ["a"], "book"), text.looked_up(F.lit("zz"), text.REASONS, "other"), text.looked_up(F.lit("zz"), {"settings": "appearance"})) == ("book", "other", None)
     assert one(spark, keys.check_key(F.lit("a-b"), F.lit(3), F.lit("ch"), F.lit(1), F.lit(12)), keys.path("x", F.lit(3), folder=True)) == ("c_ab_03_ch_001_012", "x/3/")
     with pytest.raises(PySparkException):
