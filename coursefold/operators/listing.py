@@ -51,6 +51,18 @@ def place_of(nested: DataFrame, group: str, items: str) -> DataFrame:
     return nested.select(group, F.posexplode(items).alias("pos", "item")).select(group, (F.col("pos") + 1).cast("long").alias("place"), "item")
 
 
+def check_scores(checks: DataFrame, answers: DataFrame, key: str, wrong: Column) -> DataFrame:
+    """(key, right_count, of_count): how many of a check's answers are right, and how many there are; a check without any has 0 of 0."""
+    counts = answers.groupBy(key).agg(F.count_if(~wrong).alias("right_count"), F.count(F.lit(1)).alias("of_count"))
+    none = F.lit(0).cast("long")
+    return checks.select(key).join(counts, key, "left").select(key, F.coalesce("right_count", none).alias("right_count"), F.coalesce("of_count", none).alias("of_count"))
+
+
+def value_line(rows: DataFrame, group: str, value: str, between: str = " | ") -> DataFrame:
+    """Each group's distinct values, of which there are few, sorted, as one line."""
+    return rows.groupBy(group).agg(F.array_join(F.sort_array(F.collect_set(value)), between).alias("line"))
+
+
 def first_place(places: DataFrame, item: Column, *order: str) -> DataFrame:
     """One place for each item: that in the first group in document order, if several hold it."""
     return places.withColumn("_item", item).groupBy("_item").agg(F.min(F.struct(*order, *[c for c in places.columns if c not in (*order, "item")])).alias("_p")).select(F.col("_item").alias("item"), "_p.*")

@@ -29,6 +29,11 @@ def insert_together(table: DataFrame, rows: DataFrame, key: list[str], batch: st
     return rows.join(there.unionByName(twice).distinct(), batch, "left_anti").select(rows.columns)
 
 
+def held(table: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is in ``wanted``, each once however often it is there: what is built of what is listed."""
+    return table.join(wanted.select(key), key, "left_semi")
+
+
 def without(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     """Delete, cleanup and cascade: what is not in ``gone``; a key that is missing is fine."""
     return table.join(gone.select(key).distinct(), key, "left_anti")

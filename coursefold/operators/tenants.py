@@ -77,6 +77,18 @@ def refused_edits(current: DataFrame, edits: DataFrame, key: list[str]) -> DataF
     return joined.select(*key, reason.alias("reason")).where("reason is not null")
 
 
+def chain(rows: DataFrame, *owners: tuple[DataFrame, str, str]) -> DataFrame:
+    """``rows`` with the columns of what owns them, of what owns that, and so on: each step is (owners, the column that names one, their key)."""
+    for owner, names, key in owners:
+        rows = rows.join(owner, F.col(names) == F.col(key))
+    return rows
+
+
+def within(rows: DataFrame, owners: DataFrame, names: str, key: str) -> DataFrame:
+    """The rows whose owner is one of ``owners``."""
+    return rows.join(owners.select(F.col(key).alias(names)), names, "left_semi")
+
+
 def scoped(table: DataFrame, callers: DataFrame, caller: str, tenant: str) -> DataFrame:
     """Every row of ``table`` that a caller may read, with the caller: ``callers`` (caller, tenant) says whose tenant is whose."""
     return table.join(callers.select(caller, tenant), tenant)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from ..operators import records, slices
+from ..operators import listing, records, slices
 from ..sources.files import row_counts
 from .registry import query
 from .registry import table as _t
@@ -105,7 +105,7 @@ def first_failing(spark, sf):
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ' | ' ORDER BY event_type) AS line FROM events GROUP BY user_id")
 def queue_lines(spark, sf):
-    return _t(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), " | ").alias("line"))  # of five types
+    return listing.value_line(_t(spark, sf, "events"), "user_id", "event_type")  # of five types
 
 
 @query("""SELECT 'order' AS kind, o_orderkey AS id, o_orderstatus AS state, NULL::BIGINT AS part FROM orders UNION ALL SELECT 'item', l_orderkey, NULL, l_partkey FROM lineitem UNION ALL SELECT 'customer', c_custkey, NULL, NULL FROM customer""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, tokens
 from ..operators import fold, listing, paging, records, tenants, timeline
+from ..sources import files
 from ..sources.files import prefix_scan
 from . import file_queries, rule_queries, source_queries, store_queries, tenant_queries  # noqa: F401  they register theirs
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -146,8 +147,8 @@ def history_nested(spark, sf):
 
 @query("SELECT o_orderkey, count(l_orderkey) FILTER (WHERE l_returnflag <> 'R') AS right_count, count(l_orderkey) AS of_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def check_scores(spark, sf):
-    joined = _t(spark, sf, "orders").select("o_orderkey").join(_t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag"), "o_orderkey", "left")
-    return joined.groupBy("o_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("right_count"), F.count("l_returnflag").alias("of_count"))
+    answers = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    return listing.check_scores(_t(spark, sf, "orders"), answers, "o_orderkey", F.col("l_returnflag") == "R")
 
 
 _CHAPTER = {"family_id": "user_id div 30", "child_id": "user_id % 3", "class_level": "1 + user_id % 2", "chapter_id": "user_id % 10"}
@@ -273,7 +274,7 @@ def update_rows(spark, sf):
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def unbuilt_semi(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", "lang").join(_t(spark, sf, "labels"), "doc_id", "left_semi")
+    return records.held(_t(spark, sf, "documents").select("doc_id", "lang"), _t(spark, sf, "labels"), ["doc_id"])
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -301,20 +302,20 @@ def prefix_names(spark, sf):
 
 @query(r"SELECT regexp_extract(url, '^[a-z]+://([^/]+)/([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://([^/]+)/([^/?#]*)', 2) AS folder, count(*) AS files FROM pages GROUP BY 1, 2")
 def path_counts(spark, sf):
-    part = lambda i: F.regexp_extract("url", "^[a-z]+://([^/]+)/([^/?#]*)", i)
-    return _t(spark, sf, "pages").groupBy(part(1).alias("host"), part(2).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+    return files.path_counts(_t(spark, sf, "pages"))
 
 
 @query("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def tenant_chain(spark, sf):
     r, n = _t(spark, sf, "region"), _t(spark, sf, "nation")
-    return _t(spark, sf, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("c_custkey", "c_name", "n_name", "r_name")
+    rows = tenants.chain(_t(spark, sf, "customer"), (n, "c_nationkey", "n_nationkey"), (r, "n_regionkey", "r_regionkey"))
+    return rows.select("c_custkey", "c_name", "n_name", "r_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def tenant_scope(spark, sf):
-    mine = _t(spark, sf, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))
-    return _t(spark, sf, "customer").join(mine, "c_nationkey", "left_semi").select("c_custkey", "c_name")
+    mine = _t(spark, sf, "nation").where("n_regionkey = 2")
+    return tenants.within(_t(spark, sf, "customer"), mine, "c_nationkey", "n_nationkey").select("c_custkey", "c_name")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING') GROUP BY l_orderkey")

@@ -44,6 +44,12 @@ def file_listing(spark: SparkSession, root: str, prefix: str = "", content: bool
     return files.select(name.alias("name"), "length", F.concat_ws("-", F.unix_micros("modificationTime"), "length").alias("etag"), *(["content"] if content else []))
 
 
+def path_counts(paths: DataFrame, url: str = "url") -> DataFrame:
+    """(host, folder, files) of addresses: how many files there are below each first folder of a host."""
+    part = lambda i: F.regexp_extract(url, "^[a-z]+://([^/]+)/([^/?#]*)", i)
+    return paths.groupBy(part(1).alias("host"), part(2).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def required(wanted: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
     """``wanted`` names with their ETags; one that is not there is an error that names it, when rows are read."""
     found = wanted.join(files.select(name, "etag"), name, "left")
