@@ -13,7 +13,7 @@ from .registry import table as _t
 
 @query(ORACLE_SQL["progress_fold"])
 def progress_stream(spark, sf):
-    rows = stateful.in_slices(progress_events(spark, sf), "seq", 3, stateful.fold_stream, "update")
+    rows = stateful.in_slices(progress_events(spark, sf), "seq", 2, stateful.fold_stream, "update")
     return stateful.newest(rows, fold.CHAPTER, F.col("batch")).drop("batch")
 
 
@@ -30,7 +30,7 @@ SELECT event_id, queue, cycles + 1 AS cycles FROM d WHERE died + 864000000 < (SE
 def delay_queue_stream(spark, sf):
     """Failing deliveries that wait ten days: those that have waited when the last failure comes are back in their own queue."""
     dead = _t(spark, sf, "events").where("event_type = 'error'").select("event_id", F.concat(F.lit("s"), F.col("event_id") % 3).alias("queue"), (F.col("event_id") % 5).alias("cycles"), F.col("ts").cast("timestamp").alias("died_at"))
-    rows = stateful.in_slices(dead, "event_id", 3, lambda s: stateful.delayed(s.withWatermark("died_at", "0 seconds"), ["queue", "event_id"], 864_000_000, "died_at"))
+    rows = stateful.in_slices(dead, "event_id", 2, lambda s: stateful.delayed(s.withWatermark("died_at", "0 seconds"), ["queue", "event_id"], 864_000_000, "died_at"))
     return rows.select("event_id", "queue", "cycles")
 
 
@@ -39,11 +39,11 @@ def screen_times_stream(spark, sf):
     """As ``screen_times``, for stretches that have ended; a marker of no user, a day later, lets the last ones pass."""
     m = screen_markers(spark, sf).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event")
     end = m.agg(F.lit(None).cast("long").alias("user_id"), (F.max("event_id") + 1).alias("event_id"), (F.max("ts") + F.expr("INTERVAL '1' DAY")).alias("ts"), F.lit("background").alias("event"))
-    rows = stateful.in_slices(m.unionByName(end), "event_id", 3, lambda s: stateful.screen_stream(s.withWatermark("ts", "1 hour"), "user_id", "event_id", "ts"))
+    rows = stateful.in_slices(m.unionByName(end), "event_id", 2, lambda s: stateful.screen_stream(s.withWatermark("ts", "1 hour"), "user_id", "event_id", "ts"))
     return rows.select("event_id", "user_id", "viewed", "seconds")
 
 
 @query(ORACLE_SQL["change_detect"])
 def change_stream(spark, sf):
     e = _t(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return stateful.in_slices(e, "event_id", 3, lambda s: stateful.change_stream(s, "user_id", "event_id", "event_type")).drop("batch")
+    return stateful.in_slices(e, "event_id", 2, lambda s: stateful.change_stream(s, "user_id", "event_id", "event_type")).drop("batch")
