@@ -174,27 +174,43 @@ class Visits(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schema)
+        self.timer = handle.getValueState("timer", "at long")
         self.visit = handle.getValueState("visit", f"listening boolean, running boolean, {self.schema}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.appendValue(tuple(r[c] for c in self.names))
-            self.handle.registerTimer(r["_us"] // 1000 + 1)
+        came = [tuple(r[c] for c in self.names) for r in rows]
+        self.waiting.appendList(came)
+        first = min(map(self.due, came))
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is None or first < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.wake(first)
         return iter(())
 
+    def due(self, marker: tuple) -> int:
+        """The first millisecond of the watermark at which nothing can come before a marker any more."""
+        return marker[self.names.index("_us")] // 1000 + 1
+
+    def wake(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, at = expiredTimerInfo.getExpiryTimeInMs(), self.names.index("_us")
-        rows = [tuple(r) for r in self.waiting.get()]
-        due = lambda r: r[at] // 1000 + 1 <= now
-        later = [r for r in rows if not due(r)]
+        now, at = timerValues.getCurrentWatermarkInMs(), self.names.index("_us")
+        ready, later = [], []
+        for r in map(tuple, self.waiting.get()):
+            (ready if self.due(r) <= now else later).append(r)
         if later:
             self.waiting.put(later)
+            self.wake(min(map(self.due, later)))
         else:
             self.waiting.clear()
+            self.timer.clear()
         state = tuple(self.visit.get()) if self.visit.exists() else (False, False)
         listening, running, start = state[0], state[1], state[2:]
         order, event = self.names.index(self.order), self.names.index(self.event)
-        for r in sorted(filter(due, rows), key=lambda r: r[order]):
+        for r in sorted(ready, key=lambda r: r[order]):
             kind = r[event]
             if running and kind in ("view", "leave", "background"):
                 yield Row(**dict(zip(self.names, start)), viewed=start[event] == "view", seconds=(r[at] - start[at] + 500_000) // 1_000_000)

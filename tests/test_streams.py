@@ -3,6 +3,7 @@
 import random
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from coursefold.operators import timeline
@@ -105,3 +106,75 @@ def test_failures_wait_and_come_back(spark, tmp_path):
             q.stop()
     assert got == {a: ("done", q, f) if f <= limit else ("parked", q, limit + 1) for q, a, _, f in rows}
     assert time.time() - began > 3 * 1.5
+
+
+class Held:
+    """One key's state and timers, kept in memory."""
+
+    def __init__(self):
+        self.cells, self.timers, self.set = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return self.Cell(self.cells, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.set += 1
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    class Cell:
+        def __init__(self, cells, name):
+            self.cells, self.name = cells, name
+
+        exists = lambda self: self.name in self.cells
+        get = lambda self: self.cells[self.name]
+        clear = lambda self: self.cells.pop(self.name, None)
+
+        def update(self, value):
+            self.cells[self.name] = value
+
+        put = update
+
+        def appendList(self, values):
+            self.cells[self.name] = [*self.cells.get(self.name, []), *values]
+
+
+def test_a_key_has_one_timer():
+    """However many markers of a key wait, one timer is set, and what is due goes in one pass over them."""
+    held, rng = Held(), random.Random(9)
+    visits = stateful.Visits(["n", "event", "_us"], "n long, event string, _us long", "n", "event")
+    visits.init(held)
+    kinds = ["view", "leave", "background", "foreground"]
+    markers = [Row(n=n, event=rng.choice(kinds), _us=n * 1_000_000 + rng.randrange(900_000)) for n in range(2000)]
+    out, at, calls = [], 0, 0
+    while at < len(markers) or held.timers:
+        some = markers[at : at + 300]
+        rng.shuffle(some)
+        at += 300
+        for half in (some[:150], some[150:]):
+            if half:
+                list(visits.handleInputRows((1,), iter(half), None))
+                assert len(held.timers) == 1
+        now = (at - 100) * 1000 if at < len(markers) else 10**10
+
+        class Watermark:
+            getCurrentWatermarkInMs = lambda self: now
+
+        for t in [t for t in held.timers if t <= now]:
+            held.timers.remove(t)
+            out += visits.handleExpiredTimer((1,), Watermark(), None)
+            calls += 1
+    assert calls <= 9 and held.set <= 25 and "waiting" not in held.cells
+    start, want, listening = None, [], False
+    for m in markers:
+        if start and m.event in ("view", "leave", "background"):
+            want.append((start.n, start.event == "view", (m._us - start._us + 500_000) // 1_000_000))
+            start = None
+        if m.event == "view" or m.event == "foreground" and listening and not start:
+            start = m
+        listening = m.event == "view" or listening and m.event != "leave"
+    assert [(r.n, r.viewed, r.seconds) for r in out] == want
