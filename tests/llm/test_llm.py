@@ -83,6 +83,41 @@ def test_packing(spark, docs, none):
     assert padding < 0.01 * total
 
 
+def test_windows_are_bounded_and_best_fit():
+    """At most ``most`` are open; the smallest gap that is large enough is taken, and the fullest goes when none is."""
+    rng, size, most, least = random.Random(3), 100, 5, 4
+    windows, used, closed, order = packing.OpenWindows(size, most, least), {}, [], []
+    for doc in range(400):
+        length = rng.choice([3, 17, 40, 61, 99, 100, 250])
+        start, left = 0, length
+        # the same rules, looked up in a plain table of gaps
+        while left:
+            take = min(left, size)
+            fit = [(g, w) for w, g in used.items() if g >= take]
+            if not fit and len(used) == most:
+                gap, w = min((g, w) for w, g in used.items())
+                if gap >= least:
+                    order.append((doc, start, gap, w))
+                    start, left = start + gap, left - gap
+                del used[w]
+                continue
+            gap, w = min(fit) if fit else (size, len({x[3] for x in order}))
+            order.append((doc, start, take, w))
+            used[w] = gap - take
+            if not used[w]:
+                del used[w]
+            start, left = start + take, left - take
+        for held in windows.place((doc,), 0, length):
+            closed.append([(d[0], s, n) for d, s, n in held])
+            assert sum(n for _, _, n in closed[-1]) > size - least
+        assert len(windows.held) == len(windows.gaps) <= most
+    want = collections.defaultdict(list)
+    for doc, start, n, w in order:
+        want[w].append((doc, start, n))
+    still = [[(d[0], s, n) for d, s, n in held] for held in windows.held.values()]
+    assert sorted(closed + still) == sorted(want.values())
+
+
 def agree(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "embeddings"):
@@ -106,6 +141,25 @@ def test_scores_of_odd_texts(docs, none):
     assert scoring.score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("min_count", [1, 2, 3])
+def test_scores_by_plain_counts(docs, min_count):
+    split = [re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), d[1] or "")) for d in odd_docs()]
+    count = collections.Counter(tuple(w[i : i + n]) for w in split for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(map(len, split))
+
+    def score(gram, backoff=1.0):
+        if len(gram) == 1:
+            return math.log10(backoff * count[gram] / total)
+        if count[gram] >= min_count:
+            return math.log10(backoff * count[gram] / count[gram[:-1]])
+        return score(gram[1:], backoff * 0.4)
+
+    want = sorted((d[0] is None, d[0] or 0, len(w), round(sum(score(tuple(w[max(0, i - 2) : i + 1])) for i in range(len(w))), 5)) for d, w in zip(odd_docs(), split))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log10_score, 5)) for r in scoring.score_documents(docs, min_count=min_count).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-4)
+
+
 def test_line_dedup(spark, docs, none):
     got = lines.dedup_lines(docs)
     assert got.count() == len(odd_docs()) and got.columns[: len(docs.columns)] == docs.columns
