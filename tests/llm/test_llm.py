@@ -579,14 +579,48 @@ def test_a_very_long_text(spark):
     assert {r.row.doc_id: r.chars for r in language.identify(docs, "doc_id").collect()}[2] > 1_500_000
 
 
+def plain_lines(texts):
+    """What the line stage leaves of texts by id: each line is compared with all that stand earlier."""
+    long, seen, left = collections.defaultdict(list), set(), {}
+    for d in sorted(texts):
+        split = texts[d].split("\n")
+        kept = []
+        for line in split:
+            words = tuple(re.findall(rb"[^ \t-\r]+", line.encode().lower()))
+            n = len(words)
+            again = words in seen or n >= 5 and any(one_edit(words, y) for m in (n - 1, n, n + 1) for y in long[m])
+            if words and n >= 5 and words not in seen:
+                long[n].append(words)
+            if words:
+                seen.add(words)
+            if not again or not words:
+                kept.append(line)
+        text = "\n".join(kept)
+        if len(kept) == len(split) or text.strip(" \t\n\r\x0b\x0c"):
+            left[d] = text
+    return left
+
+
+def one_edit(x, y):
+    if len(x) > len(y):
+        x, y = y, x
+    same = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), len(x))
+    return x[same + (len(x) == len(y)) :] == y[same + 1 :]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = docs
+    out, texts = docs, [{r.doc_id: r.text for r in docs.collect()}]
     for _, stage in cp.STAGES[:-1]:
-        out = stage(spark, out, SF)
+        out = stage(spark, out, SF).cache()
         assert out.columns == docs.columns
+        texts.append({r.doc_id: r.text for r in out.collect()})
+    said = {d: t for d, t in texts[0].items() if any(c.isalpha() for c in t or "")}
+    assert texts[1].items() <= said.items() and len(said) - len(texts[1]) <= len(said) // 100
+    assert texts[2] == plain_lines(texts[1])
+    assert texts[3].items() <= texts[2].items() and texts[4].items() <= texts[3].items()
     kept = {(r.doc_id, r.text) for r in out.collect()}
     packed = cp.packed(spark, out, SF).collect()
     assert {r.doc_id for r in packed} == {d for d, _ in kept}
