@@ -76,16 +76,16 @@ def page_cursors(spark, sf):
 @query("""WITH l AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(event_id) AS seq FROM events GROUP BY ALL)
 SELECT user_id, day FROM l WHERE seq % 3 = 0""")
 def outbox_resent(spark, sf):
-    """Users' days as recorded actions, sent by a sender that fails for every third: the start-up pass finds just those."""
+    """Users' days as recorded actions, sent by a sender that fails for every third: the start-up pass, when the last record has waited, finds just those."""
     e = _t(spark, sf, "events").select("user_id", F.date_trunc("day", "ts").cast("date").cast("string").alias("day"), F.col("event_id").alias("seq"), "ts")
     recorded = materialize(e.groupBy("user_id", "day").agg(F.min("seq").alias("seq"), F.min("ts").alias("occurred_at")))
-    sent = scratch(spark)
-    actions.outbox(lambda rows: [r["seq"] % 3 != 0 for r in rows], sent, ["user_id", "day"])(recorded, 0)
-    now = F.lit("2024-01-31").cast("timestamp_ntz")
-    marks = spark.read.option("basePath", sent).parquet(sent).join(recorded.select("user_id", "day", "seq"), ["user_id", "day"])
-    events = recorded.withColumn("event", F.lit("recorded")).unionByName(marks.select("user_id", "day", "seq", now.alias("occurred_at"), F.lit("sent").alias("event")))
+    sent, wait = scratch(spark), F.expr("INTERVAL '5' MINUTE")
+    actions.outbox(lambda rows: [r["seq"] % 3 != 0 for r in rows], sent, ["user_id", "day", "seq"])(recorded, 0)
+    now = F.lit(recorded.agg(F.max("occurred_at") + wait).first()[0]).cast("timestamp_ntz")
+    marks = spark.read.option("basePath", sent).parquet(sent).select("user_id", "day", "seq", now.alias("occurred_at"), F.lit("sent").alias("event"))
+    events = recorded.withColumn("event", F.lit("recorded")).unionByName(marks)
     ledger = records.fold_ledger(events.withColumn("subscriber", F.lit(None).cast("string")), ["user_id", "day"])
-    _, again = records.start_up(ledger, now, F.expr("INTERVAL '7' DAY"), F.expr("INTERVAL '5' MINUTE"), F.expr("INTERVAL '5' MINUTE"))
+    _, again = records.start_up(ledger, now, F.expr("INTERVAL '7' DAY"), wait, wait)
     return again.select("user_id", "day")
 
 

@@ -253,6 +253,17 @@ def test_outbox(spark, tmp_path):
     assert marks() == [i for i in range(15) if i % 3]
 
 
+def test_actions_of_the_last_minutes_are_resent(spark, tmp_path):
+    """The start-up pass comes after the last record has waited, whenever that was."""
+    from coursefold.plans.source_queries import outbox_resent
+
+    rows = [(0, 1, "2024-01-30 23:59:00"), (1, 2, "2024-01-30 23:59:30"), (3, 3, "2024-02-09 12:00:00"), (6, 1, "2024-01-02 10:00:00"), (9, None, "2024-01-02 10:00:00"), (11, None, "2024-01-03 10:00:00")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at string")
+    df.select("event_id", "user_id", F.col("at").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in outbox_resent(spark, str(tmp_path)).collect()}
+    assert got == {(1, "2024-01-30"), (3, "2024-02-09"), (1, "2024-01-02"), (None, "2024-01-02")}
+
+
 def test_grades_of_entries(spark):
     raw = ['{"grade":4}', '{"grade":"4"}', '{"grade":"4","x":{"grade":4}}', '{"x":{"grade":4}}', '{"grade":4.0}', '{"grade":4e0}', "[4]", "no json", '{"grade":null}', None, '{"grade": 4, "x": {"grade": 5}}', '{"grade":5}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "pos int, raw string")
