@@ -165,13 +165,14 @@ def returned_retries(spark, sf):
     return records.in_one(due.withColumn("due", F.lit(True)), waiting.withColumn("due", F.lit(False))).drop("died_at")
 
 
-@query("""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN repeat('0', 32) WHEN 2 THEN md5(CAST(event_id AS VARCHAR)) ELSE upper(md5(CAST(event_id AS VARCHAR))) END AS t FROM events)
-SELECT event_id, CASE WHEN event_id % 4 = 2 THEN '00-' || t || '-' || substr(t, 1, 15) || '1-01' END AS link FROM p""")
+@query("""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN repeat('0', 32) WHEN 2 THEN md5(CAST(event_id AS VARCHAR)) ELSE upper(md5(CAST(event_id AS VARCHAR))) END AS t FROM events),
+l AS (SELECT event_id, '00-' || t || '-' || substr(t, 1, 15) || '1-01' AS parent FROM p)
+SELECT event_id, CASE WHEN regexp_full_match(parent, '[0-9a-f]{2}-[0-9a-f]{32}-[0-9a-f]{16}-[0-9a-f]{2}') AND substr(parent, 4, 32) <> repeat('0', 32) AND substr(parent, 37, 16) <> repeat('0', 16) THEN parent END AS link FROM l""")
 def trace_links(spark, sf):
     n = F.col("event_id")
     t = F.when(n % 4 == 1, "0" * 32).when(n % 4 == 2, F.md5(n.cast("string"))).when(n % 4 == 3, F.upper(F.md5(n.cast("string"))))
     parent = F.concat(F.lit("00-"), t, F.lit("-"), F.substring(t, 1, 15), F.lit("1-01"))
-    # an upper-case digest without letters would be valid; none of 32 digits is
+    # an upper-case digest without letters is valid, too: one in about three million
     return _t(spark, sf, "events").select("event_id", records.trace_link(parent).alias("link"))
 
 

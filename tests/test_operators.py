@@ -158,6 +158,21 @@ def test_chained_limits_keep_the_earlier_permit(spark):
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
+def test_trace_links_of_digests_without_letters(spark, tmp_path):
+    """An upper-case digest that has digits only is valid, to the query and to its SQL."""
+    import duckdb
+
+    from coursefold.plans.registry import ORACLE_SQL
+    from coursefold.plans.tenant_queries import trace_links
+
+    spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 1518375)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.link for r in trace_links(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(ORACLE_SQL["trace_links"])
+    assert got == dict(found.fetchall()) and {n for n, link in got.items() if link} == {2, 1518375}
+
+
 def test_snapshots_and_missing_files(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "2")], "name string, etag string")
     b = spark.createDataFrame([("x", "1"), ("z", "2")], "name string, etag string")
