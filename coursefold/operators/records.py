@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.keys import derived_file
-from ..sources.written import materialize
-from .chains import reachable
 
 
 def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -165,36 +164,39 @@ def fixed_window(events: DataFrame, key: str, ts: str, order: str, unit: str, li
 def used_window(events: DataFrame, key: str, ts: str, order: str, seconds: int, permits: int) -> DataFrame:
     """Whether each event is admitted: the first ``permits`` of its key in each window, which starts at its first use.
 
-    The next window of a key starts with the first event ``seconds`` after the start of the last. Each event points to the one that would
-    start the window after its own; the starts are those that the key's first event reaches, found in doubling rounds. Events of a key
-    come in ``order``; time never goes back, so one that seems earlier than those before counts as late as they.
+    The next window of a key starts with the first event ``seconds`` after the start of the last. Events of a key
+    come in ``order``; time never goes back, so one that seems earlier than those before counts as late as they, as does one without a
+    time. A window that such a one starts has no end.
     """
-    by = Window.partitionBy(key).orderBy(order)
-    clock = F.max(F.unix_micros(F.col(ts).cast("timestamp"))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    timed = materialize(events.withColumn("_t", clock).withColumn("id", F.row_number().over(by).cast("long")))
-    # events and the ends of the windows that they would start, latest first: at an end the least event so far is the next start
-    ends = timed.select(key, (F.col("_t") + seconds * 1_000_000).alias("_t"), F.lit(None).cast("long").alias("_of"), "id")
-    both = timed.select(key, "_t", F.col("id").alias("_of"), "id").unionByName(ends)
-    so_far = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc_nulls_last("_of")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pointers = both.withColumn("next", F.min("_of").over(so_far)).where("_of is null").select(key, "id", "next")
-    starts = reachable(pointers, timed.where("id = 1"), [key]).withColumn("_start", F.col("id"))
-    starts = timed.join(starts, [key, "id"], "left").withColumn("_start", F.last("_start", ignorenulls=True).over(Window.partitionBy(key).orderBy("id")))
-    used = F.row_number().over(Window.partitionBy(key, "_start").orderBy("id"))
-    return starts.withColumn("admitted", used <= permits).select(*events.columns, "admitted")
+    return chained_limits(events, key, ts, order, [(seconds, permits)])
 
 
 def chained_limits(events: DataFrame, key: str, ts: str, order: str, rules: list[tuple[int, int]]) -> DataFrame:
-    """Whether all rules (seconds, permits) admit each event of a key; windows start at their first use.
+    """Whether all rules (seconds, permits) admit each event of a key; windows are those of ``used_window``.
 
-    A rule in turn that admits keeps the permit even if a later one refuses, and a later one only sees what the earlier admit:
-    so each rule is one ``used_window`` over what is left.
+    A rule in turn that admits keeps the permit even if a later one refuses, and a later one only sees what the earlier admit.
+    Events are dealt by key and read in order, once for all rules: a task holds a start and a count for each rule of the key that it is at.
     """
-    left, refused = events, []
-    for seconds, permits in rules:
-        judged = materialize(used_window(left, key, ts, order, seconds, permits))
-        refused.append(judged.where("not admitted"))
-        left = judged.where("admitted").drop("admitted")
-    out = left.withColumn("admitted", F.lit(True))
-    for r in refused:
-        out = out.unionByName(r)
-    return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, ends, used = None, None, None
+        for b in batches:
+            admitted = []
+            for k, t in zip(b.column(len(b.columns) - 2).to_pylist(), b.column(len(b.columns) - 1).to_pylist()):
+                if ends is None or k != at:
+                    at, ends, used = k, [float("-inf")] * len(rules), [0] * len(rules)
+                ok = True
+                for i, (seconds, permits) in enumerate(rules):
+                    if not used[i] or t is not None and t >= ends[i]:
+                        ends[i], used[i] = float("inf") if t is None else t + seconds * 1_000_000, 0
+                    used[i] += 1
+                    if used[i] > permits:
+                        ok = False
+                        break
+                admitted.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(admitted, pa.bool_())], names=[*b.schema.names[:-2], "admitted"])
+
+    dealt = events.withColumns({"_key": F.col(key), "_us": F.unix_micros(F.col(ts).cast("timestamp"))}).repartition("_key").sortWithinPartitions("_key", order)
+    return dealt.mapInArrow(run, StructType([*events.schema.fields, StructField("admitted", BooleanType())]))

@@ -106,6 +106,29 @@ def test_windows_from_first_use(spark):
     assert {r.n: r.admitted for r in records.chained_limits(df, "k", "ts", "n", rules).collect()} == plain(rules)
 
 
+def test_limits_take_one_pass(spark):
+    """However many events and rules, the driver runs no job of its own, and one shuffle deals the events."""
+    rows = [(n % 7, n, None if n % 11 == 5 else n * n % 5000) for n in range(3000)]
+    df = spark.createDataFrame(rows, "k int, n int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    rules = [(60, 2), (900, 3), (3600, 50)]
+    spark.sparkContext.setJobGroup("limits", "limits")
+    out = records.chained_limits(df, "k", "ts", "n", rules)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("limits")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    want, state = {}, {}
+    for k, n, s in rows:
+        for i, (seconds, permits) in enumerate(rules):
+            start, used = state.get((k, i), (None, 0))
+            if not used or s is not None and start is not None and s >= start + seconds:
+                start, used = s, 0
+            state[k, i] = start, used + 1
+            want[n] = used < permits
+            if used >= permits:
+                break
+    assert {r.n: r.admitted for r in out.collect()} == want
+
+
 def test_registration_in_bounded_rounds(spark):
     """A chain in which each refusal depends on the one before: the jobs do not follow its length."""
     jobs = {}
