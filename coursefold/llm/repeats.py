@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table, tidy
 
 #: Bytes of a symbol in the Burrows-Wheeler transforms, cut from the anchor to both sides.
 SYMBOL = 8
@@ -54,7 +54,7 @@ class Anchors:
         none = [np.zeros(0, np.int64)] * 5
         if len(text) < self.length:
             return none
-        step, parts = 1 << 23, []
+        step, parts = 1 << 21, []  # a block takes about 80 times its bytes
         for at in range(0, len(text) - self.length + 1, step):
             parts.append(self._block(text[at : at + step + self.length - 1], at))
         return [np.concatenate(p) for p in zip(*parts)]
@@ -225,7 +225,7 @@ def anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
         import pyarrow as pa
 
         anchors = Anchors(length, seed)
-        for batch in batches:
+        for batch in slices(batches):
             found = [anchors.find(t) for t in batch.column(2).to_pylist()]
             n = [len(x[0]) for x in found]
             if not sum(n):
@@ -235,7 +235,7 @@ def anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
             place = tag << 48 | s0 << 16 | (s1 - s0) << 8 | (at - s0)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, place, h, c)], names=["t", "place", "h", "c"])
 
-    return docs.select("t", "tag", "body").mapInArrow(run, "t long, place long, h long, c long")
+    return docs.select("t", "tag", "body").mapInArrow(tidy(run), "t long, place long, h long, c long")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -252,10 +252,10 @@ def packed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x) for x in b.column(1).to_pylist()], pa.binary()), b.column(2), b.column(3)], names=b.schema.names)
 
-    return named(docs).mapInArrow(run, "doc_id long, body binary, t long, tag long")
+    return named(docs).mapInArrow(tidy(run), "doc_id long, body binary, t long, tag long")
 
 
 def _unpack(bodies: list[bytes]) -> list[bytes]:
@@ -276,14 +276,14 @@ def _ambiguous(spans_of: DataFrame, docs: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         kinds = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("tag", pa.int64()), ("s0", pa.int64()), ("starts", pa.int32()), ("anchor", pa.int32()), ("alone", pa.bool_()), ("content", pa.binary())])
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t, tag, body, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpack(b.column(2).to_pylist()), b.column(3).to_pylist()):
                 rows += [(r["h"], t, tag, r["s0"], r["more"] + 1, r["anchor"], r["alone"], body[r["s0"] : r["s0"] + r["more"] + length]) for r in runs]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], schema=kinds)
 
     joined = docs.withColumnRenamed("doc_id", "own").join(spans_of, ["t", "tag"]).where(F.col("own").eqNullSafe(F.col("doc_id")))
-    return joined.select("t", "tag", "body", "runs").mapInArrow(run, CONTENT)
+    return joined.select("t", "tag", "body", "runs").mapInArrow(tidy(run), CONTENT)
 
 
 def _merged_spans(contents: DataFrame, length: int, bundle: int) -> DataFrame:
@@ -306,7 +306,7 @@ def _merged_spans(contents: DataFrame, length: int, bundle: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["t", "tag", "first", "past"])
 
         group, held, last = [], 0, None
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != last and held >= bundle:
                     yield result(group)
@@ -316,7 +316,7 @@ def _merged_spans(contents: DataFrame, length: int, bundle: int) -> DataFrame:
         if group:
             yield result(group)
 
-    return contents.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+    return contents.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(run), SPANS)
 
 
 def _counted_spans(contents: DataFrame, length: int) -> DataFrame:
@@ -326,7 +326,7 @@ def _counted_spans(contents: DataFrame, length: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             cols = [[], [], [], [], []]
             for h, t, tag, s0, starts, _, _, content in zip(*(c.to_pylist() for c in b.columns)):
                 anchors = Anchors(length, SYMBOL)
@@ -339,7 +339,7 @@ def _counted_spans(contents: DataFrame, length: int) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], names=["h", "t", "tag", "first", "value"])
 
-    rows = contents.mapInArrow(run, "h long, t long, tag long, first long, value long").distinct()
+    rows = contents.mapInArrow(tidy(run), "h long, t long, tag long, first long, value long").distinct()
     twice = rows.groupBy("h", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(twice, ["h", "value"], "left_semi").select("t", "tag", "first", (F.col("first") + length).alias("past"))
 
@@ -402,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, digest: bool = False) ->
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, body, spans in zip(b.column(0).to_pylist(), _unpack(b.column(1).to_pylist()), b.column(2).to_pylist()):
                 cut = merged((s["first"], s["past"]) for s in spans or [])
@@ -412,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, digest: bool = False) ->
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     spans = materialize(repeated_spans(docs, length))
-    return packed(docs).join(spans, ["t", "tag"], "left").select("doc_id", "body", "spans").mapInArrow(run, CUT)
+    return packed(docs).join(spans, ["t", "tag"], "left").select("doc_id", "body", "spans").mapInArrow(tidy(run), CUT)
 
 
 def op6_bwt_merge_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

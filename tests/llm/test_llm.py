@@ -281,6 +281,31 @@ def test_repeats(spark, docs, none, dense, monkeypatch):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_anchors_take_little_memory():
+    """A full Arrow batch is anchored in slices, a long text in blocks, and what comes out does not depend on either."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Caught:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 2000, np.uint8)) for _ in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), pa.array([7] * 10_000, pa.int64()), pa.array(texts, pa.binary())], names=["t", "tag", "body"])
+    run, long = repeats.anchored(Caught(), 200, 32), b"".join(texts[:3000])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.reset_peak()
+    first, last, anchor, h, _ = repeats.Anchors(200, 32).find(long)
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
+    assert rows == sum(len(repeats.Anchors(200, 32).find(t)[0]) for t in texts)
+    assert first[0] == 0 and last[-1] == len(long) - 200 and (first[1:] == last[:-1] + 1).all() and ((first + 168 >= anchor) & (anchor >= last)).all()
+
+
 def test_sharding(spark, docs, none):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == len(odd_docs())
