@@ -88,11 +88,11 @@ def fold_stream(events: DataFrame, chapter: list[str] = CHAPTER) -> DataFrame:
 class Once(StatefulProcessor):
     """Whether a subscriber has had an action: a mark that goes after its time."""
 
-    def __init__(self, keep_ms: int | None):
+    def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle) -> None:
-        self.done = handle.getValueState("done", "at boolean", *([self.keep_ms] if self.keep_ms else []))
+        self.done = handle.getValueState("done", "at boolean", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         first = next(iter(rows))
@@ -109,10 +109,14 @@ class Once(StatefulProcessor):
 def once(deliveries: DataFrame, key: list[str], keep_ms: int | None = None) -> DataFrame:
     """A stream of each key's first delivery: subscriber and action. Marks go after ``keep_ms``, longer than a delivery can come again.
 
-    The mark is committed with the batch that hands the delivery on, so a batch that fails hands it on again. With ``keep_ms`` the clock makes batches
+    The mark is committed with the batch that hands the delivery on, so a batch that fails hands it on again. Marks without an end are Spark's own
+    ``dropDuplicates``, which asks the store for all rows of a task without a call to Python for each. With ``keep_ms`` the clock makes batches
     of its own: such a stream runs on a trigger by time until it is stopped, and never ends as one over what is available now.
     """
-    return _run(deliveries, key, Once(keep_ms), deliveries.schema, "Append", "ProcessingTime" if keep_ms else "None")
+    if keep_ms is None:
+        with_state_store(deliveries.sparkSession)
+        return deliveries.dropDuplicates(key)
+    return _run(deliveries, key, Once(keep_ms), deliveries.schema, "Append", "ProcessingTime")
 
 
 class Delay(StatefulProcessor):

@@ -67,6 +67,12 @@ def test_once_and_changes(spark):
     assert sorted(r.n for r in stateful.in_slices(rows, "n", 2, lambda s: stateful.change_stream(s, "k", "n", "v")).collect()) == want
 
 
+def test_marks_without_end_need_no_python(spark):
+    stream = spark.readStream.format("rate").load()
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan(stateful.once(stream, ["value"])) and "TransformWithState" in plan(stateful.once(stream, ["value"], 1000))
+
+
 def test_failures_wait_and_come_back(spark, tmp_path):
     """Failing deliveries go round: to the delay queue, and back to their own queue with a cycle more, until they park."""
     schema, limit = "queue string, action string, cycles int, fails int", 2
