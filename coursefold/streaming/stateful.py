@@ -120,53 +120,66 @@ def once(deliveries: DataFrame, key: list[str], keep_ms: int | None = None) -> D
 
 
 class Delay(StatefulProcessor):
-    """Deliveries of a subscriber's action that wait: each with the time at which it goes back."""
+    """Deliveries that failed about the same time and wait: each with the time at which it goes back. One timer is for the first of them."""
 
-    def __init__(self, columns: list[str], schema: str, delay_ms: int):
-        self.columns, self.schema, self.delay_ms = columns, schema, delay_ms
+    def __init__(self, columns: list[str], schema: str, delay_ms: int, by_event: bool):
+        self.columns, self.schema, self.delay_ms, self.by_event = columns, schema, delay_ms, by_event
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", f"_due long, {self.schema}")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            died = r["_died"]
-            due = (timerValues.getCurrentProcessingTimeInMs() if died is None else died) + self.delay_ms
-            self.waiting.appendValue((due, *(r[c] for c in self.columns)))
-            self.handle.registerTimer(due)
+        came = [(r["_died"] + self.delay_ms, *(r[c] for c in self.columns)) for r in rows]
+        self.waiting.appendList(came)
+        first = min(r[0] for r in came)
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is None or first < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.wake(first)
         return iter(())
 
+    def wake(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        later = [r for r in rows if r[0] > now]
+        now = timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+        ready, later = [], []
+        for r in map(tuple, self.waiting.get()):
+            (ready if r[0] < now else later).append(r)
         if later:
             self.waiting.put(later)
+            self.wake(min(r[0] for r in later))
         else:
             self.waiting.clear()
-        for r in rows:
-            if r[0] <= now:
-                row = dict(zip(self.columns, r[1:]))
-                row["cycles"] += 1
-                yield Row(**row)
+            self.timer.clear()
+        for r in ready:
+            row = dict(zip(self.columns, r[1:]))
+            row["cycles"] += 1
+            yield Row(**row)
 
     def close(self) -> None:
         pass
 
 
-def delayed(failed: DataFrame, key: list[str], delay_ms: int, at: str | None = None) -> DataFrame:
+def delayed(failed: DataFrame, key: list[str], delay_ms: int, at: str | None = None, slots: int = 8) -> DataFrame:
     """A stream of failed deliveries that have waited ``delay_ms``, with ``cycles`` one higher: they go back to their own ``queue``.
 
-    ``failed`` has the ``key`` (queue and action), ``cycles`` and what else a delivery holds. Waiting ones are in the store with a timer each.
-    The wait starts when a row arrives or, with ``at``, at that time of the row, and then ends when the watermark passes its end. Without ``at``
+    ``failed`` has the ``key`` (queue and action), ``cycles`` and what else a delivery holds. Waiting ones are in the store in one list with one timer
+    for each eighth of the delay and each of ``slots`` hashes of the key, so a batch touches few lists.
+    The wait starts when a row's batch does or, with ``at``, at that time of the row, and then ends when the watermark passes its end. Without ``at``
     the clock makes batches of its own: run it on a trigger by time.
     """
     kinds = [(f.name, f.dataType.simpleString()) for f in failed.schema.fields]
     schema = ", ".join(f"{c} {t}" for c, t in kinds)
-    processor = Delay([c for c, _ in kinds], schema, delay_ms)
-    failed = failed.withColumn("_died", F.unix_millis(F.col(at).cast("timestamp")) if at else F.lit(None).cast("long"))
-    return _run(failed, key, processor, schema, "Append", "EventTime" if at else "ProcessingTime")
+    processor = Delay([c for c, _ in kinds], schema, delay_ms, at is not None)
+    now = F.unix_millis(F.current_timestamp())
+    failed = failed.withColumn("_died", F.coalesce(F.unix_millis(F.col(at).cast("timestamp")), now) if at else now)
+    failed = failed.withColumn("_span", F.floor(F.col("_died") / max(1, delay_ms // 8))).withColumn("_slot", F.pmod(F.xxhash64(*key), F.lit(slots)))
+    return _run(failed, ["_span", "_slot"], processor, schema, "Append", "EventTime" if at else "ProcessingTime")
 
 
 class Visits(StatefulProcessor):

@@ -184,3 +184,20 @@ def test_a_key_has_one_timer():
             start = m
         listening = m.event == "view" or listening and m.event != "leave"
     assert [(r.n, r.viewed, r.seconds) for r in out] == want
+
+
+def test_waiting_deliveries_share_a_timer():
+    held, now = Held(), 0
+    delay = stateful.Delay(["n", "cycles"], "n long, cycles int", 1000, True)
+    delay.init(held)
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: now
+
+    list(delay.handleInputRows((0, 0), iter([Row(n=n, cycles=0, _died=n) for n in range(500)]), None))
+    assert held.timers == {1000}
+    out = []
+    for now in (1200, 5000):
+        held.timers.clear()
+        out.append([(r.n, r.cycles) for r in delay.handleExpiredTimer((0, 0), Watermark(), None)])
+    assert out == [[(n, 1) for n in range(200)], [(n, 1) for n in range(200, 500)]] and not held.timers and not held.cells
