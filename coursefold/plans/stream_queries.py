@@ -36,11 +36,17 @@ def delay_queue_stream(spark, sf):
 
 @query(f"SELECT * FROM ({ORACLE_SQL['screen_times']}) WHERE seconds IS NOT NULL")
 def screen_times_stream(spark, sf):
-    """As ``screen_times``, for stretches that have ended; a marker of no user, a day later, lets the last ones pass."""
+    """As ``screen_times``, for stretches that have ended; a marker of no user, a day after all others have passed, lets the last ones pass.
+
+    The watermark allows an hour more than the second slice is late by, so no marker is dropped where times do not rise with ids.
+    """
     m = screen_markers(spark, sf).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event")
-    end = m.agg(F.lit(None).cast("long").alias("user_id"), (F.max("event_id") + 1).alias("event_id"), (F.max("ts") + F.expr("INTERVAL '1' DAY")).alias("ts"), F.lit("background").alias("event"))
-    rows = stateful.in_slices(m.unionByName(end), "event_id", 2, lambda s: stateful.screen_stream(s.withWatermark("ts", "1 hour"), "user_id", "event_id", "ts"))
-    return rows.select("event_id", "user_id", "viewed", "seconds")
+    past = F.max("ts") + (F.max("ts") - F.min("ts")) + F.expr("INTERVAL '1' DAY")
+    end = m.agg(F.lit(None).cast("long").alias("user_id"), (F.max("event_id") + 1).alias("event_id"), past.alias("ts"), F.lit("background").alias("event"))
+    rows = m.unionByName(end)
+    allowed, slots = f"{3600 + stateful.late_by(rows, 'event_id', 2, 'ts')} seconds", max(64, m.count() // 20_000)
+    out = stateful.in_slices(rows, "event_id", 2, lambda s: stateful.screen_stream(s.withWatermark("ts", allowed), "user_id", "event_id", "ts", slots=slots))
+    return out.select("event_id", "user_id", "viewed", "seconds")
 
 
 @query(ORACLE_SQL["change_detect"])

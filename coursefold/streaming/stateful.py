@@ -7,6 +7,7 @@ are sorted by their sequence; batches come in order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -183,20 +184,30 @@ def delayed(failed: DataFrame, key: list[str], delay_ms: int, at: str | None = N
 
 
 class Visits(StatefulProcessor):
-    """A screen's visit: whether it listens, and where its running clock started. Markers wait until the watermark has passed them."""
+    """Screens' visits: whether each listens, and where its running clock started. Markers wait until the watermark has passed them and all before them.
 
-    def __init__(self, names: list[str], schema: str, order: str, event: str):
-        self.names, self.schema, self.order, self.event = names, schema, order, event
+    With ``key``, a column, the markers of many screens wait in one list with one timer, and each screen has a visit of its own.
+    What waits lies in blocks with an array for each column, as the store is asked at some cost for each row of its own.
+    """
+
+    BLOCK = 5_000
+
+    def __init__(self, names: list[str], schema: str, order: str, event: str, key: str | None = None):
+        self.names, self.schema, self.key = names, schema, key
+        self.order, self.event, self.us = (names.index(c) for c in (order, event, "_us"))
+        self.screen = names.index(key) if key else None
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        kinds = re.fullmatch(", ".join(f"{re.escape(c)} (.+?)" for c in self.names), self.schema).groups()
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} array<{t}>" for c, t in zip(self.names, kinds)))
         self.timer = handle.getValueState("timer", "at long")
-        self.visit = handle.getValueState("visit", f"listening boolean, running boolean, {self.schema}")
+        visit = f"listening boolean, running boolean, {self.schema}"
+        self.visit = handle.getMapState("visit", f"{self.key} {kinds[self.screen]}", visit) if self.key else handle.getValueState("visit", visit)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         came = [tuple(r[c] for c in self.names) for r in rows]
-        self.waiting.appendList(came)
+        self.waiting.appendList(self.blocks(came))
         first = min(map(self.due, came))
         old = self.timer.get()[0] if self.timer.exists() else None
         if old is None or first < old:
@@ -205,52 +216,76 @@ class Visits(StatefulProcessor):
             self.wake(first)
         return iter(())
 
+    def blocks(self, markers: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*markers[n : n + self.BLOCK]))) for n in range(0, len(markers), self.BLOCK)]
+
     def due(self, marker: tuple) -> int:
         """The first millisecond of the watermark at which nothing can come before a marker any more."""
-        return marker[self.names.index("_us")] // 1000 + 1
+        return marker[self.us] // 1000 + 1
 
     def wake(self, at: int) -> None:
         self.handle.registerTimer(at)
         self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, at = timerValues.getCurrentWatermarkInMs(), self.names.index("_us")
-        ready, later = [], []
-        for r in map(tuple, self.waiting.get()):
-            (ready if self.due(r) <= now else later).append(r)
+        now = timerValues.getCurrentWatermarkInMs()
+        screens, later, wakes = {}, [], []
+        for block in self.waiting.get():
+            for r in zip(*block):
+                screens.setdefault(r[self.screen] if self.key else None, []).append(r)
+        for screen, markers in screens.items():
+            markers.sort(key=lambda r: r[self.order])
+            n = next((n for n, r in enumerate(markers) if self.due(r) > now), len(markers))
+            if n:
+                yield from self.ended(screen, markers[:n])
+            if n < len(markers):
+                later += markers[n:]
+                wakes.append(self.due(markers[n]))
         if later:
-            self.waiting.put(later)
-            self.wake(min(map(self.due, later)))
+            self.waiting.put(self.blocks(later))
+            self.wake(min(wakes))
         else:
             self.waiting.clear()
             self.timer.clear()
-        state = tuple(self.visit.get()) if self.visit.exists() else (False, False)
-        listening, running, start = state[0], state[1], state[2:]
-        order, event = self.names.index(self.order), self.names.index(self.event)
-        for r in sorted(ready, key=lambda r: r[order]):
-            kind = r[event]
+
+    def ended(self, screen, markers: list[tuple]) -> Iterator[Row]:
+        """The stretches that a screen's next markers end."""
+        if self.key:
+            old = self.visit.getValue((screen,))
+        else:
+            old = self.visit.get() if self.visit.exists() else None
+        listening, running, *start = tuple(old) if old is not None else (False, False)
+        for r in markers:
+            kind = r[self.event]
             if running and kind in ("view", "leave", "background"):
-                yield Row(**dict(zip(self.names, start)), viewed=start[event] == "view", seconds=(r[at] - start[at] + 500_000) // 1_000_000)
+                us = r[self.us] - start[self.us]  # below zero where times go back
+                yield Row(**dict(zip(self.names, start)), viewed=start[self.event] == "view", seconds=(abs(us) + 500_000) // 1_000_000 * (1 if us > 0 else -1))
                 running = False
             if kind == "view" or kind == "foreground" and listening and not running:
                 running, start = True, r
             listening = kind == "view" or listening and kind != "leave"
-        self.visit.update((listening, running, *(start or (None,) * len(self.names))))
+        new = (listening, running, *(start or (None,) * len(self.names)))
+        if self.key:
+            self.visit.updateValue((screen,), new)
+        else:
+            self.visit.update(new)
 
     def close(self) -> None:
         pass
 
 
-def screen_stream(markers: DataFrame, key: str, order: str, ts: str, event: str = "event") -> DataFrame:
+def screen_stream(markers: DataFrame, key: str, order: str, ts: str, event: str = "event", slots: int = 256) -> DataFrame:
     """A stream of ended stretches as ``operators.timeline.screen_times`` gives them; ``markers`` has a watermark on ``ts``.
 
-    Markers may come late by as much as the watermark allows: they wait in the store until it has passed them. A stretch that is still
-    open when the stream is stopped stays in the store.
+    Markers may come late by as much as the watermark allows: they wait in the store until it has passed them, in one list with one timer for each
+    of ``slots`` hashes of the key, so a batch asks the store for few lists. A stretch that is still open when the stream is stopped stays in the store.
     """
-    markers = markers.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in markers.schema.fields)
-    out = _run(markers, [key], Visits(markers.columns, schema, order, event), f"{schema}, viewed boolean, seconds long", "Append", "EventTime")
-    return out.drop("_us")
+    kinds = {f.name: f.dataType.simpleString() for f in markers.schema.fields}
+    held = {c: t for c, t in kinds.items() if c != ts} | {"_us": "bigint"}  # the time itself is made again from its microseconds
+    schema = ", ".join(f"{c} {t}" for c, t in held.items())
+    slotted = markers.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots)))
+    out = _run(slotted, ["_slot"], Visits(list(held), schema, order, event, key), f"{schema}, viewed boolean, seconds long", "Append", "EventTime")
+    return out.withColumn(ts, F.timestamp_micros("_us").cast(kinds[ts])).select(*kinds, "viewed", "seconds")
 
 
 class Changes(StatefulProcessor):
@@ -280,6 +315,24 @@ def change_stream(polls: DataFrame, key: str, order: str, value: str) -> DataFra
     return _run(polls, [key], Changes(order, value, kind), polls.schema, "Append", "None")
 
 
+def _steps(rows: DataFrame, order: str, slices: int) -> tuple[int | None, int]:
+    """Where the first of ``slices`` starts and how far each goes."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    return low, (high - low) // slices + 1 if low is not None else 1
+
+
+def late_by(rows: DataFrame, order: str, slices: int, ts: str) -> int:
+    """Seconds by which ``ts`` of a row of ``in_slices`` is before that of a row of an earlier slice, at most: its watermark has to allow more."""
+    low, step = _steps(rows, order, slices)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = rows.where(F.col(order).isNotNull()).groupBy(F.expr(f"({order} - {low or 0}) div {step}").alias("k")).agg(F.min(us).alias("first"), F.max(us).alias("last"))
+    newest, late = None, 0
+    for k in times.where("first IS NOT NULL").orderBy("k").collect():
+        late = max(late, newest - k["first"]) if newest is not None else 0
+        newest = max(newest, k["last"]) if newest is not None else k["last"]
+    return -(-late // 1_000_000)
+
+
 def in_slices(rows: DataFrame, order: str, slices: int, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """What ``build``'s stream gives for ``rows`` that come in ``slices`` by ``order``, one after the other, with the ``batch`` that gave it.
 
@@ -287,8 +340,7 @@ def in_slices(rows: DataFrame, order: str, slices: int, build: Callable[[DataFra
     job does. A batch overwrites its own output, so one that is run again adds nothing.
     """
     spark, folder = rows.sparkSession, scratch(rows.sparkSession)
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    step = (high - low) // slices + 1 if low is not None else 1
+    low, step = _steps(rows, order, slices)
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")

@@ -2,11 +2,13 @@
 
 import random
 import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from coursefold.operators import timeline
+from coursefold.plans import queries, stream_queries
 from coursefold.streaming import stateful
 from test_operators import COLUMNS, EVENT, direct, random_events
 
@@ -201,3 +203,50 @@ def test_waiting_deliveries_share_a_timer():
         held.timers.clear()
         out.append([(r.n, r.cycles) for r in delay.handleExpiredTimer((0, 0), Watermark(), None)])
     assert out == [[(n, 1) for n in range(200)], [(n, 1) for n in range(200, 500)]] and not held.timers and not held.cells
+
+
+def test_screens_of_a_slot_share_a_timer():
+    """However many screens and markers a slot has, they wait in few blocks with one timer, and each screen is as if it were alone."""
+
+    class Slot(Held):
+        def getMapState(self, name, key, value):
+            self.visits = {}
+
+            class Visits:
+                getValue = lambda _, k: self.visits.get(k)
+                updateValue = lambda _, k, v: self.visits.update({k: v})
+
+            return Visits()
+
+    names, schema = ["k", "n", "event", "_us"], "k long, n long, event string, _us long"
+    rng = random.Random(3)
+    markers = [Row(k=rng.choice([None, *range(40)]), n=n, event=rng.choice(["view", "leave", "background", "foreground"]), _us=n * 1_000_000) for n in range(12_000)]
+
+    def run(held, visits, rows):
+        visits.init(held)
+        out = []
+        for part, now in ((rows[: len(rows) // 2], 4_000_000), (rows[len(rows) // 2 :], 10**10)):
+            list(visits.handleInputRows((0,), iter(part), None))
+            assert len(held.timers) == 1 and len(held.cells["waiting"]) <= 4
+            held.timers.clear()
+            watermark = type("Watermark", (), {"getCurrentWatermarkInMs": lambda self: now})()
+            out += visits.handleExpiredTimer((0,), watermark, None)
+        assert not held.timers and "waiting" not in held.cells
+        return out
+
+    got = run(Slot(), stateful.Visits(names, schema, "n", "event", "k"), markers)
+    alone = [r for k in {r.k for r in markers} for r in run(Held(), stateful.Visits(names, schema, "n", "event"), [r for r in markers if r.k == k])]
+    assert len(got) > 1000 and sorted(got, key=lambda r: r.n) == sorted(alone, key=lambda r: r.n)
+
+
+def test_screens_whose_times_go_back(spark, tmp_path):
+    """Ids go on while times start again, for the same users and for new ones: nothing is dropped as late."""
+    rng = random.Random(5)
+    start, rows = datetime(2024, 1, 1), []
+    for copy in range(4):
+        for n in range(150):
+            kind = rng.choice(["click", "purchase", "signup", "view", "error"])
+            rows.append((copy * 150 + n, start + timedelta(minutes=40 * n, microseconds=500_000 * rng.randrange(9)), rng.randrange(3) + copy // 2 * 2, kind))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = (sorted(tuple(r) for r in q(spark, str(tmp_path)).where("seconds IS NOT NULL").collect()) for q in (stream_queries.screen_times_stream, queries.screen_times))
+    assert got == want and any(r[3] < 0 for r in want)
