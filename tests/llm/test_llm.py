@@ -160,6 +160,19 @@ def test_scores_by_plain_counts(docs, min_count):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-4)
 
 
+def test_scores_back_off(spark, tmp_path):
+    """A text that stands twice is seen; what only the scored text holds backs off, in the query and in its SQL."""
+    texts = ["a b c", "a b c", "a d c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    twice = 3 / 9 * 2 / 3 * 2 / 2
+    once = 3 / 9 * (0.4 * 1 / 9) * (0.4 * 0.4 * 3 / 9)
+    want = [(i, 3, round(math.log10(p), 4)) for i, p in enumerate((twice, twice, once))]
+    assert sorted(map(tuple, scoring.op2_stupid_backoff(spark, str(tmp_path)).collect())) == want
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(scoring.OP2_SQL).fetchall()) == want
+
+
 def test_line_dedup(spark, docs, none):
     got = lines.dedup_lines(docs)
     assert got.count() == len(odd_docs()) and got.columns[: len(docs.columns)] == docs.columns
